@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, line_dedup, packing, quality_rules, simhash
+from . import (
+    chat_format,
+    embedding_dedup,
+    license_scan,
+    line_dedup,
+    lm_scoring,
+    packing,
+    quality_rules,
+    sentencepiece_codec,
+    simhash,
+    url_filter,
+)
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -117,11 +128,108 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    made = f"lower({text})"
+    for pattern, to in license_scan.SPELLINGS:
+        made = f"regexp_replace({made}, {_quoted(pattern)}, '{to}', 'g')"
+    made = f"regexp_replace({made}, {_quoted(license_scan.PUNCTUATION)}, ' ', 'g')"
+    lines = f"list_transform(string_split({made}, chr(10)), lambda x: trim(x))"
+    return f"list_filter({lines}, lambda x: x <> '' AND NOT regexp_matches(x, {_quoted(license_scan.COPYRIGHT_LINE)}))"
+
+
+OP5_SQL = f"""
+WITH k(kind, license, text) AS (VALUES {", ".join(
+    [f"('text', '{k}', {_quoted(t)})" for k, t in license_scan.LICENSES.items()]
+    + [f"('notice', '{k}', {_quoted(t)})" for k, ts in license_scan.NOTICES.items() for t in ts]
+)}), known AS (
+  SELECT kind, min(license) AS license, sha256(array_to_string({_canonical_sql("text")}, ' ')) AS digest FROM k GROUP BY kind, 3
+), d AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS lines FROM documents),
+n AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM (SELECT doc_id, sha256(unnest(lines)) AS digest FROM d) JOIN known USING (digest) WHERE kind = 'notice' GROUP BY doc_id
+), w AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest FROM d)
+SELECT doc_id, w.digest, license, coalesce(notices, '') AS notices
+FROM w LEFT JOIN (SELECT * FROM known WHERE kind = 'text') AS t USING (digest) LEFT JOIN n USING (doc_id)
+"""
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), decoded=True)
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
+    )
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Fixed rules of the query.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document of the same number: bad where its quality is 0."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    found = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, labels)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _rule_sql() -> tuple[str, str]:
+    name, verdict = "NULL", "NULL"
+    for r in sorted(URL_RULES, key=lambda r: (len(r), r)):
+        own, _, rest = r.partition("/")
+        fits = f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{rest}')"
+        name, verdict = f"CASE WHEN {fits} THEN '{r}' ELSE {name} END", f"CASE WHEN {fits} THEN '{URL_RULES[r]}' ELSE {verdict} END"
+    return name, verdict
+
+
+OP8_SQL = r"""
+WITH u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), s AS (
+  SELECT *, array_to_string(list_transform(string_split(path, '/'), lambda x: CASE WHEN regexp_matches(x, '^[0-9a-fA-F-]{16,}$') OR length(x) >= 48
+    THEN '*' ELSE regexp_replace(x, '[0-9]+', '*', 'g') END), '/') AS template FROM u
+), b AS (SELECT doc_id AS page_id, max((quality = 0)::INT) AS bad FROM labels GROUP BY 1),
+c AS (SELECT host, template, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM s LEFT JOIN b USING (page_id) GROUP BY 1, 2),
+x AS (
+  SELECT host, template, i, segs[i] AS segment, array_to_string(segs[1:i - 1], '/') AS prefix
+  FROM (SELECT host, template, string_split(template, '/') AS segs, unnest(range(1, len(string_split(template, '/')) + 1)) AS i FROM c)
+), wide AS (SELECT host, prefix FROM x GROUP BY 1, 2 HAVING count(DISTINCT segment) > 20),
+g AS (
+  SELECT x.host, template, string_agg(CASE WHEN w.host IS NULL OR segment = '' THEN segment ELSE '*' || regexp_extract(segment, '(\.[A-Za-z]+)?$') END, '/' ORDER BY i) AS merged
+  FROM x LEFT JOIN wide w ON x.host = w.host AND x.prefix = w.prefix GROUP BY 1, 2
+), r AS (
+  SELECT host, merged, regexp_replace(merged, '[^/]*/?$', '') AS parent, sum(n) AS n, sum(bad) AS bad FROM c JOIN g USING (host, template) GROUP BY 1, 2
+), q AS (SELECT *, sum(n) OVER p AS pn, sum(bad) OVER p AS pbad FROM r WINDOW p AS (PARTITION BY host, parent)),
+prior AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS prior FROM c),
+z AS (
+  SELECT *, coalesce(abs(bad / nullif(n, 0) - (pbad - bad) / nullif(pn - n, 0))
+    / nullif(sqrt(pbad / nullif(pn, 0) * (1 - pbad / nullif(pn, 0)) * (1 / nullif(n, 0) + 1 / nullif(pn - n, 0))), 0) > 1.96, false) AS alone FROM q, prior
+), t AS (
+  SELECT host, merged, (CASE WHEN alone THEN bad ELSE pbad END + 10 * prior) / (CASE WHEN alone THEN n ELSE pn END + 10) AS purity FROM z
+)
+SELECT page_id, host, path, @NAME@ AS rule,
+  coalesce(@VERDICT@, CASE WHEN host <> '' AND purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM s JOIN g USING (host, template) JOIN t USING (host, merged)
+""".replace("\\\\", "\\").replace("@NAME@", _rule_sql()[0]).replace("@VERDICT@", _rule_sql()[1])
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -139,9 +247,32 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 """
 
-#: op4 and op7 hash with XXH64, CRC-32 and a tokenizer, and op3 compares arrays by blocks: tested by brute force.
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target corpus is the documents labelled as of good quality."""
+    targets = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.score(table(spark, sf_dir, "documents"), targets)
+
+
+#: The others compare vectors or fingerprints by blocks, run tokenizers or train models: the tests hold them against brute force.
+SQL = {
+    "op1_chat_formatting": OP1_SQL,
+    "op2_quality_rules": OP2_SQL,
+    "op5_license_scan": OP5_SQL,
+    "op8_url_filters": OP8_SQL,
+    "op9_line_dedup": OP9_SQL,
+}
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_quality_rules, op3_embedding_dedup, op4_packing, op7_simhash_dedup, op9_line_dedup)
+    for f in (
+        op1_chat_formatting,
+        op2_quality_rules,
+        op3_embedding_dedup,
+        op4_packing,
+        op5_license_scan,
+        op6_sentencepiece,
+        op7_simhash_dedup,
+        op8_url_filters,
+        op9_line_dedup,
+        op10_lm_scoring,
+    )
 }
-SQL = {"op1_chat_formatting": OP1_SQL, "op2_quality_rules": OP2_SQL, "op9_line_dedup": OP9_SQL}
