@@ -1,0 +1 @@
+"""Panels of monthly series, analysed as Spark plans."""
