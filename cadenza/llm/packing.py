@@ -20,12 +20,15 @@ gives an empty table.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,14 +42,26 @@ MAX_BROADCAST_ROWS = 100_000
 #: Quanta are whole multiples of 2**-SHIFT tokens.
 SHIFT = 16
 #: Words that a worker's cache may hold, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 500_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+#: Bytes of text that are split at a time, and documents that are cut at a time.
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 1024
+#: What a tokenizer must do for words to be evened out before they are looked up: it lowers all letters
+#: and tells runs of letters from what follows them.
+LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: The last letter with a path of its own; beyond, the tokenizer's own normaliser is asked.
+LATIN_END = "\u0250"
 
 
 class WordEncoder(dict):
     """Token ids (little-endian uint32 bytes) of a text, by its words.
 
     The tokenizer drops white space and no pre-token crosses a blank, so a text's ids are those of its
-    blank-separated parts one after the other. Parts seen before come from this cache.
+    blank-separated parts one after the other. Arrow splits the texts and finds the distinct words of a
+    slice; words seen before come from this cache, which a worker keeps from task to task.
+
+    Where the tokenizer lowers letters and ends a pre-token where letters end, the mark after a word is
+    split off and words of ASCII are lowered first, so that a word has one entry; a new word of Latin
+    letters then needs no normaliser and goes to the merges at once.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,20 +69,62 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        letters = "[\\p{L}]+" in str(steps[0].get("pattern", {}).get("Regex", "")).split("|") and steps[-1].get("type") == "ByteLevel"
+        self.even = letters and (spec.get("normalizer") or {}).get("normalizers") == LOWERED and not spec["model"].get("dropout")
+        # The byte-level alphabet: printable bytes stand for themselves, the others for what comes after 255.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        self.alphabet = {b: b if b in shown else next(hidden) for b in range(256)}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word) if word else b""
+        if self.even and word.isalpha() and max(word) < LATIN_END and word == word.lower():
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
+        found = np.array(ids, "<u4").tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            self[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
+            self[word] = found
+        return found
+
+    def encode(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The ids of each text, with ``end`` after them, as binary values."""
+        texts = texts.fill_null("")
+        if self.even:
+            texts = pc.replace_substring_regex(texts, r"(\pL)([.,;:!?])(\s)", r"\1 \2\3")
+        parts = pc.ascii_split_whitespace(texts)
+        words, starts = parts.flatten(), parts.offsets.to_numpy()
+        starts = starts - starts[0]
+        if self.even:
+            plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
+            words = pc.if_else(plain, pc.ascii_lower(words), words)
+        coded = words.dictionary_encode()
+        ids = pa.array([*(self[w] for w in coded.dictionary.to_pylist()), end], pa.binary())
+        order = np.insert(coded.indices.to_numpy(), starts[1:], len(ids) - 1)
+        laid = ids.take(pa.array(order, pa.int32()))
+        at = np.frombuffer(laid.buffers()[1], "<i4")[starts + np.arange(len(starts))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.tobytes()), laid.buffers()[2]])
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder that this worker process keeps."""
+    return WordEncoder(path)
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about SLICE_BYTES of text each, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 class Queues(NamedTuple):
@@ -82,17 +139,30 @@ class Queues(NamedTuple):
         last = -((-total << SHIFT) // quantum)  # the round that empties the queue; also keeps the product small
         return np.where(rounds >= last, total, np.minimum(rounds, last) * quantum >> SHIFT)
 
-    def pieces(self, q: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where tokens start .. start + n of queue ``q`` go: (offsets into the n, output positions)."""
-        tokens = np.arange(start, start + n, dtype=np.int64)
-        rounds = -((-(tokens + 1) << SHIFT) // self.quantum[q]) - 1
-        cuts = np.flatnonzero(np.diff(rounds, prepend=rounds[0] - 1))
-        r = rounds[cuts]
-        every = np.arange(len(self.quantum))
-        before = self.given(every[None, :], r[:, None])
-        after = self.given(every[None, :q], r[:, None] + 1)
-        at = before.sum(axis=1) + (after - before[:, :q]).sum(axis=1) + tokens[cuts] - before[:, q]
-        return cuts, at
+    def pieces(self, q: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where tokens start .. start + n of each row's queue ``q`` go: (row, offset into the n, length, output position).
+
+        There is one piece for each round that a row's tokens leave in; a queue that earns less than a
+        token a round gives every token a round of its own."""
+
+        def turn(token: np.ndarray, quantum: np.ndarray) -> np.ndarray:
+            return -((-(token + 1) << SHIFT) // quantum) - 1
+
+        quantum = self.quantum[q]
+        whole = quantum >= 1 << SHIFT
+        first = turn(start, quantum)
+        count = np.where(whole, turn(start + n - 1, quantum) - first + 1, n)
+        row = np.repeat(np.arange(len(q)), count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        rounds = np.where(whole[row], first[row] + nth, turn(start[row] + nth, quantum[row]))
+        before = self.given(q[row], rounds)
+        offset = np.where(whole[row], np.maximum(before - start[row], 0), nth)
+        length = np.append(offset[1:], 0)
+        length[np.cumsum(count) - 1] = n
+        at = start[row] + offset - before
+        for other in range(len(self.quantum)):
+            at += self.given(other, rounds + (other < q[row]))
+        return row, offset, length - offset, at
 
 
 def plan(totals: dict[int, int], weights: dict[int, float], window: int) -> Queues:
@@ -124,19 +194,17 @@ def pack(
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"), docs[text].alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, end = TaskContext.get().partitionId(), WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, encoder, end = TaskContext.get().partitionId(), word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         given: dict[str | None, int] = {}
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
-                ids, starts, sizes = [], [], []
-                for src, body in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    ids.append(encoder.text(body or "") + end)
-                    sizes.append(len(ids[-1]) // 4)
+            for some in slices(batch, 2):
+                ids = encoder.encode(some.column(2).cast(pa.string()), end)
+                sizes, starts = pc.binary_length(ids).to_numpy() // 4, []
+                for src, n in zip(some.column(1).to_pylist(), sizes.tolist(), strict=True):
                     starts.append(given.get(src, 0))
-                    given[src] = starts[-1] + sizes[-1]
+                    given[src] = starts[-1] + n
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array([part] * len(some), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    [some.column(0), some.column(1), pa.array([part] * len(some), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), ids],
                     ["doc_id", "source", "part", "local_start", "n", "ids"],
                 )
 
@@ -172,35 +240,33 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                some = batch.slice(at, 64)
-                out: list[list] = [[] for _ in range(7)]
-                which: list[int] = []
-                for row, (q, start, n, ids) in enumerate(zip(*(some.column(i).to_pylist() for i in range(2, 6)), strict=True)):
-                    offset, place = queues.pieces(q, start, n)
-                    length = np.diff(offset, append=n)
-                    # A round's tokens may cross the end of a window, and be longer than one.
-                    spans = (place + length - 1) // window - place // window + 1
-                    nth = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
-                    first, begin, size = np.repeat(place, spans), np.repeat(offset, spans), np.repeat(length, spans)
-                    lo = np.where(nth == 0, first, (first // window + nth) * window)
-                    hi = np.minimum(first + size, (first // window + nth + 1) * window)
-                    begin = begin + lo - first
-                    # Pieces that follow each other in one window are one piece.
-                    joins = np.flatnonzero((lo[1:] == hi[:-1]) & (lo[1:] // window == lo[:-1] // window))
-                    keep = np.ones(len(lo), bool)
-                    keep[joins + 1] = False
-                    starts = np.flatnonzero(keep)
-                    lo, begin, hi = lo[starts], begin[starts], hi[np.append(starts[1:], len(hi)) - 1]
-                    cuts = [ids[4 * b : 4 * (b + m)] for b, m in zip(begin.tolist(), (hi - lo).tolist(), strict=True)]
-                    which += [row] * len(lo)
-                    for column, values in zip(out, (begin, hi - lo, [zlib.crc32(c) for c in cuts], [n] * len(lo), lo // window, lo % window, cuts), strict=True):
-                        column.extend(values)
-                kinds = [pa.int64()] * 6 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(pa.array(which, pa.int32())), some.column(1).take(pa.array(which, pa.int32())), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))],
-                    ["doc_id", "source", *NAMES],
-                )
+            for at in range(0, len(batch), SLICE_ROWS):
+                some = batch.slice(at, SLICE_ROWS)
+                q, start, n = (some.column(i).to_numpy() for i in (2, 3, 4))
+                row, offset, length, place = queues.pieces(q, start, n)
+                # A round's tokens may cross the end of a window, and be longer than one.
+                spans = (place + length - 1) // window - place // window + 1
+                nth = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+                row, first, begin, size = (np.repeat(x, spans) for x in (row, place, offset, length))
+                lo = np.where(nth == 0, first, (first // window + nth) * window)
+                hi = np.minimum(first + size, (first // window + nth + 1) * window)
+                begin = begin + lo - first
+                # Pieces of a document that follow each other in one window are one piece.
+                joins = (lo[1:] == hi[:-1]) & (lo[1:] // window == lo[:-1] // window) & (row[1:] == row[:-1])
+                keep = np.flatnonzero(np.concatenate([[True], ~joins]))
+                hi = hi[np.append(keep[1:], len(hi)) - 1]
+                row, lo, begin = row[keep], lo[keep], begin[keep]
+                # The pieces cover the documents in order, so they share their bytes.
+                ids = some.column(5).cast(pa.binary())
+                byte = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1]
+                ends = np.append(byte[row] + 4 * begin, byte[-1]).astype("<i4")
+                raw = memoryview(ids.buffers()[2])
+                places = ends.tolist()
+                crcs = [zlib.crc32(raw[a:b]) for a, b in zip(places, places[1:], strict=False)]
+                cuts = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), ids.buffers()[2]])
+                columns = [pa.array(x, pa.int64()) for x in (begin, hi - lo, crcs, n[row], lo // window, lo % window)]
+                which = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(which), some.column(1).take(which), *columns, cuts], ["doc_id", "source", *NAMES])
 
     return placed.mapInArrow(cut, f"doc_id {kind}, source string, " + ", ".join(f"`{c}` {'binary' if c == 'ids' else 'bigint'}" for c in NAMES))
 
