@@ -1,0 +1,82 @@
+"""Which injectors to raise or lower, at an unchanged total, for the most oil over the horizon.
+
+Spark joins the fitted gains, the allocation weights and the water curves into one row per edge; the
+scenarios (bounds on the multipliers) are optimised in parallel. A group is the edges of the field, sparse
+by blocks, one row each."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.calendar import HORIZON
+
+ROUNDS, DAYS = 300, 365.25 / 12
+
+
+def project(x: np.ndarray, weight: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The nearest point within the bounds whose weighted sum is that of ones; by bisection on the multiplier."""
+    a, b = -1e3, 1e3
+    for _ in range(80):
+        mid = (a + b) / 2
+        total = weight @ np.clip(x - mid * weight, low, high) - weight.sum()
+        a, b = (mid, b) if total > 0 else (a, mid)
+    return np.clip(x - (a + b) / 2 * weight, low, high)
+
+
+def scenarios(panel: DataFrame, injection: DataFrame, gains: DataFrame, weights: DataFrame, curves: DataFrame, flow: DataFrame, last: date, bounds: tuple[float, ...], horizon: int = HORIZON) -> DataFrame:
+    """(bound, inj, base, multiplier, base_oil, best_oil) for each bound on the multipliers' distance from 1.
+
+    Liquid moves from its last rate with the gains' share of the change in injection; the oil share follows
+    the water curve in the cumulative allocated injection."""
+    per_day = F.col("winj_m3") / F.day(F.last_day("date"))
+    now = injection.where(F.col("date") <= F.lit(last)).groupBy("inj").agg(F.max_by(per_day, "date").alias("base"))
+    liq = panel.where(F.col("date") <= F.lit(last)).groupBy("key").agg(F.max_by("liq_tpd", "date").alias("liq"))
+    cum = flow.where(F.col("date") <= F.lit(last)).groupBy("key").agg(F.max_by("w_cum", "date").alias("w_cum"))
+    edges = weights.join(gains.select("inj", "key", "f"), ["inj", "key"], "full").join(now, "inj").join(liq, "key").join(cum, "key").join(curves.drop("cutoff", "n"), "key")
+    edges = edges.na.fill(0.0, ["w", "f"]).withColumn("bound", F.explode(F.array(*(F.lit(b) for b in bounds))))
+
+    def optimise(names: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        keys, k = np.unique(part["key"], return_inverse=True)
+        inj, i = np.unique(part["inj"], return_inverse=True)
+        w, f = (np.zeros((len(keys), len(inj))) for _ in range(2))
+        w[k, i], f[k, i] = part["w"], part["f"]
+        by_key, by_inj = part.drop_duplicates("key").sort_values("key"), part.drop_duplicates("inj").sort_values("inj")
+        base = by_inj["base"].to_numpy(float)
+        liq, cum, la, beta, const = (by_key[c].to_numpy(float) for c in ("liq", "w_cum", "ln_alpha", "beta", "fo_const"))
+        days = DAYS * np.arange(1, horizon + 1)
+
+        def oil(x: np.ndarray) -> tuple[float, np.ndarray]:
+            """The horizon's oil, and its gradient in the multipliers."""
+            rate = np.maximum(liq + f @ (base * (x - 1)), 0.0)
+            water = np.maximum(cum[:, None] + (w @ (base * x))[:, None] * days, 1e-9)
+            share = 1 / (1 + np.exp(la[:, None] + beta[:, None] * np.log(water)))
+            flat = np.isnan(share)
+            share = np.where(flat, np.nan_to_num(const)[:, None], share)
+            slope = np.where(flat, 0.0, -share * (1 - share) * np.nan_to_num(beta)[:, None] / water * days)
+            grad = ((share.sum(axis=1) * (rate > 0))[:, None] * f + (slope.sum(axis=1) * rate)[:, None] * w).sum(axis=0) * base
+            return DAYS * float((share.sum(axis=1) * rate).sum()), DAYS * grad
+
+        low, high, x = 1 - names[0], 1 + names[0], np.ones(len(inj))
+        weight = base / max(base.mean(), 1e-9)
+        start, grad = oil(x)
+        best, step = start, 1.0
+        for _ in range(ROUNDS):
+            trial = project(x + step * names[0] * grad / max(np.abs(grad).max(), 1e-12), weight, low, high)
+            value, slope = oil(trial)
+            if value > best:
+                gain = value - best
+                x, best, grad, step = trial, value, slope, min(1.0, 1.5 * step)
+                if gain < 1e-9 * max(abs(best), 1.0):
+                    break
+            else:
+                step /= 2
+                if step < 1e-6:
+                    break
+        return pd.DataFrame({"bound": names[0], "inj": inj, "base": base, "multiplier": x, "base_oil": start, "best_oil": best})
+
+    return edges.groupBy("bound").applyInPandas(optimise, "bound double, inj string, base double, multiplier double, base_oil double, best_oil double")
