@@ -67,8 +67,8 @@ def conformal(rows: DataFrame, method: str) -> DataFrame:
     half = ranked.where(F.col("r") == F.floor(((F.col("n") + 1) * 8 + 9) / 10)).select(F.col("fold").alias("_f"), F.col("bin").alias("_b"), F.col("a").alias("half"))
     shift = calib.groupBy(F.col("fold").alias("_f2")).agg(F.avg(F.abs("y_pred")).alias("_mean"))
     if method == "mond_sxb":
-        kept = calib.select(F.col("fold").alias("_f3"), "step", "block", "bin").distinct()
-        own = rows.join(kept, (F.col("cutoff") == F.col("_f3")) & (rows["step"] == kept["step"]) & (rows["block"] == kept["block"]), "left").select(*(rows[c] for c in rows.columns), kept["bin"])
+        kept = calib.select(F.col("fold").alias("_fold"), F.col("step").alias("_step"), F.col("block").alias("_block"), "bin").distinct()
+        own = rows.join(kept, (F.col("cutoff") == F.col("_fold")) & (F.col("step") == F.col("_step")) & (F.col("block") == F.col("_block")), "left").select(*rows.columns, "bin")
     else:
         own = rows.withColumn("bin", F.lit("all") if method in ("split", "norm_pred") else F.col("step").cast("string"))
     out = own.join(half, (F.col("cutoff") == F.col("_f")) & (F.col("bin") == F.col("_b")), "left").join(shift, F.col("cutoff") == F.col("_f2"), "left")

@@ -623,7 +623,13 @@ def set_intersect(spark, sf):
 
 @query("key", f"SELECT DISTINCT key FROM rates EXCEPT SELECT key FROM ({_BUSY})", "rates")
 def set_except(spark, sf):
-    return rates(spark, sf).select("key").exceptAll(_busy(spark, sf)).distinct().join(_busy(spark, sf), "key", "left_anti")
+    return rates(spark, sf).select("key").subtract(_busy(spark, sf))
+
+
+@query("key date", "SELECT key, date FROM rates EXCEPT SELECT key, date FROM rates WHERE liq_tpd > 2000", "rates")
+def set_except_months(spark, sf):
+    df = rates(spark, sf)
+    return df.select("key", "date").subtract(df.where("liq_tpd > 2000").select("key", "date"))
 
 
 @query("key block code:i", "SELECT key, block, dense_rank() OVER (ORDER BY block) - 1 AS code FROM sites", "sites")
