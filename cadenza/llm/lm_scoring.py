@@ -82,12 +82,34 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> list[b
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-def train(docs: DataFrame, ids: dict[bytes, int], target: str = "target", text: str = "text", slots: int = SLOTS) -> tuple[Model, Model]:
-    """The target and the background model of ``docs``, whose column ``target`` is boolean."""
-    shared, size = docs.sparkSession.sparkContext.broadcast(ids), len(ids) + 2
+def encode(docs: DataFrame, ids: dict[bytes, int], doc_id: str, text: str = "text") -> DataFrame:
+    """(_doc, _ids): each text as its words' ids, packed in the least unsigned type that holds the vocabulary.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts are joined in this form: two bytes a word at the usual bound."""
+    shared, width = docs.sparkSession.sparkContext.broadcast(ids), packed_type(len(ids))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        for batch in batches:
+            bodies = batch.column(1).cast(pa.large_binary()).to_pylist()
+            rows = [np.array([known.get(w, 1) for w in words_of(body)], width).tobytes() for body in bodies]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["_doc", "_ids"])
+
+    return docs.select(docs[doc_id].alias("_doc"), docs[text]).mapInArrow(pack, f"_doc {docs.schema[doc_id].dataType.simpleString()}, _ids binary")
+
+
+def packed_type(words: int) -> np.dtype:
+    """Two ids come on top of the words': 0 before a text, 1 for words out of the vocabulary."""
+    return np.min_scalar_type(words + 1) if words > 254 else np.dtype(np.uint16)
+
+
+def train(docs: DataFrame, words: int, target: str = "_target", slots: int = SLOTS) -> tuple[Model, Model]:
+    """The target and the background model of ``docs``: packed ids ``_ids``, and ``target``, true or not.
+
+    ``words`` is the size of the vocabulary."""
+    size, width = words + 2, packed_type(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, bool]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -101,17 +123,16 @@ def train(docs: DataFrame, ids: dict[bytes, int], target: str = "target", text:
 
         held_tokens = 0
         for batch in batches:
-            for body, mine in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(body)
-                if words:
-                    held.append((np.fromiter((known.get(w, 1) for w in words), np.int64, len(words)), bool(mine)))
-                    held_tokens += len(words)
+            for packed, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if packed:
+                    held.append((np.frombuffer(packed, width).astype(np.int64), bool(mine)))
+                    held_tokens += len(held[-1][0])
             if held_tokens > 4_000_000:
                 yield from flush()
                 held_tokens = 0
         yield from flush()
 
-    made = docs.select(docs[text], docs[target].cast("boolean")).mapInArrow(count, "kind int, key bigint, hits bigint, n bigint")
+    made = docs.select("_ids", docs[target].cast("boolean")).mapInArrow(count, "kind int, key bigint, hits bigint, n bigint")
     summed = made.groupBy("kind", "key").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
     shapes = (size, size, slots)
     tables = [[np.zeros(n, np.float64) for n in shapes] for _ in range(2)]
@@ -128,12 +149,12 @@ def train(docs: DataFrame, ids: dict[bytes, int], target: str = "target", text:
 def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab: int = VOCAB, slots: int = SLOTS) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row; means over the tokens.
 
-    ``targets`` has the doc_id of the target corpus' documents. Only training joins it to the texts.
+    ``targets`` has the doc_id of the target corpus' documents. Only training joins it, to the packed ids.
     """
     ids = {w: i + 2 for i, w in enumerate(vocabulary(docs, text, vocab))}
     marks = targets.select(F.col("doc_id").alias("_id")).distinct().withColumn("_target", F.lit(True))
-    marked = docs.select(docs[doc_id].alias("_doc"), docs[text].alias("text")).join(marks, F.col("_doc") == F.col("_id"), "left")
-    models = train(marked, ids, "_target", "text", slots)
+    marked = encode(docs, ids, doc_id, text).join(marks, F.col("_doc") == F.col("_id"), "left")
+    models = train(marked, len(ids), slots=slots)
     shared = docs.sparkSession.sparkContext.broadcast((ids, models))
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
