@@ -5,11 +5,15 @@ vocabulary, from counts of the whole corpus. The target's counts come from the r
 the background's from all rows. A document's score is the mean over its tokens of the target loss less
 the background loss, in nats; lower is closer to the target.
 
-Words are the ASCII white-space separated parts of the text, lower-cased. The vocabulary is the
-``VOCAB`` most frequent words of the corpus (ties by the word), a bound of the model; all other words
-share one id. Bigrams are hashed into ``SLOTS`` classes, a bound of the model as well. Counts are summed
-by Spark; what a task sends grows with the distinct words and bigrams it reads, and the finished model,
-whose size the two bounds fix, is broadcast to the scoring tasks.
+Words are the ASCII white-space separated parts of the text, lower-cased. The vocabulary is every word
+of the corpus and the bigrams are counted exactly, so both grow with the input and stay Spark tables; the
+driver takes two numbers, the words' and the tokens'. Documents are dealt by their id into groups of some
+``GROUP_TOKENS`` tokens. A group sends each of its distinct words, contexts and bigrams once with its
+counts; they are summed by key and sent back to the groups that hold the key, which score their own
+documents. So a common bigram is a row per group that has it, not a row per place. Keys are the words.
+
+With ``vocab`` or ``slots`` given the model is bounded instead: the ``vocab`` most frequent words (ties by
+the word), all others sharing one id, and bigrams hashed into ``slots`` classes; it is broadcast.
 
 Defined cases: a null or empty text has no tokens and a null score; a null doc_id is no target; rows are documents of their own, repeated or not; without any target row the target
 model is uniform over the vocabulary; extra columns are ignored; an empty table gives an empty table.
@@ -23,9 +27,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tokens of a group of documents, about.
+GROUP_TOKENS = 1 << 21
+#: Bounds of a bounded model of which only one is given.
 VOCAB = 50_000
 SLOTS = 1 << 21
 #: Weights of the bigram, the unigram and the uniform part.
@@ -65,8 +73,8 @@ class Model(NamedTuple):
         return -np.log(a * two + b * one + c / size)
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> list[bytes]:
-    """The most frequent words; counts are combined in the tasks before they are shuffled."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n); counts are combined in the tasks before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -78,8 +86,12 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> list[b
                 seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    counts = docs.select(docs[text]).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    return docs.select(docs[text]).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> list[bytes]:
+    """The most frequent words."""
+    return [bytes(r["word"]) for r in word_counts(docs, text).orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 def encode(docs: DataFrame, ids: dict[bytes, int], doc_id: str, text: str = "text") -> DataFrame:
@@ -146,11 +158,8 @@ def train(docs: DataFrame, words: int, target: str = "_target", slots: int = SLO
     return tuple(Model(*(x.astype(np.float32) for x in t), float(t[0].sum())) for t in tables)
 
 
-def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab: int = VOCAB, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) for each row; means over the tokens.
-
-    ``targets`` has the doc_id of the target corpus' documents. Only training joins it, to the packed ids.
-    """
+def score_bounded(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab: int = VOCAB, slots: int = SLOTS) -> DataFrame:
+    """``score`` by a model of bounded size. Only training joins the targets, to the packed ids."""
     ids = {w: i + 2 for i, w in enumerate(vocabulary(docs, text, vocab))}
     marks = targets.select(F.col("doc_id").alias("_id")).distinct().withColumn("_target", F.lit(True))
     marked = encode(docs, ids, doc_id, text).join(marks, F.col("_doc") == F.col("_id"), "left")
@@ -177,3 +186,111 @@ def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str
     kind = docs.schema[doc_id].dataType.simpleString()
     found = docs.select(docs[doc_id].alias("doc_id"), docs[text]).mapInArrow(losses, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+class Group(NamedTuple):
+    """The documents of a group over its own words, ascending; word 0 is the start of a text, which no word has.
+
+    ``rows`` are the rows with a text of words, ``at`` the bounds of their tokens, ``mine`` marks the target's tokens.
+    A bigram's number is that of the word before times the number of words, and the word's."""
+
+    words: list[bytes]
+    tokens: np.ndarray
+    bigrams: np.ndarray
+    rows: np.ndarray
+    at: np.ndarray
+    mine: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Group:
+        is_mark = table.column("_mark").to_numpy(zero_copy_only=False)
+        texts = [None if m else words_of(b) for m, b in zip(is_mark, table.column("_text").cast(pa.large_binary()).to_pylist(), strict=True)]
+        docs, marks = table.column("_doc").combine_chunks(), table.column("_doc").filter(pa.array(is_mark)).drop_null()
+        targeted = pc.is_in(docs, value_set=marks.combine_chunks(), skip_nulls=True).to_numpy(zero_copy_only=False)
+        words = [b"", *sorted(set().union(*(t for t in texts if t)))]
+        number = {w: i for i, w in enumerate(words)}
+        rows = np.array([i for i, t in enumerate(texts) if t], np.int64)
+        sizes = np.array([len(texts[i]) for i in rows], np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        tokens = np.fromiter((number[w] for i in rows for w in texts[i]), np.int64, int(at[-1]))
+        before = np.concatenate([[0], tokens[:-1]])[: len(tokens)]
+        before[at[:-1]] = 0
+        return cls(words, tokens, before * len(words) + tokens, rows, at, np.repeat(targeted[rows], sizes))
+
+    def keys(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, their counts in the target and in all, and each token's bigram among the distinct ones.
+
+        The keys are '' for all tokens, each word but the start as 'word', each word as the word before as
+        'word ', and 'word word'; no word holds a blank, so no two are alike."""
+        size = len(self.words)
+        pairs, place, n = np.unique(self.bigrams, return_inverse=True, return_counts=True)
+        hits = np.bincount(place[self.mine], minlength=len(pairs))
+        words = pa.array(self.words, pa.large_binary())
+        first, second = (words.take(pa.array(x)) for x in (pairs // size, pairs % size))
+        blank, none = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary())
+        # A text's last token is the word before of none.
+        keys = pa.concat_arrays([pa.array([b""], pa.large_binary()), words.slice(1), pc.binary_join_element_wise(words, none, blank), pc.binary_join_element_wise(first, second, blank)])
+
+        def counted(weights: np.ndarray) -> np.ndarray:
+            return np.concatenate([[weights.sum()], np.bincount(pairs % size, weights, size)[1:], np.bincount(pairs // size, weights, size), weights]).astype(np.int64)
+
+        return keys, counted(hits), counted(n), place
+
+
+def losses_of(words: np.ndarray, before: np.ndarray, both: np.ndarray, total: float, size: int) -> np.ndarray:
+    """-ln p of each bigram from the counts of its word, of its word before as such, and its own."""
+    a, b, c = MIX
+    if not total:
+        return np.full(len(both), np.log(size))
+    one = words / total
+    # A context never seen gives its weight to the unigrams.
+    two = np.where(before > 0, both / np.maximum(before, 1), one)
+    return -np.log(a * two + b * one + c / size)
+
+
+def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab: int | None = None, slots: int | None = None, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) for each row; means over the tokens.
+
+    ``targets`` has the doc_id of the target corpus' documents; they are sent to the documents' groups."""
+    if vocab is not None or slots is not None:
+        return score_bounded(docs, targets, doc_id, text, VOCAB if vocab is None else vocab, SLOTS if slots is None else slots)
+    found = word_counts(docs, text).agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    # As with the bounded model, the start and an unknown word have their share of the uniform part.
+    size, groups = found["words"] + 2, max(1, -(-found["tokens"] // group_tokens))
+    kind = docs.schema[doc_id].dataType
+    rows = docs.select(docs[doc_id].alias("_doc"), docs[text].alias("_text"), F.lit(False).alias("_mark"))
+    marks = targets.select(F.col("doc_id").cast(kind).alias("_doc"), F.lit(None).cast(docs.schema[text].dataType).alias("_text"), F.lit(True).alias("_mark"))
+    dealt = F.pmod(F.when(F.col("_doc").isNull(), F.xxhash64("_text")).otherwise(F.xxhash64("_doc")), F.lit(groups)).cast("int")
+    grouped = rows.unionByName(marks).select(dealt.alias("_group"), "_doc", "_text", "_mark")
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, hits, n, _ = Group.of(table).keys()
+        group = pa.array(np.full(len(keys), table.column("_group")[0].as_py(), np.int32))
+        return pa.table([keys.cast(pa.binary()), group, pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(hits), pa.array(n)], ["key", "group", "place", "hits", "n"])
+
+    sent = grouped.groupBy("_group").applyInArrow(count, "key binary, group int, place int, hits bigint, n bigint")
+    same = Window.partitionBy("key")
+    back = sent.select("group", "place", F.sum("hits").over(same).alias("hits"), F.sum("n").over(same).alias("n"))
+
+    def losses(table: pa.Table, counts: pa.Table) -> pa.Table:
+        group = Group.of(table)
+        place = group.keys()[3]
+        order, own = counts.column("place").to_numpy(), len(group.words)
+        pairs = np.unique(group.bigrams)
+        means = []
+        for name in ("hits", "n"):
+            summed = np.empty(len(order), np.float64)
+            summed[order] = counts.column(name).to_numpy()
+            words, before, both = summed[:own], summed[own : 2 * own], summed[2 * own :]
+            one = losses_of(words[pairs % own], before[pairs // own], both, summed[0], size)[place]
+            means.append(np.add.reduceat(one, group.at[:-1]) / np.diff(group.at) if len(group.rows) else np.zeros(0))
+        whole = np.flatnonzero(~table.column("_mark").to_numpy(zero_copy_only=False))
+        spread = np.full((3, table.num_rows), np.nan)
+        spread[0] = 0
+        spread[:, group.rows] = np.diff(group.at), *means
+        tokens, near, far = spread[:, whole]
+        none = tokens == 0
+        return pa.table([table.column("_doc").take(pa.array(whole)), pa.array(tokens.astype(np.int64)), pa.array(near, mask=none), pa.array(far, mask=none)], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+    scored = grouped.groupBy("_group").cogroup(back.groupBy("group")).applyInArrow(losses, f"doc_id {kind.simpleString()}, n_tokens bigint, target_loss double, background_loss double")
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
