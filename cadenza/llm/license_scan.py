@@ -4,6 +4,11 @@ A text is brought to a canonical form (case, punctuation, copyright lines and eq
 evened out), and the SHA-256 of the whole form is looked up among the digests of known licences with a
 hash join. The canonical lines of a text are looked up in the same way among known one-line notices.
 
+A text that isn't known as it stands is looked up once more without its head, which is the titles and
+copyright lines, with a year or not, that its first ``HEAD_LINES`` canonical lines begin with. The full
+texts of more licences are in the folder ``licenses``, by their name; they are known without their head,
+and Apache's and the GNU licences also without what follows the terms.
+
 The known table is made from the texts given, so its size is that of a parameter, a few dozen rows; it
 is broadcast. All of it is expressions: no text leaves the scan but as a digest that matched.
 
@@ -14,6 +19,8 @@ empty table.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +42,17 @@ PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”–—
 #: A canonical line that only says who holds the rights.
 COPYRIGHT_LINE = r"^(copyright\b.*[0-9]{4}.*|all rights reserved)$"
 
+#: Canonical lines that may stand before a licence's text.
+HEAD_LINES = 12
+HEAD = (
+    r"^(copyright\b.*|all rights reserved|creative commons legal code|cc0 1 0 universal|version [0-9]( [0-9])?( [0-9]* ?[a-z]+ [0-9]{4})?|www apache org licenses"
+    r"|(the |a )?(mit|expat|x11|isc|zlib|libpng|([a-z0-9]+ ){0,4}bsd|apache|artistic|mozilla public|gnu (lesser general|library general|general) public|gnu free documentation)"
+    r"( [a-z0-9]+){0,4} license( [a-z0-9]+){0,6})$"
+)
+FOLDER = Path(__file__).parent / "licenses"
+#: Where the terms end, and the line of Apache's appendix that users fill in.
+TERMS_END, TO_FILL_IN = "END OF TERMS AND CONDITIONS", "Copyright [yyyy] [name of copyright owner]"
+
 #: Known licences by whole text, and notices of one line. Fixed values.
 LICENSES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -70,12 +88,34 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(even, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
 
 
+def without_head(lines: Column) -> Column:
+    """The lines from the first one that is neither a title nor a copyright line; all of them if there is none."""
+    body = F.array_position(F.transform(F.slice(lines, 1, HEAD_LINES), lambda x: ~x.rlike(HEAD)), F.lit(True)).cast("int")
+    return F.when(body > 1, F.slice(lines, body, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files, in the forms in which they are passed on; a file is named LICENCE.txt or LICENCE.VARIANT.txt."""
+    made = []
+    for file in sorted(FOLDER.glob("*.txt")):
+        name, text = file.stem.removesuffix(".regents"), file.read_text("utf-8")
+        forms = {text, text.replace(TO_FILL_IN, "")}
+        if TERMS_END in text:
+            upto = text[: text.index(TERMS_END)]
+            forms |= {upto, upto + TERMS_END}
+        made += [(name, form) for form in sorted(forms)]
+    return made
+
+
 def known(spark, licenses: dict[str, str] | None = None, notices: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(kind, digest, license) of the known texts; one licence per digest."""
-    rows = [("text", k, t) for k, t in (LICENSES if licenses is None else licenses).items()]
+    """(kind, digest, license) of the known texts; one licence per digest. The kind 'body' is of texts without their head."""
+    rows = [(kind, k, t) for k, t in (LICENSES if licenses is None else licenses).items() for kind in ("text", "body")]
+    rows += [("body", k, t) for k, t in full_texts()] if licenses is None else []
     rows += [("notice", k, t) for k, ts in (NOTICES if notices is None else notices).items() for t in ts]
     texts = spark.createDataFrame(rows, "kind string, license string, text string")
-    made = texts.select("kind", "license", F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"))
+    lines = canonical_lines(F.col("text"))
+    lines = let(lines, lambda x: F.when(F.col("kind") == "body", without_head(x)).otherwise(x))
+    made = texts.select("kind", "license", F.sha2(F.array_join(lines, " "), 256).alias("digest"))
     return made.groupBy("kind", "digest").agg(F.min("license").alias("license"))
 
 
@@ -87,6 +127,7 @@ def scan(docs: DataFrame, table: DataFrame | None = None, doc_id: str = "doc_id"
     def digests(lines: Column) -> Column:
         return F.struct(
             F.sha2(F.array_join(lines, " "), 256).alias("whole"),
+            F.sha2(F.array_join(without_head(lines), " "), 256).alias("body"),
             F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256))).alias("lines"),
         )
 
@@ -94,10 +135,12 @@ def scan(docs: DataFrame, table: DataFrame | None = None, doc_id: str = "doc_id"
     notices = table.where("kind = 'notice'").select(F.col("digest").alias("line"), F.col("license").alias("notice"))
     found = made.select(F.col("doc_id").alias("doc"), F.explode("d.lines").alias("line")).join(notices, "line")
     found = found.groupBy("doc").agg(F.sort_array(F.collect_set("notice")).alias("notices"))
-    whole = table.where("kind = 'text'").select(F.col("digest").alias("whole"), "license")
+    whole = table.where("kind = 'text'").select(F.col("digest").alias("whole"), F.col("license").alias("as_whole"))
+    body = table.where("kind = 'body'").select(F.col("digest").alias("known_body"), F.col("license").alias("as_body"))
     return (
-        made.select("doc_id", F.col("d.whole").alias("digest"))
+        made.select("doc_id", F.col("d.whole").alias("digest"), F.col("d.body").alias("body"))
         .join(whole, F.col("digest") == F.col("whole"), "left")
+        .join(body, F.col("body") == F.col("known_body"), "left")
         .join(found, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
-        .select("doc_id", "digest", "license", F.coalesce("notices", F.expr("cast(array() as array<string>)")).alias("notices"))
+        .select("doc_id", "digest", F.coalesce("as_whole", "as_body").alias("license"), F.coalesce("notices", F.expr("cast(array() as array<string>)")).alias("notices"))
     )
