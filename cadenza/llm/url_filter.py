@@ -3,12 +3,17 @@
 1. Every url becomes a host and a template: in each path segment runs of digits, and long hexadecimal
    or very long segments, are replaced by ``*``.
 2. Templates are counted per host with their labels (one row per template from here on). A node of the
-   tree with more than ``MAX_CHILDREN`` distinct children is variable: its children become ``*``.
+   tree with more than ``MAX_CHILDREN`` distinct children is variable: its children become ``*``. Nodes are
+   taken level by level, so the children of all that became one ``*`` are counted together.
 3. A branch whose share of bad labels doesn't differ from its siblings' (a two-proportion z-test) is
-   merged with its parent; else it stands alone.
+   merged with its parent; else it stands alone. The parent is then held against its own siblings in the
+   same way, and so on up to the host.
 4. A template's purity is ``(bad + PRIOR_WEIGHT * prior) / (labelled + PRIOR_WEIGHT)`` with the prior the
    share of bad labels overall; templates above ``threshold`` are rejected.
 
+There is a step for each level of the deepest path up to ``MAX_LEVELS``; segments below that are kept as
+they are. The tables between the steps, of a row per template or branch, are stored.
+
 Rules come first: a rule names a host with its subdomains and a path prefix, and the longest that fits
 decides. They are a parameter of bounded length, compiled into one expression.
 
@@ -25,8 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_CHILDREN = 20
+MAX_LEVELS = 32
 PRIOR_WEIGHT = 10.0
 #: The z-score beyond which a branch differs from its siblings.
 MERGE_Z = 1.96
@@ -61,26 +69,44 @@ def template(path: Column) -> Column:
 def tree(pages: DataFrame, max_children: int = MAX_CHILDREN, merge_z: float = MERGE_Z, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
     """(host, template, merged, purity) from rows of host, template and bad (1, 0 or null)."""
     counts = pages.groupBy("host", "template").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    # The prefix before each segment, and the segment.
-    segments = F.split("template", "/")
-    steps = F.transform(segments, lambda s, i: F.struct(i.alias("i"), F.array_join(F.slice(segments, 1, i), "/").alias("prefix"), s.alias("segment")))
-    nodes = counts.select("host", "template", F.explode(steps).alias("s")).select("host", "template", "s.*")
-    wide = nodes.groupBy("host", "prefix").agg(F.count_distinct("segment").alias("children")).where(F.col("children") > max_children)
-    # The extension of a variable segment stays.
-    star = F.concat(F.lit("*"), F.regexp_extract("segment", r"(\.[A-Za-z]+)?$", 0))
-    made = nodes.join(wide, ["host", "prefix"], "left").withColumn("to", F.when(F.col("children").isNull() | (F.col("segment") == ""), F.col("segment")).otherwise(star))
-    general = made.groupBy("host", "template").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "to"))), lambda x: x["to"]), "/").alias("merged"))
-    branches = counts.join(general, ["host", "template"]).groupBy("host", "merged").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    branches = branches.withColumn("parent", F.regexp_replace("merged", "[^/]*/?$", ""))
-    parents = branches.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("bad").alias("pbad"))
-    prior = counts.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("prior"))
-    both = branches.join(parents, ["host", "parent"]).crossJoin(F.broadcast(prior))  # the prior is one row
+    counts = stored(counts, "url-templates")
+    prior, depth = counts.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)), F.coalesce(F.max(F.size(F.split("template", "/"))), F.lit(1))).first()
+    levels = min(depth, MAX_LEVELS)
+
+    # Every path begins with an empty segment; the root counts it among its children.
+    general = counts.select("host", "template", "n", "bad", F.split("template", "/").alias("segments"), F.lit("").alias("merged"))
+    for i in range(1, levels):
+        segment = F.get("segments", F.lit(i))
+        nodes = general.where(segment.isNotNull()).groupBy("host", "merged").agg(F.count_distinct(segment).alias("children"), F.max(segment == "").alias("empty"))
+        if i == 1:
+            nodes = nodes.withColumn("children", F.col("children") + (~F.col("empty")).cast("int"))
+        wide = nodes.where(F.col("children") > max_children).select("host", "merged", F.lit(True).alias("wide"))
+        # The extension of a variable segment stays.
+        star = F.concat(F.lit("*"), F.regexp_extract(segment, r"(\.[A-Za-z]+)?$", 0))
+        to = F.when(F.col("wide").isNull() | (segment == ""), segment).otherwise(star)
+        general = general.join(wide, ["host", "merged"], "left").select("host", "template", "n", "bad", "segments", F.when(segment.isNull(), F.col("merged")).otherwise(F.concat("merged", F.lit("/"), to)).alias("merged"))
+        general = stored(general, f"url-level-{i}")
+    if depth > levels:
+        below = F.array_join(F.slice("segments", levels + 1, depth), "/")
+        general = general.withColumn("merged", F.when(F.size("segments") > levels, F.concat("merged", F.lit("/"), below)).otherwise(F.col("merged")))
+
+    # rounds[0] are the branches, each next one their parents, up to the hosts.
+    rounds = [stored(general.groupBy("host", F.col("merged").alias("node")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-round-0")]
+    parent = F.regexp_replace("node", "[^/]*/?$", "")
+    for i in range(1, levels + 1):
+        rounds.append(stored(rounds[-1].groupBy("host", parent.alias("node")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), f"url-round-{i}"))
+
+    # The pool that each node ends in, from the hosts down.
+    pools = rounds[-1].select("host", "node", F.col("n").alias("pool_n"), F.col("bad").alias("pool_bad"))
     n, bad, pn, pbad = (F.col(c).cast("double") for c in ("n", "bad", "pn", "pbad"))
     rest, pool = pn - n, pbad / F.nullif(pn, F.lit(0.0))
     z = F.abs(bad / F.nullif(n, F.lit(0.0)) - (pbad - bad) / F.nullif(rest, F.lit(0.0))) / F.nullif(F.sqrt(pool * (1 - pool) * (1 / F.nullif(n, F.lit(0.0)) + 1 / F.nullif(rest, F.lit(0.0)))), F.lit(0.0))
     alone = F.coalesce(z > merge_z, F.lit(False))
-    purity = (F.when(alone, bad).otherwise(pbad) + prior_weight * F.col("prior")) / (F.when(alone, n).otherwise(pn) + prior_weight)
-    return general.join(both.select("host", "merged", purity.alias("purity")), ["host", "merged"])
+    for own, above in zip(rounds[-2::-1], rounds[:0:-1], strict=True):
+        up = above.select("host", F.col("node").alias("parent"), F.col("n").alias("pn"), F.col("bad").alias("pbad")).join(pools.withColumnRenamed("node", "parent"), ["host", "parent"])
+        pools = own.withColumn("parent", parent).join(up, ["host", "parent"]).select("host", "node", F.when(alone, F.col("n")).otherwise(F.col("pool_n")).alias("pool_n"), F.when(alone, F.col("bad")).otherwise(F.col("pool_bad")).alias("pool_bad"))
+    purity = (F.col("pool_bad") + prior_weight * prior) / (F.col("pool_n") + prior_weight)
+    return general.select("host", "template", "merged").join(pools.select("host", F.col("node").alias("merged"), purity.alias("purity")), ["host", "merged"])
 
 
 def judge(pages: DataFrame, rules: dict[str, str], labels: DataFrame | None = None, threshold: float = 0.5, page_id: str = "page_id", url: str = "url") -> DataFrame:
