@@ -40,7 +40,9 @@ def unit_sum(w: np.ndarray) -> np.ndarray:
 
 
 def bounded_lsq(residuals: Callable[[np.ndarray], np.ndarray], x0: np.ndarray, low: np.ndarray, high: np.ndarray, evals: int = 200, tol: float = 1e-10) -> np.ndarray:
-    """Levenberg-Marquardt within bounds: steps are projected, and variables held at a bound are left out."""
+    """Levenberg-Marquardt within bounds: steps are projected, and variables held at a bound are left out.
+
+    ``evals`` bounds the residuals taken at trial points; those of the Jacobian's columns don't count."""
     x = np.clip(np.asarray(x0, float), low, high)
     r = residuals(x)
     cost, damp, used = r @ r, 1e-2, 1
@@ -53,7 +55,6 @@ def bounded_lsq(residuals: Callable[[np.ndarray], np.ndarray], x0: np.ndarray, l
             moved = x.copy()
             moved[k] += h
             jac[:, k] = (residuals(moved) - r) / h
-        used += len(x)
         grad = jac.T @ r
         held = ((x <= low) & (grad > 0)) | ((x >= high) & (grad < 0))
         move = ~held
