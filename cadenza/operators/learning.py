@@ -24,14 +24,24 @@ def _vector(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def _trees(seed: int, loss: str = "squared", trees: int = 20) -> GBTRegressor:
-    return GBTRegressor(labelCol="y", maxIter=trees, maxDepth=4, stepSize=0.1, minInstancesPerNode=20, subsamplingRate=0.9, lossType=loss, seed=seed)
+def _trees(seed: int, trees: int, step: float, depth: int, loss: str = "squared") -> GBTRegressor:
+    return GBTRegressor(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=20, subsamplingRate=0.9, lossType=loss, seed=seed)
+
+
+def forecaster() -> GBTRegressor:
+    """Depth 5 holds the 31 leaves of the surveyed model."""
+    return _trees(0, 600, 0.03, 5)
+
+
+def stacker() -> GBTRegressor:
+    """Depth 4 holds the 15 leaves of the surveyed model."""
+    return _trees(42, 300, 0.05, 4, "absolute")
 
 
 def train(panel: DataFrame, value: str, upto: date, extra: list[str] = (), key: str = "key") -> GBTRegressionModel:
     """Trees over the lags of all series up to a date: one model for the field."""
     rows = lags(panel, value, LAGS, MEANS, key).where(F.col("date") <= F.lit(upto)).withColumn("y", F.col(value)).na.drop(subset=["y", *FEATURES, *extra])
-    return _trees(0).fit(_vector(rows, [*FEATURES, *extra]).select("features", "y"))
+    return forecaster().fit(_vector(rows, [*FEATURES, *extra]).select("features", "y"))
 
 
 def backtest(panel: DataFrame, value: str, cutoffs: list[date], horizon: int = HORIZON, key: str = "key") -> DataFrame:
@@ -72,7 +82,7 @@ def meta(matrix: DataFrame, models: list[str], features: DataFrame, cutoffs: lis
     vectors = _vector(rows, names).select("cutoff", "key", "step", "date", "y_true", "y", "features")
     parts = []
     for c in cutoffs:
-        model = _trees(42, "absolute").fit(vectors.where(F.col("cutoff") != F.lit(c)).select("features", "y"))
+        model = stacker().fit(vectors.where(F.col("cutoff") != F.lit(c)).select("features", "y"))
         parts.append(model.transform(vectors.where(F.col("cutoff") == F.lit(c))).select("cutoff", "key", "step", "date", "y_true", F.greatest("prediction", F.lit(0.0)).alias("y_pred")))
     out = parts[0]
     for p in parts[1:]:

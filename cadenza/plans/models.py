@@ -105,7 +105,7 @@ def ens_greedy_step(spark, sf):
 
 @query("inj key same_block n:i reliable coherence:6 p:6")
 def coherence_pairs(spark, sf):
-    return N.coherence(S.injection(spark, sf), K.rates(spark, sf), K.CUTOFFS[-1], permutations=19)
+    return N.coherence(S.injection(spark, sf), K.rates(spark, sf), K.CUTOFFS[-1])
 
 
 def _points(spark, sf):
