@@ -2,261 +2,172 @@
 
 A target model and a background model are trained alike: interpolated bigram models over one shared
 vocabulary, from counts of the whole corpus. The target's counts come from the rows marked as target,
-the background's from all rows. A document's score is the mean over its tokens of the target loss less
-the background loss, in nats; lower is closer to the target.
-
-Words are the ASCII white-space separated parts of the text, lower-cased. The vocabulary is every word
-of the corpus and the bigrams are counted exactly, so both grow with the input and stay Spark tables; the
-driver takes two numbers, the words' and the tokens'. Documents are dealt by their id into groups of some
-``GROUP_TOKENS`` tokens. A group sends each of its distinct words, contexts and bigrams once with its
-counts; they are summed by key and sent back to the groups that hold the key, which score their own
-documents. So a common bigram is a row per group that has it, not a row per place. Keys are the words.
-
-With ``vocab`` or ``slots`` given the model is bounded instead: the ``vocab`` most frequent words (ties by
-the word), all others sharing one id, and bigrams hashed into ``slots`` classes; it is broadcast.
-
-Defined cases: a null or empty text has no tokens and a null score; a null doc_id is no target; rows are documents of their own, repeated or not; without any target row the target
-model is uniform over the vocabulary; extra columns are ignored; an empty table gives an empty table.
+the background's from all rows. A row is scored by models that leave its own counts out, so that no text
+is told from others by having been learnt itself; what other rows repeat of it still counts. The score is
+the mean over its tokens of the target loss less the background loss, in nats; lower is closer to the target.
+
+Words are the ASCII white-space separated parts of the text, with A-Z lower-cased. Every word of the corpus
+and every bigram is counted, without a cap, and nothing of it passes through the driver:
+
+1. documents are dealt by their id into groups of some ``GROUP_BYTES`` of text. A group counts its distinct
+   words and bigrams once, and sends each block of keys one message of sorted, delta-coded keys and packed
+   counts: some six bytes a key. There are as many blocks as groups, so a task's work stays the same size.
+2. a block sums its messages and answers each with what the other groups counted for the same keys, in the
+   same order, and with the block's share of the totals;
+3. a group meets its answers and scores its rows. Its texts are shuffled once for both steps.
+
+Keys are 64-bit hashes (XXH64) of words, and of pairs of them; two of n keys are alike with odds of n * n / 2**65.
+
+Defined cases: a null or empty text has no tokens and a null score; a null doc_id is no target; rows are
+documents of their own, repeated or not; without any (other) target row the target model is uniform over the
+vocabulary; texts are scored whole, however long, a longer one than a group being a group; extra columns are
+ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import zlib
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a group of documents, about.
-GROUP_TOKENS = 1 << 21
-#: Bounds of a bounded model of which only one is given.
-VOCAB = 50_000
-SLOTS = 1 << 21
+#: Bytes of text in a group of documents, about.
+GROUP_BYTES = 8 << 20
 #: Weights of the bigram, the unigram and the uniform part.
 MIX = (0.6, 0.3, 0.1)
+#: The key of the start of a text as the word before, and the factors that mix the keys of two words.
+START, LEFT, RIGHT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as compressed numbers of the least width that holds them."""
+    width = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([width.itemsize]) + zlib.compress(counts.astype(width).tobytes(), 1)
 
 
-def slots_of(ids: np.ndarray, slots: int) -> np.ndarray:
-    """The class of each bigram; a text starts after id 0, which no word has."""
-    before = np.concatenate([[0], ids[:-1]]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % slots
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(memoryview(raw)[1:]), f"<u{raw[0]}").astype(np.int64)
 
 
-class Model(NamedTuple):
-    """Counts of one corpus: of ids as words, of ids as the word before, and of bigram classes."""
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the bytes that their differences need."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    words: np.ndarray
-    before: np.ndarray
-    slots: np.ndarray
-    total: float
 
-    def losses(self, ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """-ln p of each token."""
-        a, b, c = MIX
-        size, total = len(self.words), self.total
-        if not total:
-            return np.full(len(ids), np.log(size))
-        before = np.concatenate([[0], ids[:-1]])
-        seen = self.before[before]
-        one = self.words[ids] / total
-        # Classes may be shared, so a share is 1 at most; a context never seen gives its weight to the unigrams.
-        two = np.where(seen > 0, np.minimum(1.0, self.slots[slots] / np.maximum(seen, 1)), one)
-        return -np.log(a * two + b * one + c / size)
-
-
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n); counts are combined in the tasks before they are shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for batch in batches:
-            for body in batch.column(0).cast(pa.large_binary()).to_pylist():
-                seen.update(words_of(body))
-            if len(seen) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    return docs.select(docs[text]).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCAB) -> list[bytes]:
-    """The most frequent words."""
-    return [bytes(r["word"]) for r in word_counts(docs, text).orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
-def encode(docs: DataFrame, ids: dict[bytes, int], doc_id: str, text: str = "text") -> DataFrame:
-    """(_doc, _ids): each text as its words' ids, packed in the least unsigned type that holds the vocabulary.
-
-    Texts are joined in this form: two bytes a word at the usual bound."""
-    shared, width = docs.sparkSession.sparkContext.broadcast(ids), packed_type(len(ids))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            bodies = batch.column(1).cast(pa.large_binary()).to_pylist()
-            rows = [np.array([known.get(w, 1) for w in words_of(body)], width).tobytes() for body in bodies]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["_doc", "_ids"])
-
-    return docs.select(docs[doc_id].alias("_doc"), docs[text]).mapInArrow(pack, f"_doc {docs.schema[doc_id].dataType.simpleString()}, _ids binary")
-
-
-def packed_type(words: int) -> np.dtype:
-    """Two ids come on top of the words': 0 before a text, 1 for words out of the vocabulary."""
-    return np.min_scalar_type(words + 1) if words > 254 else np.dtype(np.uint16)
-
-
-def train(docs: DataFrame, words: int, target: str = "_target", slots: int = SLOTS) -> tuple[Model, Model]:
-    """The target and the background model of ``docs``: packed ids ``_ids``, and ``target``, true or not.
-
-    ``words`` is the size of the vocabulary."""
-    size, width = words + 2, packed_type(words)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, bool]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for mine in (True, False):
-                rows = [x for x, t in held if t == mine]
-                if rows:
-                    for kind, values in enumerate((np.concatenate(rows), np.concatenate([np.concatenate([[0], x[:-1]]) for x in rows]), np.concatenate([slots_of(x, slots) for x in rows]))):
-                        key, n = np.unique(values, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n * mine), pa.array(n)], ["kind", "key", "hits", "n"])
-            held.clear()
-
-        held_tokens = 0
-        for batch in batches:
-            for packed, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if packed:
-                    held.append((np.frombuffer(packed, width).astype(np.int64), bool(mine)))
-                    held_tokens += len(held[-1][0])
-            if held_tokens > 4_000_000:
-                yield from flush()
-                held_tokens = 0
-        yield from flush()
-
-    made = docs.select("_ids", docs[target].cast("boolean")).mapInArrow(count, "kind int, key bigint, hits bigint, n bigint")
-    summed = made.groupBy("kind", "key").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-    shapes = (size, size, slots)
-    tables = [[np.zeros(n, np.float64) for n in shapes] for _ in range(2)]
-    # At most 2 * size + slots rows, whatever the corpus.
-    rows = summed.toArrow()
-    kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy()
-    for table, column in zip(tables, ("hits", "n"), strict=True):
-        values = rows.column(column).to_numpy()
-        for k in range(3):
-            table[k][key[kind == k]] = values[kind == k]
-    return tuple(Model(*(x.astype(np.float32) for x in t), float(t[0].sum())) for t in tables)
-
-
-def score_bounded(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab: int = VOCAB, slots: int = SLOTS) -> DataFrame:
-    """``score`` by a model of bounded size. Only training joins the targets, to the packed ids."""
-    ids = {w: i + 2 for i, w in enumerate(vocabulary(docs, text, vocab))}
-    marks = targets.select(F.col("doc_id").alias("_id")).distinct().withColumn("_target", F.lit(True))
-    marked = encode(docs, ids, doc_id, text).join(marks, F.col("_doc") == F.col("_id"), "left")
-    models = train(marked, len(ids), slots=slots)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, models))
-
-    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (near, far) = shared.value
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for body in batch.column(1).cast(pa.large_binary()).to_pylist():
-                words = words_of(body)
-                out[0].append(len(words))
-                if words:
-                    tokens = np.fromiter((known.get(w, 1) for w in words), np.int64, len(words))
-                    at = slots_of(tokens, slots)
-                    out[1].append(float(near.losses(tokens, at).mean()))
-                    out[2].append(float(far.losses(tokens, at).mean()))
-                else:
-                    out[1].append(None)
-                    out[2].append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], ["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    found = docs.select(docs[doc_id].alias("doc_id"), docs[text]).mapInArrow(losses, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
-    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    some = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    steps = np.zeros((len(some), 8), np.uint8)
+    steps[:, : raw[0]] = some
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def bounds(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """Where each block begins among ascending keys, and where the last ends; blocks are equal ranges of keys."""
+    block = (keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+    return np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
+
+
+def repeats(row: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """How often each token's ``what`` occurs in the token's row."""
+    _, place, n = np.unique(row * (int(what.max(initial=0)) + 1) + what, return_inverse=True, return_counts=True)
+    return n[place]
 
 
 class Group(NamedTuple):
-    """The documents of a group over its own words, ascending; word 0 is the start of a text, which no word has.
+    """The texts of a group in terms of its own words and bigrams, both numbered by ascending keys.
 
-    ``rows`` are the rows with a text of words, ``at`` the bounds of their tokens, ``mine`` marks the target's tokens.
-    A bigram's number is that of the word before times the number of words, and the word's."""
+    Tokens are the words of the rows one after the other; ``before`` is the word before in the row, or the number
+    of words at its start. The counts have a row for all, one for targets; the words' a second pair, of the texts'
+    last words."""
 
-    words: list[bytes]
-    tokens: np.ndarray
-    bigrams: np.ndarray
-    rows: np.ndarray
-    at: np.ndarray
-    mine: np.ndarray
+    words: np.ndarray
+    pairs: np.ndarray
+    word_counts: np.ndarray
+    pair_counts: np.ndarray
+    row: np.ndarray
+    token: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+    targeted: np.ndarray
 
     @classmethod
     def of(cls, table: pa.Table) -> Group:
         is_mark = table.column("_mark").to_numpy(zero_copy_only=False)
-        texts = [None if m else words_of(b) for m, b in zip(is_mark, table.column("_text").cast(pa.large_binary()).to_pylist(), strict=True)]
-        docs, marks = table.column("_doc").combine_chunks(), table.column("_doc").filter(pa.array(is_mark)).drop_null()
-        targeted = pc.is_in(docs, value_set=marks.combine_chunks(), skip_nulls=True).to_numpy(zero_copy_only=False)
-        words = [b"", *sorted(set().union(*(t for t in texts if t)))]
-        number = {w: i for i, w in enumerate(words)}
-        rows = np.array([i for i, t in enumerate(texts) if t], np.int64)
-        sizes = np.array([len(texts[i]) for i in rows], np.int64)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        tokens = np.fromiter((number[w] for i in rows for w in texts[i]), np.int64, int(at[-1]))
-        before = np.concatenate([[0], tokens[:-1]])[: len(tokens)]
-        before[at[:-1]] = 0
-        return cls(words, tokens, before * len(words) + tokens, rows, at, np.repeat(targeted[rows], sizes))
-
-    def keys(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, their counts in the target and in all, and each token's bigram among the distinct ones.
-
-        The keys are '' for all tokens, each word but the start as 'word', each word as the word before as
-        'word ', and 'word word'; no word holds a blank, so no two are alike."""
-        size = len(self.words)
-        pairs, place, n = np.unique(self.bigrams, return_inverse=True, return_counts=True)
-        hits = np.bincount(place[self.mine], minlength=len(pairs))
-        words = pa.array(self.words, pa.large_binary())
-        first, second = (words.take(pa.array(x)) for x in (pairs // size, pairs % size))
-        blank, none = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary())
-        # A text's last token is the word before of none.
-        keys = pa.concat_arrays([pa.array([b""], pa.large_binary()), words.slice(1), pc.binary_join_element_wise(words, none, blank), pc.binary_join_element_wise(first, second, blank)])
-
-        def counted(weights: np.ndarray) -> np.ndarray:
-            return np.concatenate([[weights.sum()], np.bincount(pairs % size, weights, size)[1:], np.bincount(pairs // size, weights, size), weights]).astype(np.int64)
-
-        return keys, counted(hits), counted(n), place
-
-
-def losses_of(words: np.ndarray, before: np.ndarray, both: np.ndarray, total: float, size: int) -> np.ndarray:
-    """-ln p of each bigram from the counts of its word, of its word before as such, and its own."""
-    a, b, c = MIX
-    if not total:
-        return np.full(len(both), np.log(size))
-    one = words / total
-    # A context never seen gives its weight to the unigrams.
-    two = np.where(before > 0, both / np.maximum(before, 1), one)
-    return -np.log(a * two + b * one + c / size)
-
-
-def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab: int | None = None, slots: int | None = None, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+        docs = table.column("_doc").combine_chunks()
+        targeted = pc.is_in(docs, value_set=docs.filter(pa.array(is_mark)).drop_null(), skip_nulls=True).to_numpy(zero_copy_only=False)
+        texts = pc.ascii_lower(table.column("_text").cast(pa.large_string()).combine_chunks().fill_null(""))
+        parts = pc.ascii_split_whitespace(texts)
+        row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+        parts = parts.flatten()
+        whole = pc.greater(pc.binary_length(parts), 0)
+        row, parts = row[whole.to_numpy(zero_copy_only=False)], parts.filter(whole).dictionary_encode()
+        words = np.fromiter((xxhash.xxh64_intdigest(w) for w in parts.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(parts.dictionary))
+        order = np.argsort(words)
+        words, rank = words[order], np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(order))
+        token = rank[parts.indices.to_numpy()]
+        first = np.diff(row, prepend=-1) != 0
+        last = np.diff(row, append=len(texts)) != 0
+        before = np.where(first, len(words), np.roll(token, 1))
+        codes, pair = np.unique(before * max(1, len(words)) + token, return_inverse=True)
+        keys = np.append(words, START)[codes // max(1, len(words))] * LEFT + words[codes % max(1, len(words))] * RIGHT
+        keys ^= keys >> np.uint64(31)
+        order = np.argsort(keys)
+        pairs, rank = keys[order], np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(order))
+        pair = rank[pair]
+        mine = targeted[row]
+
+        def counted(x: np.ndarray, size: int, some: np.ndarray) -> list[np.ndarray]:
+            return [np.bincount(x[where], minlength=size) for where in (some, some & mine)]
+
+        words_n = np.array(counted(token, len(words), np.full(len(token), True)) + counted(token, len(words), last))
+        pairs_n = np.array(counted(pair, len(pairs), np.full(len(pair), True)))
+        return cls(words, pairs, words_n, pairs_n, row, token, before, pair, targeted)
+
+    def losses(self, words: np.ndarray, pairs: np.ndarray, total: int, texts: int, size: int, mine: bool) -> np.ndarray:
+        """-ln p of each token by one model, without its row's own counts.
+
+        ``words`` has the whole corpus' counts of the words, and of the words at a text's end, ``pairs`` of the bigrams."""
+        a, b, c = MIX
+        # A word is a context as often as it is a token, but for a text's last one.
+        contexts = np.append(words[0] - words[1], texts)
+        one, seen, both, every = words[0][self.token], contexts[self.before], pairs[self.pair], np.full(len(self.row), total)
+        # The target's counts hold a row only if it is a target.
+        own = np.flatnonzero(self.targeted[self.row]) if mine else slice(None)
+        row = self.row[own]
+        one[own] -= repeats(row, self.token[own])
+        seen[own] -= repeats(row, self.before[own])
+        both[own] -= repeats(row, self.pair[own])
+        every[own] -= np.bincount(row, minlength=len(self.targeted))[row]
+        uniform = one / np.maximum(every, 1)
+        # A context never seen gives its weight to the unigrams.
+        two = np.where(seen > 0, both / np.maximum(seen, 1), uniform)
+        return np.where(every > 0, -np.log(a * two + b * uniform + c / size), np.log(size))
+
+
+def summed(messages: pa.Table, keys: str, counts: str, kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each message what all others count for its keys; and the sums of the distinct keys' counts, after their number."""
+    sent = [unpacked_keys(raw) for raw in messages.column(keys).to_pylist()]
+    own = np.concatenate([unpacked(raw).reshape(kinds, -1) for raw in messages.column(counts).to_pylist()], axis=1)
+    distinct, at = np.unique(np.concatenate(sent), return_inverse=True)
+    every = np.array([np.bincount(at, x, len(distinct)) for x in own]).astype(np.int64)
+    return np.split(every[:, at] - own, np.cumsum([len(x) for x in sent])[:-1], axis=1), np.append(len(distinct), every.sum(axis=1))
+
+
+def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row; means over the tokens.
 
     ``targets`` has the doc_id of the target corpus' documents; they are sent to the documents' groups."""
-    if vocab is not None or slots is not None:
-        return score_bounded(docs, targets, doc_id, text, VOCAB if vocab is None else vocab, SLOTS if slots is None else slots)
-    found = word_counts(docs, text).agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    # As with the bounded model, the start and an unknown word have their share of the uniform part.
-    size, groups = found["words"] + 2, max(1, -(-found["tokens"] // group_tokens))
+    held = docs.agg(F.coalesce(F.sum(F.octet_length(docs[text])), F.lit(0)).alias("bytes")).first()["bytes"]
+    groups = max(1, -(-held // group_bytes))
     kind = docs.schema[doc_id].dataType
     rows = docs.select(docs[doc_id].alias("_doc"), docs[text].alias("_text"), F.lit(False).alias("_mark"))
     marks = targets.select(F.col("doc_id").cast(kind).alias("_doc"), F.lit(None).cast(docs.schema[text].dataType).alias("_text"), F.lit(True).alias("_mark"))
@@ -264,33 +175,42 @@ def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str
     grouped = rows.unionByName(marks).select(dealt.alias("_group"), "_doc", "_text", "_mark")
 
     def count(table: pa.Table) -> pa.Table:
-        keys, hits, n, _ = Group.of(table).keys()
-        group = pa.array(np.full(len(keys), table.column("_group")[0].as_py(), np.int32))
-        return pa.table([keys.cast(pa.binary()), group, pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(hits), pa.array(n)], ["key", "group", "place", "hits", "n"])
-
-    sent = grouped.groupBy("_group").applyInArrow(count, "key binary, group int, place int, hits bigint, n bigint")
-    same = Window.partitionBy("key")
-    back = sent.select("group", "place", F.sum("hits").over(same).alias("hits"), F.sum("n").over(same).alias("n"))
-
-    def losses(table: pa.Table, counts: pa.Table) -> pa.Table:
-        group = Group.of(table)
-        place = group.keys()[3]
-        order, own = counts.column("place").to_numpy(), len(group.words)
-        pairs = np.unique(group.bigrams)
-        means = []
-        for name in ("hits", "n"):
-            summed = np.empty(len(order), np.float64)
-            summed[order] = counts.column(name).to_numpy()
-            words, before, both = summed[:own], summed[own : 2 * own], summed[2 * own :]
-            one = losses_of(words[pairs % own], before[pairs // own], both, summed[0], size)[place]
-            means.append(np.add.reduceat(one, group.at[:-1]) / np.diff(group.at) if len(group.rows) else np.zeros(0))
+        g = Group.of(table)
+        columns = []
+        for keys, counts in ((g.words, g.word_counts), (g.pairs, g.pair_counts)):
+            at = bounds(keys, groups)
+            cuts = [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
+            columns += [pa.array([packed_keys(keys[x]) for x in cuts], pa.binary()), pa.array([packed(counts[:, x]) for x in cuts], pa.binary())]
+        own = np.full(groups, table.column("_group")[0].as_py(), np.int32)
+        return pa.table([pa.array(np.arange(groups, dtype=np.int32)), pa.array(own), *columns], ["block", "group", "words", "word_counts", "pairs", "pair_counts"])
+
+    sent = grouped.groupBy("_group").applyInArrow(count, "block int, group int, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+    def answer(messages: pa.Table) -> pa.Table:
+        words, totals = summed(messages, "words", "word_counts", 4)
+        pairs, _ = summed(messages, "pairs", "pair_counts", 2)
+        columns = [pa.array([packed(x) for x in some], pa.binary()) for some in (words, pairs)]
+        return pa.table([messages.column("block"), messages.column("group"), *columns, pa.array([totals.tolist()] * len(words), pa.list_(pa.int64()))], ["block", "group", "words", "pairs", "totals"])
+
+    back = sent.groupBy("block").applyInArrow(answer, "block int, group int, words binary, pairs binary, totals array<bigint>")
+
+    def losses(table: pa.Table, answers: pa.Table) -> pa.Table:
+        g = Group.of(table)
+        answers = answers.sort_by("block")
+        words, pairs = (np.concatenate([unpacked(raw).reshape(kinds, -1) for raw in answers.column(c).to_pylist()], axis=1) for c, kinds in (("words", 4), ("pairs", 2)))
+        words, pairs = words + g.word_counts, pairs + g.pair_counts
+        # Each block answers with its part of: words, tokens, target tokens, texts, target texts.
+        size, *totals = np.sum(answers.column("totals").to_pylist(), axis=0)
+        tokens = np.bincount(g.row, minlength=len(g.targeted))
+        # As in the models, the start and an unknown word have their share of the uniform part.
+        means = [
+            np.bincount(g.row, g.losses(words[[k, k + 2]], pairs[k], totals[k], totals[k + 2], size + 2, bool(k)), len(tokens)) / np.maximum(tokens, 1)
+            for k in (1, 0)
+        ]
         whole = np.flatnonzero(~table.column("_mark").to_numpy(zero_copy_only=False))
-        spread = np.full((3, table.num_rows), np.nan)
-        spread[0] = 0
-        spread[:, group.rows] = np.diff(group.at), *means
-        tokens, near, far = spread[:, whole]
-        none = tokens == 0
-        return pa.table([table.column("_doc").take(pa.array(whole)), pa.array(tokens.astype(np.int64)), pa.array(near, mask=none), pa.array(far, mask=none)], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+        none = tokens[whole] == 0
+        near, far = (pa.array(x[whole], mask=none) for x in means)
+        return pa.table([table.column("_doc").take(pa.array(whole)), pa.array(tokens[whole]), near, far], ["doc_id", "n_tokens", "target_loss", "background_loss"])
 
     scored = grouped.groupBy("_group").cogroup(back.groupBy("group")).applyInArrow(losses, f"doc_id {kind.simpleString()}, n_tokens bigint, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -193,43 +193,6 @@ def test_sentencepiece_rows(spark, piece_model):
 # language models
 
 
-def brute_scores(docs, targets, vocab, slots):
-    words = {i: (t or "").encode().lower().split() for i, t in docs.items()}
-    n = collections.Counter(w for ws in words.values() for w in ws)
-    ids = {w: k + 2 for k, (w, _) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:vocab])}
-    size, out = len(ids) + 2, {}
-    models = []
-    for corpus in (targets, docs):
-        uni, ctx, bi = collections.Counter(), collections.Counter(), collections.Counter()
-        for i in corpus:
-            toks = [ids.get(w, 1) for w in words[i]]
-            uni.update(toks)
-            ctx.update(([0] + toks[:-1]) if toks else [])
-            bi.update(lm_scoring.slots_of(np.array(toks), slots).tolist() if toks else [])
-        models.append((uni, ctx, bi, sum(uni.values())))
-    for i, ws in words.items():
-        toks, losses = [ids.get(w, 1) for w in ws], []
-        for uni, ctx, bi, total in models:
-            loss = 0.0
-            for prev, t, s in zip([0, *toks[:-1]], toks, lm_scoring.slots_of(np.array(toks), slots).tolist() if toks else [], strict=False):
-                one = uni[t] / total
-                two = min(1.0, bi[s] / ctx[prev]) if ctx[prev] else one
-                loss -= math.log(0.6 * two + 0.3 * one + 0.1 / size)
-            losses.append(loss / len(toks) if toks else None)
-        out[i] = (len(toks), *losses)
-    return out
-
-
-def test_lm_scoring_is_brute_force(spark, sf):
-    docs = queries.table(spark, sf, "documents")
-    targets = queries.table(spark, sf, "labels").where("quality = 1").select("doc_id")
-    got = {r.doc_id: r for r in lm_scoring.score(docs, targets, vocab=500, slots=5000).collect()}
-    want = brute_scores({r.doc_id: r.text for r in docs.collect()}, [r.doc_id for r in targets.collect()], 500, 5000)
-    assert got.keys() == want.keys()
-    for i, (n, near, far) in want.items():
-        assert got[i].n_tokens == n and got[i].target_loss == pytest.approx(near, rel=1e-4) and got[i].background_loss == pytest.approx(far, rel=1e-4)
-
-
 def test_lm_scoring_separates_held_out_texts(spark):
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(200)]
