@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a group of documents, about.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 12 << 20
 #: Weights of the bigram, the unigram and the uniform part.
 MIX = (0.6, 0.3, 0.1)
 #: The key of the start of a text as the word before, and the factors that mix the keys of two words.
@@ -55,16 +55,18 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as the bytes that their differences need."""
-    steps = np.diff(keys, prepend=np.uint64(0))
+    """Ascending keys: the first, and the bytes that the differences need."""
+    steps = np.diff(keys)
     width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return keys[:1].astype("<u8").tobytes() + bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpacked_keys(raw: bytes) -> np.ndarray:
-    some = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
-    steps = np.zeros((len(some), 8), np.uint8)
-    steps[:, : raw[0]] = some
+    if len(raw) < 9:
+        return np.zeros(0, np.uint64)
+    some = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, raw[8])
+    steps = np.zeros((len(some) + 1, 8), np.uint8)
+    steps[0], steps[1:, : raw[8]] = np.frombuffer(raw, np.uint8, 8), some
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
