@@ -20,9 +20,13 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session takes a temporary folder; on a cluster, whose executors wouldn't see it, this is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
@@ -69,32 +73,45 @@ def min_labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple
     return ids[keep], labels[keep]
 
 
+#: Parts into which the rows of one key are dealt.
+PARTS = 64
+
+
+def met(rows: DataFrame, key: str, by: str, made: DataFrame) -> DataFrame:
+    """``rows`` joined with ``made``, which has one row for each ``key`` at most, without a hot key in one task.
+
+    The rows of a key are dealt into PARTS by a hash of ``by``; each part that there is fetches its key's row."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    return dealt.join(dealt.select(key, "_part").distinct().join(made, key), [key, "_part"]).drop("_part")
+
+
+def least(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest v of each u."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: bigint): one row (id, component) for each id in an edge.
 
     ``component`` is the smallest id reachable. Alternates the large-star and small-star steps
-    (Kiveris et al., 2014) until the edge set stops changing; each round is checkpointed to the
-    shared folder, so that a lost executor costs one round at most. Rows with a null end are ignored.
+    (Kiveris et al., 2014) until no edge changes; each round is checkpointed to the shared folder, so that
+    a lost executor costs one round at most. A root with very many neighbours is dealt over many tasks.
+    Rows with a null end are ignored.
     """
-
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first()
-
     e = checkpoint(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = mark(e)
-    while seen[0]:
+    n = e.count()
+    while n:
         both = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(parent, "u")
+        large = met(both, "u", "v", least(both)).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = met(large, "u", "v", least(large))
         step = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(step.union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = mark(e)
-        if now == seen:
+        made = checkpoint(step.union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        before, n = n, made.count()
+        changed = n != before or made.join(e, ["u", "v"], "left_anti").limit(1).count()
+        e = made
+        if not changed:
             break
-        seen = now
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

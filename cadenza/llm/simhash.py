@@ -13,7 +13,8 @@ around each of them; a match counts only if the whole fingerprints are within DI
 
 A segment value that more than ``HOT`` fingerprints share (near copies come in thousands) would make
 pairs by the square: its fingerprints are cut into blocks instead, pairs of blocks are compared in
-memory, and only a spanning forest of the links leaves the task. Nothing is capped.
+memory, and only a spanning forest of the links leaves the task. Nothing is capped. The documents of one
+fingerprint, and the links of one document, are dealt over many tasks.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a text of fewer
 words than a shingle is one shingle; rows of equal doc_id are one document, linked with all that any of
@@ -31,11 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, min_labels
+from .common import checkpoint, components, met, min_labels
 
 DISTANCE = 4
-#: (first bit, bits, radius) of each segment; the radii plus one add up to DISTANCE + 1.
+#: (first bit, bits, radius) of each segment; the radii plus one add up to DISTANCE + 1. The wide segments ask
+#: for twelve times as many values, and are taken where the others' values would be shared by too many.
 SEGMENTS = ((0, 22, 1), (22, 22, 1), (44, 20, 0))
+WIDE_SEGMENTS = ((0, 32, 2), (32, 32, 1))
+#: Fingerprints for which SEGMENTS serve: about as many as a segment has values, times HOT / 4.
+MANY = 1 << 26
 #: Fingerprints under one segment value that are joined row by row, and the size of the blocks beyond.
 HOT, BLOCK = 64, 1024
 #: Shingles hashed at a time; bounds the memory that a long text takes.
@@ -138,6 +143,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, distance: int =
     reps = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     split = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
     own = prints.join(split, "doc_id", "left_semi").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = components(links(reps.where("id is not null"), distance).union(own))
-    by_print = reps.join(found, "id", "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "id").alias("component_id"))
-    return prints.join(by_print, prints.fp == by_print.fp_).select("doc_id", "fp", "component_id")
+    segments = SEGMENTS if reps.count() <= MANY else WIDE_SEGMENTS
+    found = components(links(reps.where("id is not null"), distance, segments).union(own))
+    by_print = reps.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return met(prints, "fp", "doc_id", by_print).select("doc_id", "fp", "component_id")

@@ -41,6 +41,34 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_hub_is_dealt_over_parts_and_ends(spark):
+    """A root of very many neighbours, and a late smaller root that takes them all."""
+    edges = [(5, i) for i in range(10, 3000)] + [(2999, 1)]
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {1} and len(got) == 2992
+    rows = spark.createDataFrame([(1, i) for i in range(2000)] + [(2, 0), (3, 0)], "u long, v long")
+    found = common.met(rows, "u", "v", common.least(rows).where("u < 3"))
+    assert found.groupBy("u").agg(F.count("*"), F.sum("v"), F.max("m")).sort("u").collect() == [(1, 2000, 1999000, 0), (2, 1, 0, 0)]
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
 # embeddings
 
 
@@ -113,8 +141,8 @@ def test_simhash_query_is_brute_force(spark, sf):
     assert got == {i: (f"{prints[i]:016x}", root[i]) for i in ids}
 
 
-@pytest.mark.parametrize(("hot", "block"), [(2, 3), (64, 1024)])
-def test_all_links_are_found_in_hot_and_cold_segments(spark, hot, block):
+@pytest.mark.parametrize(("hot", "block", "segments"), [(2, 3, simhash.SEGMENTS), (64, 1024, simhash.SEGMENTS), (64, 1024, simhash.WIDE_SEGMENTS), (2, 3, simhash.WIDE_SEGMENTS)])
+def test_all_links_are_found_in_hot_and_cold_segments(spark, hot, block, segments):
     rng = np.random.default_rng(4)
     prints = {int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)}
     for base in list(prints)[:12]:
@@ -126,7 +154,7 @@ def test_all_links_are_found_in_hot_and_cold_segments(spark, hot, block):
     prints = sorted(prints)
     reps = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, id long")
     pairs = [(i, j) for j, q in enumerate(prints) for i in range(j) if ((prints[i] ^ q) & (2**64 - 1)).bit_count() <= 4]
-    got = [(r.a, r.b) for r in simhash.links(reps, hot=hot, block=block).collect()]
+    got = [(r.a, r.b) for r in simhash.links(reps, segments=segments, hot=hot, block=block).collect()]
     assert groups(range(len(prints)), got) == groups(range(len(prints)), pairs)
     with pytest.raises(ValueError, match="segments"):
         simhash.links(reps, distance=5)

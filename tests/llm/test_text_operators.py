@@ -72,6 +72,24 @@ def test_quality_odd_rows(spark, monkeypatch):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_quality_counts_are_made_once(spark, sf):
+    """A filter on the verdict doesn't copy the counts into itself."""
+    kept = quality_rules.judge(queries.table(spark, sf, "documents")).where("kept").select("doc_id", "text")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and plan.count("split(") == 2
+
+
+def test_quality_repeats_and_thresholds(spark):
+    """Repeated rows are judged row by row; a limit may be a fraction; meeting it isn't passing it."""
+    text = " ".join(["a b c d"] + ["a b c"] + [f"w{i}" for i in range(60)])
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")
+    share = 100 * 6 / 67
+    for high, failed in ((share, False), (share - 0.01, True), (share + 0.01, False)):
+        rules = (quality_rules.Rule("too_repetitive", "repeat_percent", None, high),)
+        got = quality_rules.judge(df, rules=rules).collect()
+        assert len(got) == 4 and [r.base_failed for r in got if r.text] == [failed] * 3
+
+
 def brute_lines(docs, min_docs, keep_first=False):
     where = collections.defaultdict(list)
     strip = " \t\n\x0b\x0c\r"
