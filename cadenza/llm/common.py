@@ -77,12 +77,13 @@ def min_labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple
 PARTS = 64
 
 
-def met(rows: DataFrame, key: str, by: str, made: DataFrame) -> DataFrame:
+def met(rows: DataFrame, key: str | list[str], by: str, made: DataFrame) -> DataFrame:
     """``rows`` joined with ``made``, which has one row for each ``key`` at most, without a hot key in one task.
 
     The rows of a key are dealt into PARTS by a hash of ``by``; each part that there is fetches its key's row."""
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
-    return dealt.join(dealt.select(key, "_part").distinct().join(made, key), [key, "_part"]).drop("_part")
+    keys = [key] if isinstance(key, str) else key
+    return dealt.join(dealt.select(*keys, "_part").distinct().join(made, keys), [*keys, "_part"]).drop("_part")
 
 
 def least(edges: DataFrame) -> DataFrame:

@@ -6,18 +6,21 @@ work. In a task each unit vector u is quantised to ``u = s * q + e`` with int8 c
 
     |u.v - s*t*(q.r)| <= |e|(1 + |f|) + |f|(1 + |e|) + |e||f|
 
-only pairs whose bound reaches the threshold are recomputed in double precision from the vectors as
-given. The integer products are exact (codes are multiplied as float32, sums stay below 2**24 for up to
-1040 components; longer vectors are multiplied in parts).
+a pair is linked if the least cosine that this allows reaches the threshold, and dropped if the greatest
+doesn't; only the pairs between are recomputed in double precision from the vectors as given. The integer
+products are exact (codes are multiplied as float32, sums stay below 2**24 for up to 1040 components; longer
+vectors are multiplied in parts).
 
 A label may hold a third of all rows: its tiles are spread over as many tasks as it has pairs of tiles.
-A task returns the number of links of each of its vectors and a spanning forest of its links, never the
-pairs, so that a group of thousands of copies stays linear in what is shuffled.
+A vector is sent once for each tile of its label, in the components' own type. Tiles grow with the label,
+from ``TILE`` vectors up to ``CELLS`` components, so that small labels have several tasks and the copies of a
+large label stay few. A task returns the number of links of each of its vectors and a spanning forest of its
+links, never the pairs, so that a group of thousands of copies stays linear in what is shuffled.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors
 with a null label, link with nothing and are kept; vectors of different lengths never link; rows of one
-vec_id are vectors of their own that share one result row (links between them are not counted); a null
-vec_id is dropped, as it names no vector; extra columns are ignored; an empty table gives an empty table.
+vec_id are vectors of their own that share one result row (links between them are not counted, those to
+another row are counted for each); a null vec_id is dropped, as it names no vector; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components, min_labels
 
-#: Vectors in a tile, and rows of a product computed at a time.
-TILE, STRIP = 4096, 512
+#: Vectors in a tile at least, unless their label has fewer; components in a tile at most; and cells of a product
+#: computed at a time.
+TILE, CELLS, STRIP = 4096, 1 << 21, 1 << 21
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,9 +59,10 @@ def linked(a: np.ndarray, b: np.ndarray, qa: tuple, qb: tuple, threshold: float)
     near = product(ca, cb)
     near *= sa[:, None]
     near *= sb[None, :]
-    near += ea[:, None] * (1 + eb[None, :]) + eb[None, :] * (1 + ea[:, None]) + ea[:, None] * eb[None, :] + 1e-9
-    i, j = np.nonzero(near >= threshold)
-    found = np.zeros(near.shape, bool)
+    slack = ea[:, None] * (1 + eb[None, :]) + eb[None, :] * (1 + ea[:, None]) + ea[:, None] * eb[None, :] + 1e-9
+    near -= threshold
+    found = near >= slack
+    i, j = np.nonzero(np.abs(near) < slack)
     for at in range(0, len(i), 1 << 16):
         x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
         found[x, y] = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
@@ -66,11 +71,14 @@ def linked(a: np.ndarray, b: np.ndarray, qa: tuple, qb: tuple, threshold: float)
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector; see the module docstring."""
-    rows = vectors.select(vectors[vec_id].cast("long").alias("id"), vectors[embedding].cast("array<double>").alias("v"), vectors[label].alias("label")).where("id is not null")
+    kind = vectors.schema[embedding].dataType.simpleString()
+    v = vectors[embedding] if kind in ("array<float>", "array<double>") else vectors[embedding].cast("array<double>")
+    rows = vectors.select(vectors[vec_id].cast("long").alias("id"), v.alias("v"), vectors[label].alias("label")).where("id is not null")
     ids = rows.select("id").distinct()
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = rows.where(F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))).withColumn("dim", F.size("v"))
-    sizes = usable.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    vectors_in = F.greatest(F.lit(tile), F.least(F.floor(F.count("*") / 8), F.floor(F.lit(CELLS) / F.col("dim"))))
+    sizes = usable.groupBy("label", "dim").agg(F.ceil(F.count("*") / vectors_in).cast("int").alias("tiles"))
     dealt = usable.join(sizes, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("id", "v"), F.col("tiles")).cast("int"))
     # A tile meets itself and every other one of its label; i <= j names the pair.
     pairs = dealt.select("label", "dim", "tile", "id", "v", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
@@ -79,7 +87,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     def compare(group: pa.Table) -> pa.Table:
         tiles, ids = group.column("tile").to_numpy(), group.column("id").to_numpy()
         v = group.column("v").combine_chunks()
-        v = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        v = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         v = v / np.abs(v).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
         unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
         low = tiles.min()
@@ -91,8 +99,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
         if len(right) and (same or group.column("i")[0].as_py() == low):
             codes = quantised(unit)
             of = lambda at: tuple(x[at] for x in codes)
-            for at in range(0, len(left), STRIP):
-                some = left[at : at + STRIP]
+            step = max(1, STRIP // len(right))
+            for at in range(0, len(left), step):
+                some = left[at : at + step]
                 hit = linked(unit[some], unit[right], of(some), of(right), threshold)
                 hit &= ids[some][:, None] != ids[right][None, :]
                 counts[some] += hit.sum(axis=1)

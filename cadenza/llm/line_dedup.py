@@ -3,17 +3,21 @@
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased. Lines
 travel as 128-bit key hashes with their document and position, never as text:
 
-1. the hashes are range-partitioned by (hash, document) and sorted by (hash, document, position), so
-   that a line that a third of all documents share is spread over many partitions;
+1. the texts are read once for their hashes, which are stored, range-partitioned by (hash, document) and
+   sorted by (hash, document, position), so that a line that a third of all documents share is spread over
+   many partitions;
 2. each partition streams the first occurrence in every document and counts documents per hash; the
    counts of a hash that spans partitions are summed from one row per partition;
-3. the places of the hashes found in at least ``min_docs`` documents come back as one compressed keep
-   bitmap per document: words of 64 lines, those with all lines kept left out.
+3. the sorted places stay where they were counted: a second scan of them picks those of the hashes found in
+   at least ``min_docs`` documents, by a broadcast of these hashes if they are ``FEW``, and returns them as one
+   compressed keep bitmap per document: words of 64 lines, those with all lines kept left out.
 
 Texts move only once, to meet their bitmaps.
 
 Defined cases: a null text counts as empty, one empty line; a document is a distinct doc_id (null is
-one, too), and rows that repeat a doc_id are counted once per line and rewritten row by row; empty keys
+one, too), and rows that repeat a doc_id are counted once per line and rewritten row by row (rows alike in
+doc_id and text are one row with copies: what is spared in it is spared in each copy); texts are split
+whole, however long; empty keys
 are never dropped when ``min_chars`` is 1; extra columns are kept, save that ``n_lines`` and
 ``n_dropped`` are replaced; an empty table gives an empty table.
 """
@@ -23,8 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, let
+from .common import SPACES, let, met, stored
 
+#: Shared hashes that are broadcast, of 32 bytes each; more are joined by shuffle, hot ones in parts.
+FEW = 200_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -56,11 +62,15 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
         .select("h.h1", "h.h2", "doc", "row", "pos")
     )
     within = Window.partitionBy("h1", "h2", "doc").orderBy("pos", "row")
+    ranged = stored(lines, "lines").repartitionByRange("h1", "h2", "doc")
+    sorted_lines = stored(ranged.withColumn("first", F.row_number().over(within) == 1), "lines-sorted")
     placed = F.struct("doc", "row", "pos")
-    firsts = lines.repartitionByRange("h1", "h2", "doc").select("h1", "h2", placed.alias("at"), (F.row_number().over(within) == 1).cast("long").alias("first"))
-    shared = firsts.groupBy("h1", "h2").agg(F.sum("first").alias("n"), F.min("at").alias("spared")).where(F.col("n") >= min_docs)
-    shared = shared.select("h1", "h2", *["spared"] * keep_first)
-    found = lines.join(shared, ["h1", "h2"])
+    counted = [F.sum(F.col("first").cast("long")).alias("n")] + [F.min(placed).alias("spared")] * keep_first
+    shared = stored(sorted_lines.groupBy("h1", "h2").agg(*counted).where(F.col("n") >= min_docs).drop("n"), "lines-shared")
+    if shared.limit(FEW + 1).count() <= FEW:
+        found = sorted_lines.join(F.broadcast(shared), ["h1", "h2"])
+    else:
+        found = met(sorted_lines, ["h1", "h2"], "doc", shared)
     words = (
         (found.where(~F.col("spared").eqNullSafe(placed)) if keep_first else found)
         .groupBy("doc", "row", F.shiftright("pos", 6).alias("word"))

@@ -7,15 +7,22 @@ windows of ``window`` tokens, so each window holds the target proportions to wit
 and every window but the last is full. A queue that has run dry drops out and the others keep their
 proportions among themselves.
 
-Because a queue's deficit after r rounds depends on r alone, the output position of any token follows
+Because a queue's deficit after r rounds depends on r alone, the round in which a token leaves follows
 from its position in its queue: no task needs another's state, and deficits carry across windows and
 partitions by arithmetic. So the texts are tokenised once, where they are read; the ids are stored with
-each document's position in its task's part of the queue; one row per (task, queue) is summed up into
-the parts' offsets; and a second pass over the stored ids, without a shuffle, emits the pieces.
+each document's position in its task's part of the queue; and one row per (task, queue) is summed up into
+the parts' offsets. The place of a piece is the number of tokens before it by (round, queue, position):
+
+* with up to ``MAX_QUEUES`` sources every task knows all queues and takes it from the closed form, so a
+  second pass over the stored ids, without a shuffle, emits the pieces;
+* with more, the pieces are range-partitioned in that order and their places are running sums.
+
+Both give the same pieces in the same places, for any number of sources.
 
 Defined cases: a null text counts as empty and gives the end id only; a null source is a queue of its
-own; every row is a document, rows with equal doc_id too; extra columns are ignored; an empty table
-gives an empty table.
+own; every row is a document, rows with equal doc_id too; texts are packed whole, however long; sources of
+equal shares take turns by their names, null first; extra columns are ignored, whatever their names; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,13 +37,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Queues: the sources if there are no more than this, else hash classes of the sources without a target.
+#: Queues that are sent to every task; with more, places come from a sort. 16 bytes each.
 MAX_QUEUES = 256
+#: Rounds whose queues are summed up at a time.
+SOME_ROUNDS = 4096
 #: Rows of part offsets that are broadcast; beyond, they are joined by shuffle. 64 bytes each at most.
 MAX_BROADCAST_ROWS = 100_000
 #: Quanta are whole multiples of 2**-SHIFT tokens.
@@ -127,6 +136,28 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+def round_of(token: np.ndarray, quantum: np.ndarray) -> np.ndarray:
+    """The round in which a queue's token leaves; ``quantum`` is in 2**-SHIFT tokens."""
+    return -((-(token + 1) << SHIFT) // quantum) - 1
+
+
+def turns(quantum: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens start .. start + n of each row by the rounds that they leave in: (row, round, offset into the n, length).
+
+    There is one piece for each round; a queue that earns less than a token a round gives every token a round of its own."""
+    whole = quantum >= 1 << SHIFT
+    first = round_of(start, quantum)
+    count = np.where(whole, round_of(start + n - 1, quantum) - first + 1, n)
+    row = np.repeat(np.arange(len(n)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    rounds = np.where(whole[row], first[row] + nth, round_of(start[row] + nth, quantum[row]))
+    # What the queue has given out before the round.
+    offset = np.where(whole[row], np.maximum((rounds * quantum[row] >> SHIFT) - start[row], 0), nth)
+    length = np.append(offset[1:], 0)
+    length[np.cumsum(count) - 1] = n
+    return row, rounds, offset, length - offset
+
+
 class Queues(NamedTuple):
     """quantum and total tokens of each queue, by its number."""
 
@@ -139,39 +170,59 @@ class Queues(NamedTuple):
         last = -((-total << SHIFT) // quantum)  # the round that empties the queue; also keeps the product small
         return np.where(rounds >= last, total, np.minimum(rounds, last) * quantum >> SHIFT)
 
+    def before(self, q: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """Tokens of all queues that leave before queue ``q`` has its turn in a round."""
+        every = np.arange(len(self.quantum))[:, None]
+        distinct, of = np.unique(rounds, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        made = np.empty(len(q), np.int64)
+        for at in range(0, len(distinct), SOME_ROUNDS):
+            some = order[slice(*np.searchsorted(of[order], [at, at + SOME_ROUNDS]))]
+            now = distinct[at : at + SOME_ROUNDS]
+            held, then = self.given(every, now), self.given(every, now + 1)
+            # The queues up to the turn have given out this round's tokens, those from it on only the earlier ones'.
+            ahead = np.cumsum(then, axis=0) - then + held[::-1].cumsum(axis=0)[::-1]
+            made[some] = ahead[q[some], of[some] - at]
+        return made
+
     def pieces(self, q: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where tokens start .. start + n of each row's queue ``q`` go: (row, offset into the n, length, output position).
-
-        There is one piece for each round that a row's tokens leave in; a queue that earns less than a
-        token a round gives every token a round of its own."""
-
-        def turn(token: np.ndarray, quantum: np.ndarray) -> np.ndarray:
-            return -((-(token + 1) << SHIFT) // quantum) - 1
-
-        quantum = self.quantum[q]
-        whole = quantum >= 1 << SHIFT
-        first = turn(start, quantum)
-        count = np.where(whole, turn(start + n - 1, quantum) - first + 1, n)
-        row = np.repeat(np.arange(len(q)), count)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        rounds = np.where(whole[row], first[row] + nth, turn(start[row] + nth, quantum[row]))
-        before = self.given(q[row], rounds)
-        offset = np.where(whole[row], np.maximum(before - start[row], 0), nth)
-        length = np.append(offset[1:], 0)
-        length[np.cumsum(count) - 1] = n
-        at = start[row] + offset - before
-        for other in range(len(self.quantum)):
-            at += self.given(other, rounds + (other < q[row]))
-        return row, offset, length - offset, at
-
-
-def plan(totals: dict[int, int], weights: dict[int, float], window: int) -> Queues:
-    """Quanta for queues 0 .. k-1 with these token totals and relative target weights."""
-    k = len(totals)
-    total = np.array([totals[i] for i in range(k)], np.int64)
-    weight = np.array([weights[i] for i in range(k)], np.float64)
-    share = weight / weight.sum() if k else weight
-    return Queues(np.maximum(1, np.rint(share * (window << SHIFT)).astype(np.int64)), total)
+        """Where tokens start .. start + n of each row's queue ``q`` go: (row, offset into the n, length, output position)."""
+        row, rounds, offset, length = turns(self.quantum[q], start, n)
+        return row, offset, length, self.before(q[row], rounds) + start[row] + offset - self.given(q[row], rounds)
+
+
+def windowed(columns: list[pa.Array], ids: pa.Array, row: np.ndarray, begin: np.ndarray, length: np.ndarray, place: np.ndarray, start: np.ndarray, total: np.ndarray, window: int) -> pa.RecordBatch:
+    """The pieces of documents' tokens cut at the ends of windows, with the ``columns`` of their documents.
+
+    A piece has ``length`` of the tokens that row ``row`` of ``ids`` holds, from ``begin`` on, and goes to ``place``;
+    the pieces cover the rows in order. A row's ids begin at ``start`` in a document of ``total`` tokens."""
+    # A round's tokens may cross the end of a window, and be longer than one.
+    spans = (place + length - 1) // window - place // window + 1
+    nth = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+    row, first, begin, size = (np.repeat(x, spans) for x in (row, place, begin, length))
+    lo = np.where(nth == 0, first, (first // window + nth) * window)
+    hi = np.minimum(first + size, (first // window + nth + 1) * window)
+    begin = begin + lo - first
+    # Pieces of a document that follow each other in one window are one piece.
+    joins = (lo[1:] == hi[:-1]) & (lo[1:] // window == lo[:-1] // window) & (row[1:] == row[:-1])
+    keep = np.flatnonzero(np.concatenate([[True], ~joins]))
+    hi = hi[np.append(keep[1:], len(hi)) - 1]
+    row, lo, begin = row[keep], lo[keep], begin[keep]
+    # The pieces cover the rows in order, so they share their bytes.
+    ids = ids.cast(pa.binary())
+    byte = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1]
+    ends = np.append(byte[row] + 4 * begin, byte[-1]).astype("<i4")
+    raw = memoryview(ids.buffers()[2])
+    places = ends.tolist()
+    crcs = [zlib.crc32(raw[a:b]) for a, b in zip(places, places[1:], strict=False)]
+    cuts = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), ids.buffers()[2]])
+    numbers = [pa.array(x, pa.int64()) for x in (start[row] + begin, hi - lo, crcs, total[row], lo // window, lo % window)]
+    which = pa.array(row, pa.int32())
+    return pa.RecordBatch.from_arrays([*(c.take(which) for c in columns), *numbers, cuts], ["doc_id", "source", *NAMES])
+
+
+def parts_of(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, len(batch), rows))
 
 
 def pack(
@@ -179,16 +230,17 @@ def pack(
     tokenizer: str,
     end_id: int = 2,
     window: int = 4096,
-    targets: dict[str, float] | None = None,
+    targets: dict[str, float] | float | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    ``targets`` maps sources to relative weights; without it, and for sources that it leaves out, the
-    weights are the shares of the tokens there are, with which all queues run dry together. ``ids`` are
-    the piece's token ids.
+    ``targets`` maps sources to relative weights. Without it, and for sources that it leaves out, the weights are
+    the shares of the tokens there are, with which all queues run dry together. A number is the exponent of these
+    shares: 1 leaves them, 0 gives all sources the same, what lies between raises the small ones. ``ids`` are the
+    piece's token ids.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"), docs[text].alias("text"))
@@ -211,64 +263,104 @@ def pack(
     kind = rows.schema["doc_id"].dataType.simpleString()
     tokens = stored(rows.mapInArrow(encode, f"doc_id {kind}, source string, part int, local_start bigint, n bigint, ids binary"), "packing-tokens")
 
-    parts = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    parts = stored(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "packing-parts")
     sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    named = sorted(targets or {})
-    few = sources.limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
-    # A queue's name: the source itself, or else a class of sources; both sorts are bounded in number.
-    name = F.concat(F.lit("="), F.coalesce(F.col("source"), F.lit("")), F.when(F.col("source").isNull(), F.lit("?")).otherwise(F.lit("")))
-    if not few:
-        name = F.when(F.col("source").isin(named), name).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")))
-    totals = {r["queue"]: r["n"] for r in sources.groupBy(name.alias("queue")).agg(F.sum("n").alias("n")).collect()}
-    order = sorted(totals)
-    every, weights = sum(totals.values()), {}
-    rest = max(0.0, 1.0 - sum((targets or {}).values())) if targets else 1.0
-    free = sum(totals[q] for q in order if not (targets and q[1:] in targets)) or 1
-    for i, q in enumerate(order):
-        weights[i] = float(targets[q[1:]]) if targets and q[1:] in targets else rest * totals[q] / free
-    queues = plan({i: totals[q] for i, q in enumerate(order)}, weights, window) if every else Queues(np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    numbers = F.create_map(*(x for i, q in enumerate(order) for x in (F.lit(q), F.lit(i)))) if order else F.expr("map('', 0)")
-    before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("queue", F.element_at(numbers, name)).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    offsets = offsets.select(F.col("source").alias("source_"), F.col("part").alias("part_"), "queue", "base")
-    if offsets.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    placed = tokens.join(offsets, (F.col("part") == F.col("part_")) & F.col("source").eqNullSafe(F.col("source_"))).select(
-        "doc_id", "source", "queue", (F.col("base") + F.col("local_start")).alias("start"), "n", "ids"
-    )
+    weight, weights = mixture(sources, targets)
+    # Quanta sum up to about a window.
+    quantum = F.greatest(F.lit(1), F.rint(weight / F.lit(weights) * F.lit(float(window << SHIFT))).cast("long"))
+    queues = sources.select("source", "n", quantum.alias("quantum"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    shape = f"doc_id {kind}, source string, " + ", ".join(f"`{c}` {'binary' if c == 'ids' else 'bigint'}" for c in NAMES)
+    held = queues.orderBy(F.asc_nulls_first("source")).limit(MAX_QUEUES + 1).collect()
+    if len(held) > MAX_QUEUES:
+        return by_sort(tokens, offsets, queues, window, shape)
+
+    every = Queues(np.array([r["quantum"] for r in held], np.int64), np.array([r["n"] for r in held], np.int64))
+    numbers = spark.createDataFrame([(r["source"], i) for i, r in enumerate(held)], "source string, queue int")
+    placed = located(tokens, matched(offsets, F.broadcast(numbers), "source").select("source", "part", "base", "queue"), "queue")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), SLICE_ROWS):
-                some = batch.slice(at, SLICE_ROWS)
+            for some in parts_of(batch):
                 q, start, n = (some.column(i).to_numpy() for i in (2, 3, 4))
-                row, offset, length, place = queues.pieces(q, start, n)
-                # A round's tokens may cross the end of a window, and be longer than one.
-                spans = (place + length - 1) // window - place // window + 1
-                nth = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
-                row, first, begin, size = (np.repeat(x, spans) for x in (row, place, offset, length))
-                lo = np.where(nth == 0, first, (first // window + nth) * window)
-                hi = np.minimum(first + size, (first // window + nth + 1) * window)
-                begin = begin + lo - first
-                # Pieces of a document that follow each other in one window are one piece.
-                joins = (lo[1:] == hi[:-1]) & (lo[1:] // window == lo[:-1] // window) & (row[1:] == row[:-1])
-                keep = np.flatnonzero(np.concatenate([[True], ~joins]))
-                hi = hi[np.append(keep[1:], len(hi)) - 1]
-                row, lo, begin = row[keep], lo[keep], begin[keep]
-                # The pieces cover the documents in order, so they share their bytes.
-                ids = some.column(5).cast(pa.binary())
+                row, begin, length, place = every.pieces(q, start, n)
+                yield windowed(some.columns[:2], some.column(5), row, begin, length, place, np.zeros(len(n), np.int64), n, window)
+
+    return placed.mapInArrow(cut, shape)
+
+
+def mixture(sources: DataFrame, targets: dict[str, float] | float | None) -> tuple[Column, float]:
+    """The weight of a source in terms of ``source`` and its tokens ``n``, and the sum of all weights."""
+    if targets is None or isinstance(targets, float | int):
+        weight = F.pow(F.col("n").cast("double"), F.lit(float(1 if targets is None else targets)))
+    else:
+        named = F.coalesce(F.col("source").isin(list(targets)), F.lit(False))
+        free = sources.agg(F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0))).first()[0] or 1
+        own = F.lit(0.0)
+        for name, share in targets.items():
+            own = F.when(F.col("source") == name, F.lit(float(share))).otherwise(own)
+        weight = F.when(named, own).otherwise(F.lit(max(0.0, 1.0 - sum(targets.values()))) * F.col("n") / F.lit(free))
+    return weight, sources.agg(F.coalesce(F.sum(weight), F.lit(0.0))).first()[0] or 1.0
+
+
+def matched(rows: DataFrame, made: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` joined with ``made`` on ``keys``, of which null equals null."""
+    renamed = made.select(*(F.col(c).alias(f"{c}_" if c in keys else c) for c in made.columns))
+    fits = F.lit(True)
+    for k in keys:
+        fits = fits & rows[k].eqNullSafe(F.col(f"{k}_"))
+    return rows.join(renamed, fits).drop(*(f"{k}_" for k in keys))
+
+
+def located(tokens: DataFrame, offsets: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, *more, start, n, ids): each document's start in its queue. Offsets are broadcast if they are few."""
+    if offsets.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    start = (F.col("base") + F.col("local_start")).alias("start")
+    return matched(tokens, offsets, "source", "part").select("doc_id", "source", *more, start, "n", "ids")
+
+
+def by_sort(tokens: DataFrame, offsets: DataFrame, queues: DataFrame, window: int, shape: str) -> DataFrame:
+    """The pieces for any number of queues: sorted by (round, queue, position), their places are running sums."""
+    placed = located(tokens, matched(offsets, queues, "source").select("source", "part", "base", "quantum"), "quantum")
+    kind = placed.schema["doc_id"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in parts_of(batch):
+                quantum, start, n = (some.column(i).to_numpy() for i in (2, 3, 4))
+                row, rounds, offset, length = turns(quantum, start, n)
+                ids, which = some.column(5).cast(pa.binary()), pa.array(row, pa.int32())
                 byte = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1]
-                ends = np.append(byte[row] + 4 * begin, byte[-1]).astype("<i4")
-                raw = memoryview(ids.buffers()[2])
-                places = ends.tolist()
-                crcs = [zlib.crc32(raw[a:b]) for a, b in zip(places, places[1:], strict=False)]
+                ends = np.append(byte[row] + 4 * offset, byte[-1]).astype("<i4")
                 cuts = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.tobytes()), ids.buffers()[2]])
-                columns = [pa.array(x, pa.int64()) for x in (begin, hi - lo, crcs, n[row], lo // window, lo % window)]
-                which = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays([some.column(0).take(which), some.column(1).take(which), *columns, cuts], ["doc_id", "source", *NAMES])
+                numbers = [pa.array(x, pa.int64()) for x in (rounds, start[row] + offset, offset, length, n[row])]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(which), some.column(1).take(which), *numbers, cuts], ["doc_id", "source", "round", "at", "start", "length", "n", "ids"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, given = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = given + np.cumsum(batch.column("length").to_numpy())
+            places = pa.array(ends - batch.column("length").to_numpy())
+            given = int(ends[-1]) if len(ends) else given
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(batch), pa.int32()), places], [*batch.schema.names, "part", "place"])
+
+    columns = f"doc_id {kind}, source string, round bigint, at bigint, start bigint, length bigint, n bigint, ids binary"
+    order = [F.asc("round"), F.asc_nulls_first("source"), F.asc("at")]
+    ranged = placed.mapInArrow(deal, columns).repartitionByRange(*order).sortWithinPartitions(*order)
+    pieces = stored(ranged.mapInArrow(number, f"{columns}, part int, place bigint"), "packing-pieces")
+    # One row for each partition of the sort.
+    bases = pieces.groupBy("part").agg(F.sum("length").alias("n")).select(F.col("part").alias("part_"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    whole = pieces.join(F.broadcast(bases), F.col("part") == F.col("part_")).select("doc_id", "source", "start", "length", "n", (F.col("base") + F.col("place")).alias("place"), "ids")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in parts_of(batch):
+                start, length, n, place = (some.column(i).to_numpy() for i in (2, 3, 4, 5))
+                yield windowed(some.columns[:2], some.column(6), np.arange(len(n)), np.zeros(len(n), np.int64), length, place, start, n, window)
 
-    return placed.mapInArrow(cut, f"doc_id {kind}, source string, " + ", ".join(f"`{c}` {'binary' if c == 'ids' else 'bigint'}" for c in NAMES))
+    return whole.mapInArrow(cut, shape)
 
 
 NAMES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")

@@ -7,9 +7,9 @@ that it stands for: piece k covers ``[end of piece k-1, end of piece k)``, the f
 character that falls back to bytes is covered by its last byte piece, the others being empty.
 
 No piece of a model of words has a blank after another character, so no merge crosses from a word to
-the next blank, and a normalised text is encoded unit by unit (blanks and the word after them). Units
-seen before come from a bounded cache, which is what makes the scan fast; where the map rewrites nothing
-but blanks, the library merges the units that are new. A model with such pieces is encoded as one unit.
+the next blank, and a normalised text is encoded unit by unit (blanks and the word after them). Where the
+map has no entries a text can be split before it is normalised, and the ids and ends of units seen before
+come from a bounded cache, which is what makes the scan fast. A model with such pieces is encoded as one unit.
 
 Defined cases: a null text counts as empty and has no pieces; rows are encoded one by one, so repeated
 rows and ids don't matter; a lone surrogate can't occur in Spark strings; extra columns are ignored; an
@@ -18,6 +18,7 @@ empty table gives an empty table. Texts are encoded whole, however long.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import re
@@ -31,6 +32,10 @@ from pyspark.sql import DataFrame
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE_UNITS, CACHE_CHARS = 400_000, 64
+#: Characters of a unit in which the best pair is looked for by a scan.
+SHORT = 64
+#: The score of a pair that isn't a piece.
+NONE = float("-inf")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -129,18 +134,16 @@ class Codec:
         self.map = CharsMap(normaliser.get(2, b""))
         self.prefix, self.squeeze, self.escape = (bool(normaliser.get(k, 1)) for k in (3, 4, 5))
         self.by_units = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
-        self.plain = not self.map.units and not self.squeeze and self.escape and self.prefix and self.by_units and bool(self.byte_ids)
-        self.cache = Units(self, path)
-        self.sizes, self.bytes = np.zeros(n, np.int64), np.full(n, -1)
-        for name, i in self.ids.items():
-            self.sizes[i] = len(name.replace(BLANK, " ").encode())
-        for byte, i in self.byte_ids.items():
-            self.sizes[i], self.bytes[i] = 1, byte
+        self.plain = not self.map.units and not self.squeeze and self.escape and self.prefix and self.by_units
+        self.cache = Units(self)
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and the source byte offset of each of its characters and of its end."""
-        raw, at, out, source = text.encode(), 0, [], []
         blank = BLANK if self.escape else " "
+        if text and not self.map.units and not self.squeeze:  # every prefix is one character, which stays
+            starts = range(len(text) + 1) if text.isascii() else itertools.accumulate((len(c.encode()) for c in text), initial=0)
+            return blank * self.prefix + text.replace(" ", blank), [0] * self.prefix + list(starts)
+        raw, at, out, source = text.encode(), 0, [], []
 
         def prefix(at: int) -> tuple[str, int]:
             found = self.map.longest(raw, at)
@@ -180,7 +183,25 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair pieces: the best-scored pair is merged first, the leftmost of equals."""
-        pieces: list[str | None] = list(text)
+        pieces, scores = list(text), self.scores
+        if len(pieces) > SHORT:
+            return self.merged_long(pieces)
+        best = [scores.get(a + b, NONE) for a, b in itertools.pairwise(pieces)]
+        while best:
+            top = max(best)
+            if top == NONE:
+                break
+            i = best.index(top)
+            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            del best[i]
+            if i:
+                best[i - 1] = scores.get(pieces[i - 1] + pieces[i], NONE)
+            if i < len(best):
+                best[i] = scores.get(pieces[i] + pieces[i + 1], NONE)
+        return pieces
+
+    def merged_long(self, pieces: list[str | None]) -> list[str]:
+        """The same with a heap of pairs, for units in which a scan for the best one takes too long."""
         n = len(pieces)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap: list[tuple[float, int, int, str]] = []
@@ -227,29 +248,19 @@ class Codec:
             at += len(piece)
         return ids, ends
 
-    def spans(self, ids: np.ndarray) -> np.ndarray:
-        """Source bytes up to the end of each piece of a text in which only blanks were rewritten."""
-        ends = np.cumsum(self.sizes[ids])
-        byte = self.bytes[ids]
-        if (byte >= 0).any():
-            # The bytes of a character before its last one end where the character starts.
-            follows = np.append(byte[1:] & 0xC0, 0) == 0x80
-            follows &= np.append(byte[1:] >= 0, False)
-            lead = np.maximum.accumulate(np.where((byte & 0xC0) != 0x80, np.arange(len(ids)), -1))
-            ends = np.where((byte >= 0) & follows, ends[lead] - 1, ends)
-        return np.maximum(ends - 1, 0).astype(np.int32)  # the blank put before the text has no source
-
     def encode(self, text: str) -> tuple[np.ndarray, int, np.ndarray]:
         """(ids, start, ends): the pieces, the source byte before the first, and that after each."""
         if not text:
             return np.zeros(0, np.int32), 0, np.zeros(0, np.int32)
         if self.plain and BLANK not in text:
-            # Nothing is rewritten but blanks, so the offsets follow from the pieces' sizes.
-            units = text.split(" ")
-            if "" in units:
-                units = [u[1:] for u in re.findall(" +[^ ]*", " " + text)]
-            ids = np.frombuffer(b"".join([self.cache[u] for u in units]), "<i4")
-            return ids, 0, self.spans(ids)
+            names = text.split(" ")
+            if "" in names:
+                names = [u[1:] for u in re.findall(" +[^ ]*", " " + text)]
+            units = [self.cache[u] for u in names]
+            ids, ends = (np.frombuffer(b"".join([u[k] for u in units]), "<i4") for k in (0, 1))
+            pieces, sizes = (np.fromiter([u[k] for u in units], np.int32, len(units)) for k in (2, 3))
+            # A unit's word begins after its blank; that of the first one isn't in the text.
+            return ids, 0, ends + np.repeat(np.cumsum(sizes + 1) - sizes - 1, pieces).astype(np.int32)
         shown, source = self.normalise(text)
         units = re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", shown) if self.by_units and self.escape else [shown]
         ids, ends, at = [], [], 0
@@ -262,20 +273,28 @@ class Codec:
 
 
 class Units(dict):
-    """Ids (little-endian int32 bytes) of a unit, named by its text without the blank before it."""
+    """A unit's ids and the source bytes up to each one's end (both as little-endian int32), their number, and its bytes.
 
-    def __init__(self, codec: Codec, path: str) -> None:
-        import sentencepiece
+    A unit is named by its text without the blank before it; the ends count from after that blank."""
 
+    def __init__(self, codec: Codec) -> None:
         super().__init__()
-        self.codec, self.merge = codec, sentencepiece.SentencePieceProcessor(model_file=path).encode
+        self.codec = codec
 
-    def __missing__(self, unit: str) -> bytes:
-        # The library puts the blank back before a text, but for an empty one.
-        ids = np.array(self.merge(unit) if unit else self.codec.unit(BLANK)[0], "<i4").tobytes()
+    def __missing__(self, unit: str) -> tuple[bytes, bytes, int, int]:
+        shown, source = self.codec.normalise(unit) if unit else (BLANK, [0, 0])
+        ids, places = self.codec.unit(shown)
+        shape = f"<{len(ids)}i"
+        made = struct.pack(shape, *ids), struct.pack(shape, *[source[p] for p in places]), len(ids), source[-1]
         if len(unit) <= CACHE_CHARS and len(self) < CACHE_UNITS:
-            self[unit] = ids
-        return ids
+            self[unit] = made
+        return made
+
+
+@functools.lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """The codec that this worker process keeps, with its cache."""
+    return Codec(path)
 
 
 def _arrays(values: list[np.ndarray]) -> pa.Array:
@@ -287,7 +306,7 @@ def encode(docs: DataFrame, model: str, decoded: bool = False, doc_id: str = "do
     """(doc_id, ids, start, ends[, decoded]) for each row; ``decoded`` is the library's decode of the ids."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, back = Codec(model), _decoder(model) if decoded else None
+        codec, back = codec_of(model), _decoder(model) if decoded else None
         for batch in batches:
             for at in range(0, len(batch), rows):
                 some = batch.slice(at, rows)

@@ -112,6 +112,16 @@ def test_embedding_tiles_and_odd_vectors(spark, tile):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_repeated_ids_and_large_group(spark):
+    """Rows of one vec_id share a result row, a null vec_id has none, and thousands of equal vectors all link."""
+    one, other = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1]
+    rows = [(i, one, 1) for i in range(3000)] + [(None, one, 1), (5000, [3.0, 1.0, 0.0], 1), (5000, other, 1), (5000, other, 1)]
+    for kind in ("float", "double"):
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id int, embedding array<{kind}>, label int"), tile=700).collect()}
+        assert len(got) == 3001 and all(r.component_id == 0 and r.kept == (i == 0) for i, r in got.items())
+        assert all(r.n_links == 2999 + 2 for i, r in got.items() if i < 3000) and got[5000].n_links == 2 * 3000
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(3)
     u = rng.normal(size=(200, 64)) * np.exp(rng.normal(size=(200, 1)))
@@ -208,8 +218,22 @@ def check_packed(rows, docs, window):
 
 
 def test_packing_query_is_brute_force(spark, sf):
+    """Every token once, and each window but the last ones, in which queues run dry, in the proportions of the exponent."""
     docs = queries.table(spark, sf, "documents").collect()
-    check_packed(queries.op4_packing(spark, sf).collect(), dict(zip([r.doc_id for r in docs], ids_of([r.text for r in docs]), strict=True)), 4096)
+    ids = dict(zip([r.doc_id for r in docs], ids_of([r.text for r in docs]), strict=True))
+    rows = queries.op4_packing(spark, sf).collect()
+    check_packed(rows, ids, 4096)
+    tokens, share = {}, {}
+    for r in docs:
+        tokens[r.source] = tokens.get(r.source, 0) + len(ids[r.doc_id])
+    for r in rows:
+        share.setdefault(r.sequence_id, {}).setdefault(r.source, 0)
+        share[r.sequence_id][r.source] += r.length
+    weights = {k: n**0.7 for k, n in tokens.items()}
+    rounds = min(n / (4096 * weights[k] / sum(weights.values())) for k, n in tokens.items())
+    assert rounds > 2
+    for s in range(int(rounds) - 1):
+        assert all(abs(share[s][k] - 4096 * w / sum(weights.values())) <= len(tokens) for k, w in weights.items()), share[s]
 
 
 def test_windows_hold_the_target_mixture(spark, sf):
@@ -233,12 +257,48 @@ def test_windows_hold_the_target_mixture(spark, sf):
     assert full > 10
 
 
-def test_packing_odd_rows(spark, monkeypatch):
-    rows = [(1, None, "a", 0), (2, "", None, 0), (3, "x " * 3000, "b", 0), (4, "<|endoftext|> a b é \x1c z" * 3, "b", 0), (None, "no id", "b", 0), (6, "y" * 5000, "", 0)]
-    want = dict(zip([r[0] for r in rows], ids_of([r[1] for r in rows]), strict=True))
-    df = spark.createDataFrame(rows, SMALL).withColumnRenamed("extra", "n")
-    check_packed(packing.pack(df, queries.tokenizer_path("word_bpe_49k.json"), window=64).collect(), want, 64)
-    monkeypatch.setattr(packing, "MAX_QUEUES", 2)
-    monkeypatch.setattr(packing, "MAX_BROADCAST_ROWS", 1)
-    check_packed(packing.pack(df, queries.tokenizer_path("word_bpe_49k.json"), window=64, targets={"b": 0.9}).collect(), want, 64)
-    assert packing.pack(df.limit(0), queries.tokenizer_path("word_bpe_49k.json")).count() == 0
+def brute_rounds(sizes, targets, window):
+    """Deficit round-robin, token by token: where each document's tokens go; ``sizes`` has (source, tokens) in queue order."""
+    tokens = {}
+    for source, n in sizes:
+        tokens[source] = tokens.get(source, 0) + n
+    free = sum(n for q, n in tokens.items() if q not in targets)
+    weights = {q: targets.get(q) or (1 - sum(targets.values())) * n / free for q, n in tokens.items()}
+    quanta = {q: max(1, round(w / sum(weights.values()) * window * 65536)) for q, w in weights.items()}
+    queues = {q: [(i, k) for i, (s, n) in enumerate(sizes) if s == q for k in range(n)] for q in tokens}
+    out, earned, sent = [], dict.fromkeys(tokens, 0), dict.fromkeys(tokens, 0)
+    while len(out) < sum(tokens.values()):
+        for q in sorted(tokens, key=lambda q: (q is not None, q or "")):
+            earned[q] += quanta[q]
+            upto = min(earned[q] // 65536, tokens[q])
+            out += queues[q][sent[q] : upto]
+            sent[q] = upto
+    return {token: at for at, token in enumerate(out)}
+
+
+@pytest.mark.parametrize("most", [256, 2])
+def test_packing_is_deficit_round_robin_for_any_number_of_sources(spark, monkeypatch, most):
+    """The same places with the queues in every task and by the sort; equal doc_ids, odd rows and clashing columns too."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", most)
+    monkeypatch.setattr(packing, "MAX_BROADCAST_ROWS", 100_000 if most == 256 else 1)
+    monkeypatch.setattr(packing, "SOME_ROUNDS", 3)
+    rows = [(1, None, "a", 0), (2, "", None, 0), (3, "x " * 3000, "b", 0), (4, "<|endoftext|> a b é \x1c z" * 3, "b", 0), (None, "no id", "?", 0), (6, "y" * 5000, "", 0), (7, "again " * 40, "a", 0), (7, "again " * 40, "a", 0), (8, None, "a", 0)]
+    rows += [(10 + i, f"w{i} " * (7 * i % 90), f"s{i % 5}", 0) for i in range(60)]
+    tokens = ids_of([r[1] for r in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, start int").coalesce(1)
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    for targets in ({}, {"b": 0.5, "a": 0.1, "absent": 0.05}):
+        places = brute_rounds([(r[2], len(t)) for r, t in zip(rows, tokens, strict=True)], targets, 64)
+        got = packing.pack(df, path, window=64, targets=targets or None).collect()
+        want = {}
+        for i, t in enumerate(tokens):
+            for k in range(len(t)):
+                want.setdefault((rows[i][0], len(t)), []).append((places[i, k], k))
+        have = {}
+        for r in got:
+            assert 0 < r.length and r.offset + r.length <= 64
+            have.setdefault((r.doc_id, r.doc_tokens), []).extend((64 * r.sequence_id + r.offset + x, r.start + x) for x in range(r.length))
+        assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+        by_id = {r[0]: t for r, t in zip(rows, tokens, strict=True)}
+        assert all(zlib.crc32(np.array(by_id[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in got)
+    assert packing.pack(df.limit(0), path).count() == 0

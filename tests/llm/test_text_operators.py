@@ -103,8 +103,9 @@ def brute_lines(docs, min_docs, keep_first=False):
     return [(i, "\n".join(x for p, x in enumerate((t or "").split("\n")) if (k, p) not in gone), len(keys[k]), sum((k, p) in gone for p in range(len(keys[k])))) for k, (i, t) in enumerate(docs)]
 
 
-@pytest.mark.parametrize("keep_first", [False, True])
-def test_line_dedup_odd_rows(spark, keep_first):
+@pytest.mark.parametrize(("keep_first", "few"), [(False, 200_000), (True, 200_000), (False, 0), (True, 0)])
+def test_line_dedup_odd_rows(spark, monkeypatch, keep_first, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
     rng = np.random.default_rng(6)
     pool = ["Same LINE ", "same line", "É", "é", "", " ", "\ttab", "İx", "z" * 300]
     docs = [(i, "\n".join(rng.choice(pool, int(rng.integers(1, 200))))) for i in range(12)]
@@ -117,6 +118,12 @@ def test_line_dedup_odd_rows(spark, keep_first):
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_copies_of_a_row_are_treated_alike(spark):
+    rows = [(1, "shared\nown")] * 2 + [(i, f"shared\nof {i}") for i in range(2, 12)]
+    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), keep_first=True).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, "shared\nown")] * 2 + [(i, f"of {i}") for i in range(2, 12)])
+
+
 def test_license_scan(spark):
     mit = license_scan.LICENSES["MIT"]
     texts = [mit, "Copyright (c) 2020 A. Person\nAll rights reserved.\n\n" + mit.upper().replace("LICENSE", "LICENCE").replace(",", ";"), mit + " more", None, "", "x\nReleased under the M.I.T.\nReleased under the MIT Licence", LONG]
