@@ -9,12 +9,14 @@ copyright lines, with a year or not, that its first ``HEAD_LINES`` canonical lin
 texts of more licences are in the folder ``licenses``, by their name; they are known without their head,
 and Apache's and the GNU licences also without what follows the terms.
 
-The known table is made from the texts given, so its size is that of a parameter, a few dozen rows; it
-is broadcast. All of it is expressions: no text leaves the scan but as a digest that matched.
+The known table is made from the texts given, so its size is that of a parameter, a few dozen rows. A
+caller's own table is broadcast up to ``FEW`` rows, and joined by Spark's choice beyond. Texts are read and
+brought to their canonical form once; no text leaves the scan but as a digest. Lines are looked up in the
+same projection among up to ``FEW_NOTICES`` notices, and by a join beyond.
 
 Defined cases: a null or empty text matches nothing; rows that repeat a doc_id share the notices found
-in any of them; a doc_id of null is one document; extra columns are ignored; an empty table gives an
-empty table.
+in any of them; a doc_id of null is one document; texts are digested whole, however long; extra columns
+are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stored
+
+#: Rows of a known table that are broadcast, and notices that are part of the projection.
+FEW, FEW_NOTICES = 100_000, 1000
 
 #: (pattern, replacement), applied in this order to lower-cased text; RE2 and Java read them alike.
 SPELLINGS = (
@@ -122,18 +127,27 @@ def known(spark, licenses: dict[str, str] | None = None, notices: dict[str, tupl
 def scan(docs: DataFrame, table: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, license, notices) for each row: the licence that the whole text is, or null, and an
     ascending array of the licences whose notices are lines of the document."""
-    table = F.broadcast(known(docs.sparkSession) if table is None else table)
+    if table is None:
+        table = stored(known(docs.sparkSession), "licenses")
+    held = table.where("kind = 'notice'").select("digest", "license").limit(FEW_NOTICES + 1).collect()
+    table = F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+    within = len(held) <= FEW_NOTICES
+    names = F.create_map(*(F.lit(x) for r in held for x in r)) if held and within else F.expr("map('', '')")
 
     def digests(lines: Column) -> Column:
+        each = F.transform(lines, lambda x: F.sha2(x, 256))
+        notices = F.filter(F.transform(each, lambda x: F.element_at(names, x)), lambda x: x.isNotNull())
         return F.struct(
             F.sha2(F.array_join(lines, " "), 256).alias("whole"),
             F.sha2(F.array_join(without_head(lines), " "), 256).alias("body"),
-            F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256))).alias("lines"),
+            F.array_distinct(notices if within else each).alias("lines"),
         )
 
-    made = docs.select(docs[doc_id].alias("doc_id"), let(canonical_lines(F.coalesce(docs[text], F.lit(""))), digests).alias("d"))
-    notices = table.where("kind = 'notice'").select(F.col("digest").alias("line"), F.col("license").alias("notice"))
-    found = made.select(F.col("doc_id").alias("doc"), F.explode("d.lines").alias("line")).join(notices, "line")
+    made = stored(docs.select(docs[doc_id].alias("doc_id"), let(canonical_lines(F.coalesce(docs[text], F.lit(""))), digests).alias("d")), "license-digests")
+    found = made.select(F.col("doc_id").alias("doc"), F.explode("d.lines").alias("notice"))
+    if not within:
+        notices = table.where("kind = 'notice'").select(F.col("digest").alias("line"), "license")
+        found = found.join(notices, F.col("notice") == F.col("line")).select("doc", F.col("license").alias("notice"))
     found = found.groupBy("doc").agg(F.sort_array(F.collect_set("notice")).alias("notices"))
     whole = table.where("kind = 'text'").select(F.col("digest").alias("whole"), F.col("license").alias("as_whole"))
     body = table.where("kind = 'body'").select(F.col("digest").alias("known_body"), F.col("license").alias("as_body"))

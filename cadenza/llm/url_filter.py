@@ -21,8 +21,11 @@ A host may hold a third of all pages: pages are counted with map-side combine, a
 template table, which is smaller by far, in an equi-join that Spark may broadcast or split.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path, fits no rule and is
-allowed; the label of a page is the worst of its labels' rows; repeated pages are judged alike; extra
-columns are ignored; without labels nothing is rejected; an empty table gives an empty table.
+allowed; the label of a page is the worst of its labels' rows; repeated pages, and pages without an id, are
+judged row by row like any other, the latter without a label; urls are read whole, however long; of rules of
+equal length that fit, which a url can't have but for repeated ones, the last by name decides; a purity of
+just the threshold is allowed; extra columns are ignored; without labels nothing is rejected; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations

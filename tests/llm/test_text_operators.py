@@ -153,6 +153,31 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0), queries.URL_RULES, labels).count() == 0
 
 
+def test_license_scan_odd_rows_and_large_tables(spark, monkeypatch):
+    notice, whole = "Licensed under the MIT License.", license_scan.LICENSES["ISC"]
+    rows = [(None, notice, "x"), (None, "nothing", "y"), (1, whole, "z"), (1, notice, "z"), (2, None, None), (3, "line\n" * 5000 + notice, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string")
+
+    def result():
+        return sorted((r.doc_id or 0, r.license or "", tuple(r.notices)) for r in license_scan.scan(df).collect())
+
+    want = sorted([(0, "", ("MIT",)), (0, "", ("MIT",)), (1, "ISC", ("MIT",)), (1, "", ("MIT",)), (2, "", ()), (3, "", ("MIT",))])
+    assert result() == want
+    monkeypatch.setattr(license_scan, "FEW", 1)
+    monkeypatch.setattr(license_scan, "FEW_NOTICES", 1)
+    assert result() == want
+
+
+def test_url_filter_odd_rows(spark):
+    long = "http://a.b/" + "seg/" * 2000
+    rows = [(1, long, 0), (1, long, 0), (None, "HTTP://Shop.example.com/en/7x", 0), (None, None, 0), (2, "http://example.com/en/x", 0), (3, "no scheme", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "page_id long, bad int")
+    got = sorted(((r.page_id or 0, r.host, len(r.path), r.rule, r.verdict) for r in url_filter.judge(df, queries.URL_RULES, labels).collect()), key=repr)
+    # The long page has all labels there are, and they are bad: its purity and the prior are 1.
+    assert got == sorted([(1, "a.b", 8001, None, "block")] * 2 + [(0, "shop.example.com", 6, "example.com/en/7", "allow"), (0, "", 0, None, "allow"), (2, "example.com", 5, "com/en/", "block"), (3, "", 0, None, "allow")], key=repr)
+
+
 # SentencePiece
 
 
@@ -254,3 +279,18 @@ def test_stages_keep_the_columns_of_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).schema.simpleString() == docs.schema.simpleString()
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Null columns, repeated rows, long texts and empty ones go through all stages, extra columns too."""
+    docs = queries.table(spark, sf, "documents").limit(60)
+    odd = docs.limit(4).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "n_chars")
+    long = docs.limit(1).select(F.lit(10**6).alias("doc_id"), F.lit(LONG).alias("text"), "lang", "source", "n_chars")
+    none = docs.limit(2).select("doc_id", F.lit(None).cast("string").alias("text"), "lang", "source", "n_chars")
+    given = docs.union(docs.limit(5)).union(odd).union(long).union(none).withColumn("part", F.lit(1)).withColumn("kept", F.lit("x"))
+    made = given
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, made, sf)
+        assert made.schema.simpleString() == given.schema.simpleString()
+    packed = corpus_pipeline.STAGES[-1][1](spark, made, sf)
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(t) for t in ids_of([r.text for r in made.collect()]))
