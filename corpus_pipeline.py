@@ -9,7 +9,7 @@ Each stage takes all that the one before kept, and is written as Parquet and rea
 4. packing: the documents become windows of 4096 tokens with the sources' shares in each.
 
 Rows that repeat a doc_id stay or go together; rows without a doc_id aren't removed by stage 3. Null
-texts, empty tables and extra columns are treated as the operators say.
+texts and empty tables are treated as the operators say; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ from cadenza.llm import common, line_dedup, packing, quality_rules, queries, sim
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    held = docs.select(F.struct("*").alias("_row"), "text")
+    return quality_rules.judge(held).where("kept").select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.drop_lines(docs, keep_first=True)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    held = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(f"`{c}`" for c in others)).alias("_others"))
+    done = line_dedup.drop_lines(held, keep_first=True).withColumn("n_chars", F.length("text").cast("long"))
+    return done.select(*(F.col(f"_others.`{c}`") if c in others else F.col(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
