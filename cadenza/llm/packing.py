@@ -51,7 +51,7 @@ MAX_BROADCAST_ROWS = 100_000
 #: Quanta are whole multiples of 2**-SHIFT tokens.
 SHIFT = 16
 #: Words that a worker's cache may hold, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 #: Bytes of text that are split at a time, and documents that are cut at a time.
 SLICE_BYTES, SLICE_ROWS = 8 << 20, 1024
 #: What a tokenizer must do for words to be evened out before they are looked up: it lowers all letters

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_UNITS, CACHE_CHARS = 400_000, 64
+CACHE_UNITS, CACHE_CHARS = 1_000_000, 64
 #: Characters of a unit in which the best pair is looked for by a scan.
 SHORT = 64
 #: The score of a pair that isn't a piece.
@@ -183,21 +183,20 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair pieces: the best-scored pair is merged first, the leftmost of equals."""
-        pieces, scores = list(text), self.scores
+        pieces = list(text)
         if len(pieces) > SHORT:
             return self.merged_long(pieces)
-        best = [scores.get(a + b, NONE) for a, b in itertools.pairwise(pieces)]
-        while best:
-            top = max(best)
-            if top == NONE:
-                break
+        score = self.scores.get
+        best = [score(a + b, NONE) for a, b in itertools.pairwise(pieces)]
+        while best and (top := max(best)) != NONE:
             i = best.index(top)
-            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            whole = pieces[i] + pieces.pop(i + 1)
+            pieces[i] = whole
             del best[i]
             if i:
-                best[i - 1] = scores.get(pieces[i - 1] + pieces[i], NONE)
+                best[i - 1] = score(pieces[i - 1] + whole, NONE)
             if i < len(best):
-                best[i] = scores.get(pieces[i] + pieces[i + 1], NONE)
+                best[i] = score(whole + pieces[i + 1], NONE)
         return pieces
 
     def merged_long(self, pieces: list[str | None]) -> list[str]:
@@ -230,8 +229,9 @@ class Codec:
     def unit(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of a normalised unit, and the number of its characters up to the end of each piece."""
         ids, ends, at, lost = [], [], 0, False
+        final = self.final
         for piece in self.merged(text):
-            known = self.final.get(piece)
+            known = final.get(piece)
             if known is not None and known != self.unknown:
                 ids.append(known)
                 ends.append(at + len(piece))
@@ -257,10 +257,13 @@ class Codec:
             if "" in names:
                 names = [u[1:] for u in re.findall(" +[^ ]*", " " + text)]
             units = [self.cache[u] for u in names]
-            ids, ends = (np.frombuffer(b"".join([u[k] for u in units]), "<i4") for k in (0, 1))
-            pieces, sizes = (np.fromiter([u[k] for u in units], np.int32, len(units)) for k in (2, 3))
-            # A unit's word begins after its blank; that of the first one isn't in the text.
-            return ids, 0, ends + np.repeat(np.cumsum(sizes + 1) - sizes - 1, pieces).astype(np.int32)
+            pieces = np.fromiter(map(len, units), np.int64, len(units)) // 8
+            both = np.frombuffer(b"".join(units), "<i4")
+            first = np.repeat(np.tile([True, False], len(units)), np.repeat(pieces, 2))
+            ids, ends = both[first], both[~first]
+            # A unit's word begins after its blank, but that of the first one isn't in the text; its last piece ends it.
+            sizes = ends[np.cumsum(pieces) - 1].astype(np.int64) + 1
+            return ids, 0, ends + np.repeat(np.cumsum(sizes) - sizes, pieces).astype(np.int32)
         shown, source = self.normalise(text)
         units = re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", shown) if self.by_units and self.escape else [shown]
         ids, ends, at = [], [], 0
@@ -273,7 +276,7 @@ class Codec:
 
 
 class Units(dict):
-    """A unit's ids and the source bytes up to each one's end (both as little-endian int32), their number, and its bytes.
+    """A unit's ids and then the source bytes up to each one's end, as little-endian int32.
 
     A unit is named by its text without the blank before it; the ends count from after that blank."""
 
@@ -281,11 +284,10 @@ class Units(dict):
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, unit: str) -> tuple[bytes, bytes, int, int]:
+    def __missing__(self, unit: str) -> bytes:
         shown, source = self.codec.normalise(unit) if unit else (BLANK, [0, 0])
         ids, places = self.codec.unit(shown)
-        shape = f"<{len(ids)}i"
-        made = struct.pack(shape, *ids), struct.pack(shape, *[source[p] for p in places]), len(ids), source[-1]
+        made = struct.pack(f"<{2 * len(ids)}i", *ids, *[source[p] for p in places])
         if len(unit) <= CACHE_CHARS and len(self) < CACHE_UNITS:
             self[unit] = made
         return made
