@@ -2,33 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantile_higher(values: Column, q_num: int, q_den: int) -> Column:
-    """The q-quantile that is a member of the sample, the upper one where two qualify; an aggregate.
+#: Rows of a group whose order statistic is looked for among all of them; of more, only among those near the quantile.
+SMALL_GROUP = 10_000
+#: Half the width of that neighbourhood, and the accuracy of the approximate quantiles that bound it.
+MARGIN, ACCURACY = 0.01, 10_000
+#: Ranges into which values are dealt for a rank over all rows.
+RANGES = 64
+
+
+def upper_rank(q_num: int, q_den: int) -> Callable[[Column], Column]:
+    """The place of the q-quantile that is a member of the sample, the upper one where two qualify, of n rows.
+
+    It is found in whole numbers, ``ceil((n - 1) * q) + 1``, so no product is off by a rounding."""
+    return lambda n: F.floor(((n - 1) * q_num + q_den - 1) / q_den) + 1
+
+
+def order_statistic(rows: DataFrame, by: list[str], value: str, rank: Callable[[Column], Column], share: float, out: str = "value", small: int = SMALL_GROUP) -> DataFrame:
+    """(by..., n, out): the value at place ``rank(n)`` of each group, or null where n is less; it lies near the share-quantile.
+
+    Approximate quantiles, whose error is bounded, enclose it in a large group, so that only the rows between them
+    are sorted and those below are counted: a group may hold most of all rows."""
+    low, high = max(0.0, share - MARGIN), min(1.0, share + MARGIN)
+    ends = rows.groupBy(*by).agg(F.count(value).alias("n"), F.percentile_approx(value, [low, high], ACCURACY).alias("_ends"))
+    placed = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")).join(ends, by)
+    large = F.col("n") > small
+    below, above = large & (F.col("_v") < F.col("_ends")[0]), large & (F.col("_v") > F.col("_ends")[1])
+    counted = placed.groupBy(*by).agg(F.count_if(below).alias("_below"), F.first("n").alias("n"))
+    at = F.row_number().over(Window.partitionBy(*by).orderBy("_v"))
+    found = placed.where(~below & ~above).select(*by, "_v", at.alias("_at"))
+    return counted.withColumn("_at", (rank(F.col("n")) - F.col("_below")).cast("int")).join(found, [*by, "_at"], "left").select(*by, "n", F.col("_v").alias(out))
 
-    The rank is found in whole numbers, ``ceil((n - 1) * q)``, so no product is off by a rounding."""
-    ordered = F.sort_array(F.collect_list(values))
-    rank = ((F.size(ordered) - 1) * q_num + q_den - 1) / q_den
-    return F.try_element_at(ordered, F.floor(rank).cast("int") + 1)
+
+def running_ranks(rows: DataFrame, value: str, *more: Column) -> DataFrame:
+    """(value, t, rank, more...): of each distinct value its rows, its rank over all rows with ties averaged, and more sums.
+
+    Distinct values are counted first and dealt into RANGES by approximate quantiles; the ranks run within a range
+    and start from the rows of the ranges before it, so that no task holds all values."""
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("t"), *more)
+    cuts = counts.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], ACCURACY)).first()[0] or []
+    of = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: c < F.col(value)))
+    dealt = counts.withColumn("_range", of)
+    starts = dealt.groupBy("_range").agg(F.sum("t").alias("_rows"))  # RANGES rows at most
+    starts = starts.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_start"))
+    before = F.sum("t").over(Window.partitionBy("_range").orderBy(value)) - F.col("t")
+    ranked = dealt.withColumn("_before", before).join(F.broadcast(starts), "_range")
+    return ranked.withColumn("rank", F.col("_start") + F.col("_before") + (F.col("t") + 1) / 2.0).drop("_range", "_start", "_before")
+
+
+def averaged_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """``rows`` with the rank of a value that isn't null over all rows, ties averaged."""
+    ranks = running_ranks(rows.where(F.col(value).isNotNull()).select(value), value).select(value, F.col("rank").alias(out))
+    return rows.join(ranks, value, "left")
 
 
 def average_rank(by: str, *keys: str) -> Column:
-    """Rank with ties averaged."""
+    """Rank among the rows of the keys, with ties averaged."""
     w = Window.partitionBy(*keys)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, by))
     return F.rank().over(w.orderBy(by)) + (ties - 1) / 2.0
 
 
+#: Coefficients of Acklam's rational approximation of the normal quantile: middle and tails, above and below. Fixed values.
+PROBIT = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+PROBIT_TAIL = 0.02425
+
+
 def probit(p: Column) -> Column:
     """The standard normal quantile, by Acklam's rational approximation (relative error below 1.2e-9)."""
-    # Fixed values.
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
 
     def poly(k: tuple[float, ...], x: Column) -> Column:
         out = F.lit(k[0])
@@ -36,10 +87,11 @@ def probit(p: Column) -> Column:
             out = out * x + v
         return out
 
+    a, b, c, d = PROBIT
     low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
     q = p - 0.5
     middle = poly(a, q * q) * q / poly(b, q * q)
-    return F.when((p <= 0) | (p >= 1), None).when(p < 0.02425, poly(c, low) / poly(d, low)).when(p > 1 - 0.02425, -poly(c, high) / poly(d, high)).otherwise(middle)
+    return F.when((p <= 0) | (p >= 1), None).when(p < PROBIT_TAIL, poly(c, low) / poly(d, low)).when(p > 1 - PROBIT_TAIL, -poly(c, high) / poly(d, high)).otherwise(middle)
 
 
 def normal_cdf(z: Column) -> Column:

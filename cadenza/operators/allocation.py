@@ -34,9 +34,11 @@ def uniform_weights(producers: DataFrame, injectors: DataFrame) -> DataFrame:
     return _normalised(_pairs(producers, injectors).select("inj", "key", F.lit(1.0).alias("w")))
 
 
-def allocate(injection: DataFrame, edges: DataFrame, value: str = "winj_m3", out: str = "alloc") -> DataFrame:
-    """(key, date, alloc): the weighted sums, a sparse matrix product as join and sum."""
-    return injection.join(edges, "inj").groupBy("key", "date").agg(F.sum(F.col("w") * F.col(value)).alias(out))
+def allocate(injection: DataFrame, edges: DataFrame, value: str = "winj_m3", out: str = "alloc", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., key, date, alloc): the weighted sums, a sparse matrix product as join and sum.
+
+    Edges that differ by cutoff, such as fitted gains, name it in ``by``."""
+    return injection.join(edges, "inj").groupBy(*by, "key", "date").agg(F.sum(F.col("w") * F.col(value)).alias(out))
 
 
 def block_sums(injection: DataFrame, producers: DataFrame, value: str = "winj_m3", out: str = "inj_block") -> DataFrame:

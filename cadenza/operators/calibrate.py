@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_number
-from ..functions.stats import quantile_higher
+from ..functions.stats import order_statistic, upper_rank
 
 EPS, CAP, MIN_BIN, BETA, GAP = 1e-9, 1e6, 30, 0.05, 6
 
@@ -28,7 +28,7 @@ def folds(rows: DataFrame, gap: int = GAP) -> DataFrame:
 def multiplicative(rows: DataFrame) -> DataFrame:
     """(fold, step, n_calib, scale): the upper 0.8-quantile of the ratios at each step."""
     ratio = folds(rows.withColumn("r", distance_ratio()))
-    return ratio.groupBy("fold", "step").agg(F.count("*").alias("n_calib"), quantile_higher(F.col("r"), 8, 10).alias("scale"))
+    return order_statistic(ratio, ["fold", "step"], "r", upper_rank(8, 10), 0.8, out="scale").withColumnRenamed("n", "n_calib")
 
 
 def multiplicative_coverage(rows: DataFrame) -> DataFrame:
@@ -44,10 +44,9 @@ def _bins(calib: DataFrame, method: str) -> DataFrame:
         return calib.withColumn("bin", F.lit("all"))
     if method in ("mond_step", "norm_x_step"):
         return calib.withColumn("bin", F.col("step").cast("string"))
-    per = F.count(F.lit(1)).over(Window.partitionBy("fold", "step", "block"))
-    least = F.min("_n").over(Window.partitionBy("fold", "block"))
-    pooled = calib.withColumn("_n", per).withColumn("_m", least)
-    return pooled.withColumn("bin", F.concat_ws("|", F.col("step").cast("string"), F.when(F.col("_m") >= MIN_BIN, F.col("block")).otherwise("other"))).drop("_n", "_m")
+    sizes = calib.groupBy("fold", "step", "block").agg(F.count("*").alias("_n")).groupBy("fold", "block").agg(F.min("_n").alias("_m"))
+    pooled = calib.join(sizes, ["fold", "block"])
+    return pooled.withColumn("bin", F.concat_ws("|", F.col("step").cast("string"), F.when(F.col("_m") >= MIN_BIN, F.col("block")).otherwise("other"))).drop("_m")
 
 
 METHODS = ("split", "mond_step", "mond_sxb", "norm_pred", "norm_x_step")
@@ -60,12 +59,12 @@ def conformal(rows: DataFrame, method: str) -> DataFrame:
     Normalised methods divide residuals by |y_pred| + BETA * mean |y_pred| of the fold's calibration rows."""
     calib = _bins(folds(rows), method)
     scaled = method.startswith("norm")
-    mean = F.avg(F.abs("y_pred")).over(Window.partitionBy("fold"))
-    calib = calib.withColumn("sigma", F.abs("y_pred") + BETA * mean if scaled else F.lit(1.0)).withColumn("a", F.abs(F.col("y_true") - F.col("y_pred")) / F.col("sigma"))
-    w = Window.partitionBy("fold", "bin")
-    ranked = calib.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy("a")))
-    half = ranked.where(F.col("r") == F.floor(((F.col("n") + 1) * 8 + 9) / 10)).select(F.col("fold").alias("_f"), F.col("bin").alias("_b"), F.col("a").alias("half"))
-    shift = calib.groupBy(F.col("fold").alias("_f2")).agg(F.avg(F.abs("y_pred")).alias("_mean"))
+    means = calib.groupBy("fold").agg(F.avg(F.abs("y_pred")).alias("_mean"))
+    sigma = F.abs("y_pred") + BETA * F.col("_mean") if scaled else F.lit(1.0)
+    residuals = calib.join(means, "fold").select("fold", "bin", (F.abs(F.col("y_true") - F.col("y_pred")) / sigma).alias("a"))
+    half = order_statistic(residuals, ["fold", "bin"], "a", lambda n: F.floor(((n + 1) * 8 + 9) / 10), 0.8, out="half")
+    half = half.select(F.col("fold").alias("_f"), F.col("bin").alias("_b"), "half")
+    shift = means.select(F.col("fold").alias("_f2"), "_mean")
     if method == "mond_sxb":
         kept = calib.select(F.col("fold").alias("_fold"), F.col("step").alias("_step"), F.col("block").alias("_block"), "bin").distinct()
         own = rows.join(kept, (F.col("cutoff") == F.col("_fold")) & (F.col("step") == F.col("_step")) & (F.col("block") == F.col("_block")), "left").select(*rows.columns, "bin")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, normal_cdf, probit
+from ..functions.stats import average_rank, averaged_rank, normal_cdf, probit, running_ranks
 
 
 def relative_error(y: str = "y_true", p: str = "y_pred") -> Column:
@@ -23,18 +23,21 @@ def spearman(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
 
 
 def normal_scores(df: DataFrame, value: str, *keys: str, out: str = "z") -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn(out, probit(average_rank(value, *keys) / (n + 1)))
+    """Normal scores of the ranks within the keys, or over all rows; a null among the latter has none and doesn't count."""
+    if keys:
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        return df.withColumn(out, probit(average_rank(value, *keys) / (n + 1)))
+    n = df.agg(F.count(value).alias("_n"))  # one row
+    return averaged_rank(df, value, "_rank").crossJoin(F.broadcast(n)).withColumn(out, probit(F.col("_rank") / (F.col("_n") + 1))).drop("_rank", "_n")
 
 
 def mann_whitney(df: DataFrame, value: str, flag: str) -> DataFrame:
     """U of the flagged rows against the others, and its one-sided p by the normal approximation with ties.
 
-    Equal values are counted first, so the running rank goes over distinct values in sorted order."""
-    counts = df.groupBy(value).agg(F.count(F.when(F.col(flag), 1)).alias("a"), F.count("*").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    Equal values are counted first, and the running rank goes over the distinct values, range by range."""
+    counts = running_ranks(df.where(F.col(value).isNotNull()), value, F.count(F.when(F.col(flag), 1)).alias("a"))
     t, n1, n = F.col("t").cast("double"), F.sum("a").cast("double"), F.sum("t").cast("double")
-    sums = counts.withColumn("rank", below + (t + 1) / 2).agg(F.sum(F.col("a") * F.col("rank")).alias("r1"), n1.alias("n1"), n.alias("n"), F.sum(t * t * t - t).alias("ties"))
+    sums = counts.agg(F.sum(F.col("a") * F.col("rank")).alias("r1"), n1.alias("n1"), n.alias("n"), F.sum(t * t * t - t).alias("ties"))
     u, n1, n = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1"), F.col("n")
     n2 = n - n1
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import HORIZON
-from .ensemble import blend, greedy, weights_nnls
+from .ensemble import bags, blend, weights_nnls
 from .panel import lags
 
 LAGS, MEANS = (1, 2, 3, 4, 5, 6, 12), (3, 6)
@@ -96,7 +96,6 @@ def greedy_step(matrix: DataFrame, models: list[str], key: str = "key") -> DataF
     The blend of a training row leaves out the row's own cutoff, and the test's as well: the Gram sums of
     each cutoff are taken once, and a pair of cutoffs is totals less two."""
     import numpy as np
-    import pandas as pd
 
     from ..functions.solvers import nnls, unit_sum
 
@@ -126,15 +125,12 @@ def greedy_step(matrix: DataFrame, models: list[str], key: str = "key") -> DataF
     blended = F.greatest(F.aggregate(F.zip_with(preds, F.col("w"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
     rows = matrix.withColumn("step", F.col("step").cast("int")).join(weights, ["cutoff", "step"]).withColumn("nnls_step", blended)
     names = [*models, "nnls_step"]
-
-    def fit(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        test = part["cutoff"] == group[0]
-        rest, own = part[~test], part[test]
-        w = greedy(rest[names].to_numpy(float), rest["y_true"].to_numpy(float)) if len(rest) >= 12 else np.append(np.zeros(k), 1.0)
-        return pd.DataFrame({"cutoff": own["cutoff"], key: own[key], "step": own["step"], "date": own["date"], "y_true": own["y_true"], "y_pred": np.maximum(own[names].to_numpy(float) @ w, 0.0)})
-
-    # A group is one key's forecast rows with the blends for one test cutoff: cutoffs x steps of them.
-    return rows.groupBy("test", key).applyInPandas(fit, f"cutoff date, `{key}` string, step int, date date, y_true double, y_pred double")
+    # A bag is filled from one key's forecast rows with the blends for one test cutoff: cutoffs x steps of them.
+    found = bags(rows.where("cutoff <> test"), names, ["test", key]).where("n >= 12").select(F.col("test").alias("_test"), F.col(key).alias("_key"), "weights")
+    own = rows.where("cutoff = test").join(found, (F.col("test") == F.col("_test")) & (F.col(key) == F.col("_key")), "left")
+    bagged = F.aggregate(F.zip_with(F.array(*names), F.col("weights"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    y = F.greatest(F.coalesce(bagged, F.col("nnls_step")), F.lit(0.0))
+    return own.select("cutoff", key, "step", "date", "y_true", y.alias("y_pred"))
 
 
 __all__ = ["backtest", "blend", "greedy_step", "importance", "meta", "train", "weights_nnls"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import metrics as M
-from ..functions.stats import average_rank, quantile_higher
+from ..functions.stats import PROBIT, PROBIT_TAIL, averaged_rank, order_statistic, upper_rank
 from ..operators import allocation as A
 from ..operators import backtest as B
 from ..operators import calibrate as K
@@ -18,6 +18,7 @@ from ..operators import ensemble as E
 from ..operators import fractional as G
 from ..operators import panel as P
 from ..sources import tables as S
+from ..sources.shared import held
 from .registry import FRAGMENTS, query
 
 CUTOFFS = [date(2000, 4, 1), date(2000, 10, 1), date(2001, 4, 1)]
@@ -110,12 +111,17 @@ def forecasts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """All models' forecasts beside the truth, made once in an application; so is the matrix of them."""
+    return held(spark, "scored", sf, lambda: _scored(spark, sf))
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
     truth = rates(spark, sf).select("key", "block", "date", F.col("liq_tpd").alias("y_true"))
     return forecasts(spark, sf).join(truth, ["key", "date"])
 
 
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return B.model_matrix(scored(spark, sf), MODELS, ("cutoff", "key", "block", "step", "date", "y_true"))
+    return held(spark, "matrix", sf, lambda: B.model_matrix(scored(spark, sf), MODELS, ("cutoff", "key", "block", "step", "date", "y_true")))
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
@@ -692,12 +698,44 @@ def ens_forward_blend(spark, sf):
     return now.join(spread, "step").select("key", "step", "date", F.col("y_pred").alias("y"), (F.col("y_pred") * F.col("r")[0]).alias("q10"), (F.col("y_pred") * F.col("r")[1]).alias("q90"))
 
 
-@query("cutoff model weight:6")
+def _nnls_sql(step: str = "") -> str:
+    """Non-negative weights of the three models by their active sets: of all subsets' least squares the best one without a negative weight."""
+    names = ["e", "m", "n"]  # exp24, mean3, naive
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    values = dict(zip(names, MODELS, strict=True)) | {"y": "y_true"}
+    sums = [(a + b, f"sum({values[a]} * {values[b]})") for a, b in [*pairs, *((a, "y") for a in names)]]
+    own = f"SELECT cutoff{step}, " + ", ".join(f"{v} AS {k}" for k, v in sums) + f" FROM matrix GROUP BY cutoff{step}"
+    over = f"OVER (PARTITION BY {step.strip(', ')})" if step else "OVER ()"
+    rest = f"SELECT cutoff{step}, " + ", ".join(f"sum({k}) {over} - {k} AS {k}" for k, _ in sums) + f" FROM ({own})"
+    g = lambda a, b: a + b if (a, b) in pairs else b + a
+    sets = [("0", "0", "0")]
+    for i, a in enumerate(names):
+        sets.append(tuple(f"{a}y / {g(a, a)}" if k == i else "0" for k in range(3)))
+    for i in range(3):
+        a, b = (names[k] for k in range(3) if k != i)
+        det = f"({g(a, a)} * {g(b, b)} - {g(a, b)} * {g(a, b)})"
+        solved = {a: f"({a}y * {g(b, b)} - {b}y * {g(a, b)}) / {det}", b: f"({b}y * {g(a, a)} - {a}y * {g(a, b)}) / {det}"}
+        sets.append(tuple(solved.get(x, "0") for x in names))
+
+    def det3(m: list[list[str]]) -> str:
+        (a, b, c), (d, e, f), (p, q, r) = m
+        return f"({a} * ({e} * {r} - {f} * {q}) - {b} * ({d} * {r} - {f} * {p}) + {c} * ({d} * {q} - {e} * {p}))"
+
+    gram = [[g(a, b) for b in names] for a in names]
+    sets.append(tuple(f"{det3([[f'{names[i]}y' if j == k else gram[i][j] for j in range(3)] for i in range(3)])} / {det3(gram)}" for k in range(3)))
+    every = " UNION ALL ".join(f"SELECT *, {x} AS w0, {y} AS w1, {z} AS w2 FROM rest" for x, y, z in sets)
+    gain = "2 * (w0 * ey + w1 * my + w2 * ny) - (w0 * w0 * ee + w1 * w1 * mm + w2 * w2 * nn + 2 * (w0 * w1 * em + w0 * w2 * en + w1 * w2 * mn))"
+    best = f"SELECT *, row_number() OVER (PARTITION BY cutoff{step} ORDER BY {gain} DESC) AS r FROM ({every}) WHERE w0 >= 0 AND w1 >= 0 AND w2 >= 0"
+    shown = " UNION ALL ".join(f"SELECT cutoff{step}, '{m}' AS model, CASE WHEN w0 + w1 + w2 > 0 THEN w{k} / (w0 + w1 + w2) ELSE 1 / 3.0 END AS weight FROM best WHERE r = 1" for k, m in enumerate(MODELS))
+    return f"WITH rest AS ({rest}), best AS ({best}) {shown}"
+
+
+@query("cutoff model weight:6", _nnls_sql(), "matrix")
 def ens_nnls(spark, sf):
     return E.weights_nnls(matrix(spark, sf), MODELS)
 
 
-@query("cutoff step:i model weight:6")
+@query("cutoff step:i model weight:6", _nnls_sql(", step"), "matrix")
 def ens_nnls_step(spark, sf):
     return E.weights_nnls(matrix(spark, sf), MODELS, ("step",))
 
@@ -731,7 +769,9 @@ def cal_multiplicative_coverage(spark, sf):
 @query("step:i n:i lo:8 hi:8 upper:8", "SELECT step, count(*) AS n, quantile_cont(y_true / y_pred, 0.1) AS lo, quantile_cont(y_true / y_pred, 0.9) AS hi, list_sort(list(y_true / y_pred))[CAST(floor(((count(*) - 1) * 8 + 9) / 10) AS INT) + 1] AS upper FROM intervals WHERE y_pred > 0 GROUP BY 1", "intervals")
 def ratio_quantiles(spark, sf):
     r = F.col("y_true") / F.col("y_pred")
-    return intervals(spark, sf).where("y_pred > 0").groupBy("step").agg(F.count("*").alias("n"), F.percentile(r, 0.1).alias("lo"), F.percentile(r, 0.9).alias("hi"), quantile_higher(r, 8, 10).alias("upper"))
+    rows = intervals(spark, sf).where("y_pred > 0").select("step", r.alias("r"))
+    upper = order_statistic(rows, ["step"], "r", upper_rank(8, 10), 0.8, out="upper").drop("n")
+    return rows.groupBy("step").agg(F.count("*").alias("n"), F.percentile("r", 0.1).alias("lo"), F.percentile("r", 0.9).alias("hi")).join(upper, "step")
 
 
 def _conformal_sql(method: str) -> str:
@@ -824,12 +864,37 @@ def topk_abs(spark, sf):
     return _errors2(spark, sf).groupBy("key").agg(F.corr("a", "b").alias("rho")).orderBy(F.desc(F.abs(F.round("rho", 10))), "key").limit(5)
 
 
-@query("key cutoff step:i z:6")
+def _poly_sql(k: tuple[float, ...], x: str) -> str:
+    made = repr(k[0])
+    for v in k[1:]:
+        made = f"({made} * ({x}) + {v!r})"
+    return made
+
+
+def _probit_sql(p: str) -> str:
+    a, b, c, d = PROBIT
+    low, high, q = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"({p} - 0.5)"
+    return f"""CASE WHEN {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < {PROBIT_TAIL} THEN {_poly_sql(c, low)} / {_poly_sql(d, low)}
+      WHEN {p} > 1 - {PROBIT_TAIL} THEN -{_poly_sql(c, high)} / {_poly_sql(d, high)} ELSE {_poly_sql(a, f"{q} * {q}")} * {q} / {_poly_sql(b, f"{q} * {q}")} END"""
+
+
+FRAGMENTS["scores2"] = f"""SELECT key, cutoff, step, {_probit_sql("pa")} AS za, {_probit_sql("pb")} AS zb FROM (
+  SELECT *, (rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0) / (count(*) OVER () + 1) AS pa,
+    (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / (count(*) OVER () + 1) AS pb FROM errors2)"""
+_Z = 1.2815515655446004
+_DENSITY = f"(2 * exp(-({_Z} * {_Z}) / (1 + rho * i / 200.0)) - 2 * exp(-({_Z} * {_Z}) / (1 - rho * i / 200.0))) / (2 * pi() * sqrt(1 - (rho * i / 200.0) * (rho * i / 200.0)))"
+
+
+@query("key cutoff step:i z:6", "SELECT key, cutoff, step, za AS z FROM scores2", "scores2")
 def normal_scores(spark, sf):
     return D.normal_scores(_errors2(spark, sf), "a")
 
 
-@query("rho:6 p:6")
+@query(
+    "rho:6 p:6",
+    f"SELECT rho, 0.64 + rho / 200 / 3 * sum(CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {_DENSITY}) AS p FROM (SELECT corr(za, zb) AS rho FROM scores2), (SELECT unnest(range(0, 201)) AS i) GROUP BY rho",
+    "scores2",
+)
 def copula_rectangle(spark, sf):
     z = D.normal_scores(D.normal_scores(_errors2(spark, sf), "a", out="za"), "b", out="zb")
     return z.agg(F.corr("za", "zb").alias("rho")).withColumn("p", D.rectangle(F.col("rho")))
@@ -843,7 +908,7 @@ def analyze_pairs(spark, sf):
 
 @query("key rank:8", "SELECT key, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rank FROM (SELECT key, round(perm, -2) AS v FROM sites)", "sites")
 def average_ranks(spark, sf):
-    return S.sites(spark, sf).withColumn("v", F.round("perm", -2)).select("key", average_rank("v").alias("rank"))
+    return S.sites(spark, sf).withColumn("v", F.round("perm", -2)).transform(averaged_rank, "v", "rank").select("key", "rank")
 
 
 # Learning frames.

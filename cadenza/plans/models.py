@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import allocation as A
 from ..operators import backtest as B
-from ..operators import capacitance as R
-from ..operators import decline, injection_plan
+from ..operators import decline
 from ..operators import learning as L
-from ..operators import panel as P
+from ..operators import response as R
 from ..operators import signals as N
 from ..sources import tables as S
 from . import catalogue as K
@@ -19,7 +18,7 @@ from .registry import query
 TAU = 90.0
 
 
-# Decline and capacitance models.
+# Decline and response.
 
 
 @query("cutoff key step:i date y_pred:2")
@@ -38,41 +37,6 @@ def crm_recursion_fixed(spark, sf):
     return R.recursion(A.allocate(S.injection(spark, sf), K.hydro(spark, sf)), TAU)
 
 
-def _fields(spark, sf):
-    return K.rates(spark, sf), S.injection(spark, sf)
-
-
-@query("cutoff block key date step:i liq:2")
-def crm_liquid(spark, sf):
-    return R.liquid(*_fields(spark, sf), K.CUTOFFS, K.FULL_START)
-
-
-@query("cutoff block inj key f:4")
-def crm_fit(spark, sf):
-    return R.gains(*_fields(spark, sf), K.CUTOFFS, K.FULL_START)
-
-
-@query("cutoff block key date step:i liq:2")
-def crm_compensated(spark, sf):
-    return R.liquid(*_fields(spark, sf), K.CUTOFFS[-1:], K.FULL_START, pressure=True)
-
-
-@query("cutoff block key date step:i liq:2 oil:2")
-def crm2p(spark, sf):
-    return R.two_phase(*_fields(spark, sf), K.CUTOFFS, K.FULL_START)
-
-
-@query("cutoff block key date step:i liq:2 pres:3")
-def crmp_pressure(spark, sf):
-    return R.pressure(*_fields(spark, sf), K.CUTOFFS, K.FULL_START)
-
-
-@query("share:4")
-def crm_full_field_share(spark, sf):
-    found = R.gains(*_fields(spark, sf), K.CUTOFFS[-1:], K.FULL_START, whole_field=True).select("inj", "key", F.col("f").alias("w"))
-    return A.block_share(found, S.sites(spark, sf), S.injector_sites(spark, sf))
-
-
 # Learned models.
 
 
@@ -127,18 +91,6 @@ def exchangeability(spark, sf):
     return N.exchangeability(K.scored(spark, sf).withColumn("resid", F.col("y_true") - F.col("y_pred")), "model")
 
 
-# Optimisation.
-
-
-@query("bound:2 inj base:4 multiplier:4 base_oil:2 best_oil:2")
-def injection_scenarios(spark, sf):
-    last = K.CUTOFFS[-1]
-    panel, injection = _fields(spark, sf)
-    gains = R.gains(panel, injection, [last], K.FULL_START)
-    w = K.flow(spark, sf)
-    return injection_plan.scenarios(panel, injection, gains, K.hydro(spark, sf), K.G.fit(w, [last]), w, last, (0.2, 0.3))
-
-
 # Streams.
 
 
@@ -151,5 +103,3 @@ def events_watermark_late(spark, sf):
     out = run_available(stream(spark, f"{sf}/events.parquet*", schema), late="2 days")  # a pattern may name one file, too
     return out.withColumn("day", F.to_date("start"))
 
-
-_ = P

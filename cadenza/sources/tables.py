@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month
+from .shared import held
 
 #: The last whole month of the star schema's shipments; the next one is cut off.
 LAST_VALID = date(2001, 10, 1)
@@ -76,6 +77,11 @@ def producers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly panel, a row per key and month: made from the shipments once in an application, then read."""
+    return held(spark, "panel", sf_dir, lambda: monthly(spark, sf_dir))
+
+
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, block, date, liq_t, oil_t, p_res, hours): the supplier nations' shipments by month."""
     line, supplier, nation, region = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
     rows = (
@@ -92,6 +98,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly injection, made once like the panel."""
+    return held(spark, "injection", sf_dir, lambda: monthly_injection(spark, sf_dir))
+
+
+def monthly_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(inj, block, date, winj_m3): the customer nations' quantities by month of shipment."""
     line, orders, customer, nation, region = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
     rows = (

@@ -1,5 +1,6 @@
 """Fitted operators on series made from known parameters, sources and sinks, and odd rows."""
 
+import zipfile
 from datetime import date
 
 import numpy as np
@@ -7,10 +8,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.functions import solvers
-from cadenza.functions.stats import quantile_higher
-from cadenza.operators import backtest, capacitance, decline, injection_plan, panel, signals
-from cadenza.sources import tables
+import __spark_entry__
+from cadenza.functions import solvers, stats
+from cadenza.operators import backtest, decline, ensemble, panel, selection, signals
+from cadenza.sources import files, shared, tables
 from cadenza.streaming import events
 
 
@@ -32,61 +33,6 @@ def test_hyperbolic_decline_is_recovered():
     assert np.isfinite(decline.arps(np.zeros(12), 6)).all()
 
 
-def _field(spark, months=72):
-    """Two producers and two injectors of one block, made by the recursion with known gains."""
-    rng = np.random.default_rng(2)
-    at = pd.date_range("1996-03-01", periods=months, freq="MS")
-    days = at.days_in_month.to_numpy(float)
-    inj = 500 + 200 * rng.random((months, 2)).cumsum(axis=0) % 700
-    f = np.array([[0.6, 0.2], [0.3, 0.7]])
-    q = np.array([400.0, 500.0])
-    liq = []
-    for k in range(months):
-        a = np.exp(-days[k] / 60)
-        q = q * a + (1 - a) * (f @ inj[k])
-        liq.append(q)
-    liq = np.array(liq)
-    producers = [(f"p{j}", "b", d.date(), float(liq[k, j]), float(liq[k, j] * (0.9 - 0.005 * k)), 200.0) for k, d in enumerate(at) for j in range(2)]
-    injectors = [(f"i{i}", "b", d.date(), float(inj[k, i] * days[k])) for k, d in enumerate(at) for i in range(2)]
-    return (
-        spark.createDataFrame(producers, "key string, block string, date date, liq_tpd double, oil_tpd double, p_res double"),
-        spark.createDataFrame(injectors, "inj string, block string, date date, winj_m3 double"),
-        {(f"p{j}", d.date()): liq[k, j] for k, d in enumerate(at) for j in range(2)},
-        f,
-    )
-
-
-@pytest.mark.parametrize("pressure", [False, True])
-def test_capacitance_finds_the_gains_and_the_future(spark, pressure):
-    p, i, truth, f = _field(spark)
-    cutoff = date(2001, 5, 1)
-    rows = [r for r in capacitance.liquid(p, i, [cutoff], date(1996, 3, 1), pressure=pressure).collect() if r.step > 0]
-    assert len(rows) == 12 and all(abs(r.liq - truth[r.key, r.date]) < 0.05 * truth[r.key, r.date] for r in rows)
-    found = {(r.inj, r.key): r.f for r in capacitance.gains(p, i, [cutoff], date(1996, 3, 1)).collect()}
-    assert all(abs(found[f"i{n}", f"p{j}"] - f[j, n]) < 0.1 for j in range(2) for n in range(2))
-
-
-def test_two_phase_and_pressure_stay_in_bounds(spark):
-    p, i, truth, _ = _field(spark)
-    cutoff = date(2001, 5, 1)
-    rows = capacitance.two_phase(p, i, [cutoff], date(1996, 3, 1)).collect()
-    assert len(rows) == 12 and all(0 <= r.oil <= r.liq and abs(r.liq - truth[r.key, r.date]) < 0.2 * truth[r.key, r.date] for r in rows)
-    rows = [r for r in capacitance.pressure(p, i, [cutoff], date(1996, 3, 1)).collect() if r.step > 0]
-    assert len(rows) == 12 and all(r.liq >= 0 and np.isfinite(r.pres) for r in rows)
-
-
-def test_capacitance_skips_blocks_without_injectors(spark):
-    p, i, *_ = _field(spark)
-    assert capacitance.liquid(p, i.withColumn("block", F.lit("c")), [date(2001, 5, 1)], date(1996, 3, 1)).count() == 0
-    assert capacitance.gains(p.limit(0), i.limit(0), [date(2001, 5, 1)], date(1996, 3, 1)).count() == 0
-
-
-def test_saturation_inverts_the_water_share():
-    p = np.array([0.2, 0.3, 2.0, 2.5, 1.2])
-    s = np.linspace(0.05, 0.95, 20)
-    assert np.allclose(capacitance.saturation_at(1 - capacitance.corey(s, p)[1], p), s, atol=1e-6)
-
-
 def test_coherence_tells_driven_pairs_from_others():
     rng = np.random.default_rng(3)
     x = np.convolve(rng.normal(size=90), [0.5, 1, 0.5], "same")
@@ -117,19 +63,91 @@ def test_martingale_grows_with_drift_only(spark):
     assert got["drift"] > 2 > got["same"]
 
 
-def test_projection_keeps_the_total():
-    rng = np.random.default_rng(5)
-    w = rng.random(16) + 0.1
-    x = injection_plan.project(1 + rng.normal(size=16), w, 0.8, 1.2)
-    assert abs(w @ x - w.sum()) < 1e-6 and (x >= 0.8).all() and (x <= 1.2).all()
-
-
-def test_upper_quantile_is_numpy_s(spark):
+@pytest.mark.parametrize("small", [10_000, 20])
+def test_order_statistics_are_numpy_s(spark, small):
     rng = np.random.default_rng(6)
-    for n in (1, 9, 10, 11, 30):
-        v = rng.random(n)
-        df = spark.createDataFrame([(float(x),) for x in v], "v double")
-        assert df.agg(quantile_higher(F.col("v"), 8, 10)).first()[0] == pytest.approx(np.quantile(v, 0.8, method="higher"))
+    sizes = (1, 9, 10, 11, 30, 5000)
+    groups = {n: np.round(rng.random(n), 2 if n == 30 else 6) for n in sizes}
+    df = spark.createDataFrame([(n, float(x)) for n, v in groups.items() for x in v] + [(9, None)], "g int, v double")
+    got = {r.g: (r.n, r.value) for r in stats.order_statistic(df, ["g"], "v", stats.upper_rank(8, 10), 0.8, small=small).collect()}
+    assert got == {n: (n, pytest.approx(np.quantile(v, 0.8, method="higher"))) for n, v in groups.items()}
+    beyond = {r.g: r.value for r in stats.order_statistic(df, ["g"], "v", lambda n: F.floor(((n + 1) * 8 + 9) / 10), 0.8, small=small).collect()}
+    assert beyond[1] is None and all(beyond[n] == pytest.approx(np.sort(v)[int(((n + 1) * 8 + 9) // 10) - 1]) for n, v in groups.items() if n > 1)
+
+
+def test_ranks_over_all_rows_average_ties(spark):
+    rng = np.random.default_rng(7)
+    v = np.round(rng.normal(size=3000), 1)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)] + [(-1, None)], "i int, v double").repartition(7)
+    got = {r.i: r.rank for r in stats.averaged_rank(df, "v", "rank").collect()}
+    assert got.pop(-1) is None and [got[i] for i in range(len(v))] == pd.Series(v).rank().tolist()
+    assert stats.averaged_rank(df.limit(0), "v", "rank").count() == 0
+
+
+def test_bags_are_ensemble_selection(spark):
+    """Against plain loops: models are added with repeats while the bag's error falls."""
+    rng = np.random.default_rng(8)
+    rows = [(g, k, *(float(x) for x in rng.normal(size=4))) for g in ("a", "b", "c") for k in range(25)] + [("d", k, 1.0, 0.0, 1.0, 5.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "g string, k int, y_true double, m0 double, m1 double, m2 double")
+    got = {r.g: (r.n, r.weights) for r in ensemble.bags(df, ["m0", "m1", "m2"], ["g"]).collect()}
+    for g in "abcd":
+        part = np.array([r[2:] for r in rows if r[0] == g])
+        chosen, least = [], np.inf
+        while len(chosen) < 30:
+            errors = [np.abs(part[:, [1 + j for j in (*chosen, more)]].mean(axis=1) - part[:, 0]).sum() for more in range(3)]
+            if least - min(errors) <= 1e-12:
+                break
+            least = min(errors)
+            chosen.append(int(np.argmin(errors)))
+        assert got[g] == (len(part), pytest.approx([chosen.count(j) / len(chosen) for j in range(3)]))
+
+
+def test_panel_is_made_once_and_forgotten(spark, sf):
+    shared.forget()
+    a, b = tables.panel(spark, sf), tables.panel(spark, sf)
+    assert a is b and sorted(map(tuple, a.collect())) == sorted(map(tuple, tables.monthly(spark, sf).collect()))
+    for name in ("conf_best_method", "ens_greedy_well", "learning_frame"):
+        assert __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().analyzed().toString().count("l_orderkey") == 0
+    shared.forget()
+    assert tables.panel(spark, sf) is not a
+
+
+def _workbook(path, sheets):
+    """A workbook by hand: numbers as such, texts shared or in place."""
+    texts = sorted({c for rows in sheets.values() for r in rows for c in r if isinstance(c, str)})
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+    def cell(ref, c):
+        if isinstance(c, str):
+            return f'<c r="{ref}" t="s"><v>{texts.index(c)}</v></c>' if len(c) % 2 else f'<c r="{ref}" t="inlineStr"><is><t>{c}</t></is></c>'
+        return f'<c r="{ref}"/>' if c is None else f'<c r="{ref}"><v>{c}</v></c>'
+
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>" + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{t}</t></si>" for t in texts) + "</sst>")
+        for i, rows in enumerate(sheets.values()):
+            body = "".join("<row>" + "".join(cell(f"{chr(65 + k)}{n + 1}", c) for k, c in enumerate(r)) + "</row>" for n, r in enumerate(rows))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+
+
+def test_workbooks_arrays_and_result_files(spark, tmp_path):
+    monthly = [["title"], ["well", "date", "liq", "name"], [12, 36526, 1.5, "ab"], ["13", "2000-02-01", None, "abc"], [None, None, None, None]]
+    _workbook(tmp_path / "book.xlsx", {"MODEL": monthly, "coords": [["well", "x"], [12, 0.25]]})
+    got = files.read_sheet(spark, f"{tmp_path}/book.xlsx", "MODEL", "well int, date date, liq double, name string, absent string", skip=1).collect()
+    assert sorted(map(tuple, got)) == [(12, date(2000, 1, 1), 1.5, "ab", None), (13, date(2000, 2, 1), None, "abc", None)]
+    assert [tuple(r) for r in files.read_sheet(spark, f"{tmp_path}/book.xlsx", "coords", "well string, x double").collect()] == [("12", 0.25)]
+    with pytest.raises(Exception, match="no sheet"):
+        files.read_sheet(spark, f"{tmp_path}/book.xlsx", "none", "well int").collect()
+    np.save(tmp_path / "run.npy", np.arange(12.0))
+    assert sorted((r.name, r.step, r.series, r.value) for r in files.read_npy(spark, f"{tmp_path}/*.npy", 3, 2).collect()) == [("run", s, c, 4.0 * (s - 1) + c) for s in (1, 2, 3) for c in (0, 1)]
+    for name, text in {"a_b_oil_tpd": "y_true,y_pred,q10,q90\n1,2,0,3\n", "c_liq_tpd": "y_true,y_pred\n4,5\n", "old_x_oil_tpd": "y_true,y_pred\n1,1\n", "d_oil_tpd": "y_true\n1\n", "e_gas_tpd": "y_true,y_pred\n1,1\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    rows = files.read_result_files(spark, f"{tmp_path}/*.csv", deny=("old_",))
+    assert sorted(((r.model, r.target, r.y_true, r.q10) for r in rows.collect()), key=repr) == [("a_b", "oil_tpd", 1.0, 0.0), ("c", "liq_tpd", 4.0, None)]
+    assert {r.model: r.coverage_80 for r in selection.available_metrics(rows).collect()} == {"a_b": 1.0, "c": None}
+    assert selection.available_metrics(rows.drop("q10")).where("coverage_80 is not null").count() == 0
+    assert files.read_result_files(spark, f"{tmp_path}/none*.csv") is None
 
 
 def test_panel_of_two_keys(spark):
