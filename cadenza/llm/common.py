@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, stored
+
 #: ASCII white space, the separators of a word: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[ \t\n\x0B\f\r]"
@@ -19,37 +18,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session takes a temporary folder; on a cluster, whose executors wouldn't see it, this is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder, and read back; removed as the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def min_labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (id, smallest id of its group) for the groups that a block of links forms.
 
@@ -116,3 +89,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+__all__ = ["checkpoint", "components", "least", "let", "met", "min_labels", "shared_dir", "stored"]
