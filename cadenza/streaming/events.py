@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+from ..sources.tables import exists
 
-def stream(spark: SparkSession, path: str, schema) -> DataFrame:
+
+def stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """A file stream of Parquet events with ``ts`` as a zoned timestamp, which watermarks need."""
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily(events: DataFrame, late: str | None = None) -> DataFrame:
@@ -27,16 +31,21 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str | None = None) -
 
 
 def run_available(events: DataFrame, late: str) -> DataFrame:
-    """The daily counts of a stream, run once over the files there are, from a table in the shared folder.
+    """The daily counts of a stream, run over the files there are, from a table in the shared folder.
 
-    Days still open for late events at the end are flushed by the complete output mode."""
+    Each batch writes the days that it changed, and the last version of a day counts. In this output mode the watermark
+    acts: a day that it has passed leaves the state, and events that come for it later are dropped."""
     spark = events.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    at = f"{base}/daily-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
+    shape = "start timestamp, event_type string, n bigint, value double, batch bigint"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.select("window.start", "event_type", "n", "value").write.mode("overwrite").parquet(f"{at}/out")
+        changed = batch.select("window.start", "event_type", "n", "value", F.lit(number).cast("long").alias("batch"))
+        changed.write.mode("overwrite").parquet(f"{at}/out/{number:09d}")
 
-    query = daily(events, late).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query = daily(events, late).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema("start timestamp, event_type string, n bigint, value double").parquet(f"{at}/out")
+    if not exists(spark, f"{at}/out"):
+        return spark.createDataFrame([], shape).drop("batch")
+    versions = spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{at}/out")
+    return versions.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("value", "batch").alias("value"))

@@ -1,5 +1,6 @@
 """Fitted operators on series made from known parameters, sources and sinks, and odd rows."""
 
+import time
 import zipfile
 from datetime import date
 
@@ -183,3 +184,20 @@ def test_late_events_are_dropped_and_sessions_close(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/e")
     got = events.run_available(events.stream(spark, f"{tmp_path}/e", df.schema), "1 day").collect()
     assert sorted((r.n, r.value) for r in got) == [(1, 8.0), (3, 7.0)]
+
+
+def test_watermark_drops_what_comes_too_late(spark, tmp_path):
+    def write(name, *rows):
+        df = spark.createDataFrame(rows, "event_type string, at string, value double").withColumn("ts", F.to_timestamp("at"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        return df.schema
+
+    schema = write("e/a", ("x", "2024-01-01 01:00:00", 1.0), ("x", "2024-01-09 01:00:00", 2.0))
+    time.sleep(1.1)  # files are taken by their times
+    write("e/b", ("x", "2024-01-09 05:00:00", 4.0))
+    time.sleep(1.1)
+    write("e/c", ("x", "2024-01-01 02:00:00", 8.0), ("x", "2024-01-08 02:00:00", 16.0))
+    made = events.run_available(events.stream(spark, f"{tmp_path}/e/*", schema, files_per_batch=1), "2 days").collect()
+    assert sorted((str(r.start)[:10], r.n, r.value) for r in made) == [("2024-01-01", 1, 1.0), ("2024-01-08", 1, 16.0), ("2024-01-09", 2, 6.0)]
+    (tmp_path / "none").mkdir()
+    assert events.run_available(events.stream(spark, f"{tmp_path}/none", schema), "2 days").count() == 0
