@@ -5,14 +5,18 @@ series' last values in an array column, so that no series leaves the executors."
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import HORIZON
+from ..sources.shared import stored
 from .ensemble import bags, blend, weights_nnls
 from .panel import lags
 
@@ -38,17 +42,28 @@ def stacker() -> GBTRegressor:
     return _trees(42, 300, 0.05, 4, "absolute")
 
 
-def train(panel: DataFrame, value: str, upto: date, extra: list[str] = (), key: str = "key") -> GBTRegressionModel:
-    """Trees over the lags of all series up to a date: one model for the field."""
-    rows = lags(panel, value, LAGS, MEANS, key).where(F.col("date") <= F.lit(upto)).withColumn("y", F.col(value)).na.drop(subset=["y", *FEATURES, *extra])
-    return forecaster().fit(_vector(rows, [*FEATURES, *extra]).select("features", "y"))
+#: Models that are trained at the same time.
+PARALLEL = 8
 
 
-def backtest(panel: DataFrame, value: str, cutoffs: list[date], horizon: int = HORIZON, key: str = "key") -> DataFrame:
-    """(cutoff, key, step, date, y_pred): refitted at each cutoff, each step fed with the ones before."""
+def fits(spark: SparkSession, cutoffs: list[date], fit: Callable[[date], GBTRegressionModel]) -> dict[date, GBTRegressionModel]:
+    """A model for each cutoff. Boosting is a chain of small jobs, so the cutoffs' chains run side by side."""
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return dict(zip(cutoffs, pool.map(inheritable_thread_target(spark)(fit), cutoffs), strict=True))
+
+
+def train(panel: DataFrame, value: str, cutoffs: list[date], extra: list[str] = (), key: str = "key") -> dict[date, GBTRegressionModel]:
+    """Trees over the lags of all series up to each date: one model for the field. The lags are made once."""
+    rows = lags(panel, value, LAGS, MEANS, key).withColumn("y", F.col(value)).na.drop(subset=["y", *FEATURES, *extra])
+    made = stored(rows.select("date", "y", *FEATURES, *extra), "gbt-lags")
+    vectors = _vector(made, [*FEATURES, *extra])
+    return fits(panel.sparkSession, cutoffs, lambda c: forecaster().fit(vectors.where(F.col("date") <= F.lit(c)).select("features", "y")))
+
+
+def backtest(panel: DataFrame, value: str, models: dict[date, GBTRegressionModel], horizon: int = HORIZON, key: str = "key") -> DataFrame:
+    """(cutoff, key, step, date, y_pred): a model of :func:`train` for each cutoff, each step fed with the ones before."""
     parts = []
-    for c in cutoffs:
-        model = train(panel, value, c, key=key)
+    for c, model in models.items():
         values = F.transform(F.sort_array(F.collect_list(F.struct("date", value))), lambda x: x[value])
         state = panel.where((F.col("date") <= F.lit(c)) & (F.col("date") > F.add_months(F.lit(c), -max(LAGS))) & F.col(value).isNotNull()).groupBy(key).agg(values.alias("h")).where(F.size("h") == max(LAGS))
 
@@ -67,11 +82,11 @@ def backtest(panel: DataFrame, value: str, cutoffs: list[date], horizon: int = H
     return out
 
 
-def importance(panel: DataFrame, value: str, upto: date, top: int = 12) -> list[tuple[str, float]]:
+def importance(model: GBTRegressionModel, features: list[str] = FEATURES, top: int = 12) -> list[tuple[str, float]]:
     """The features of most gain, as shares; there are as many as features."""
-    gains = train(panel, value, upto).featureImportances.toArray()
+    gains = model.featureImportances.toArray()
     total = float(gains.sum()) or 1.0
-    return sorted(((f, float(g) / total) for f, g in zip(FEATURES, gains, strict=True)), key=lambda x: (-x[1], x[0]))[:top]
+    return sorted(((f, float(g) / total) for f, g in zip(features, gains, strict=True)), key=lambda x: (-x[1], x[0]))[:top]
 
 
 def meta(matrix: DataFrame, models: list[str], features: DataFrame, cutoffs: list[date]) -> DataFrame:
@@ -79,10 +94,11 @@ def meta(matrix: DataFrame, models: list[str], features: DataFrame, cutoffs: lis
     a cutoff is predicted by trees that never saw it."""
     names = [*models, "step", "wct_last", "age_m", "block_code"]
     rows = matrix.join(features, ["cutoff", "key"]).withColumn("y", F.col("y_true")).na.drop(subset=[*names, "y"])
-    vectors = _vector(rows, names).select("cutoff", "key", "step", "date", "y_true", "y", "features")
+    held_rows = stored(rows.select("cutoff", "key", "date", "y_true", "y", *names), "gbt-stack")
+    vectors = _vector(held_rows, names).select("cutoff", "key", "step", "date", "y_true", "y", "features")
+    made = fits(matrix.sparkSession, cutoffs, lambda c: stacker().fit(vectors.where(F.col("cutoff") != F.lit(c)).select("features", "y")))
     parts = []
-    for c in cutoffs:
-        model = stacker().fit(vectors.where(F.col("cutoff") != F.lit(c)).select("features", "y"))
+    for c, model in made.items():
         parts.append(model.transform(vectors.where(F.col("cutoff") == F.lit(c))).select("cutoff", "key", "step", "date", "y_true", F.greatest("prediction", F.lit(0.0)).alias("y_pred")))
     out = parts[0]
     for p in parts[1:]:
@@ -133,4 +149,4 @@ def greedy_step(matrix: DataFrame, models: list[str], key: str = "key") -> DataF
     return own.select("cutoff", key, "step", "date", "y_true", y.alias("y_pred"))
 
 
-__all__ = ["backtest", "blend", "greedy_step", "importance", "meta", "train", "weights_nnls"]
+__all__ = ["backtest", "blend", "fits", "greedy_step", "importance", "meta", "train", "weights_nnls"]

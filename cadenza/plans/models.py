@@ -11,6 +11,7 @@ from ..operators import learning as L
 from ..operators import response as R
 from ..operators import signals as N
 from ..sources import tables as S
+from ..sources.shared import once
 from . import catalogue as K
 from .registry import query
 
@@ -40,14 +41,19 @@ def crm_recursion_fixed(spark, sf):
 # Learned models.
 
 
+def _trees(spark, sf):
+    """The field's forecasters, one for each cutoff, trained once in an application."""
+    return once(spark, "gbt", sf, lambda: L.train(K.complete(spark, sf), "liq_tpd", K.CUTOFFS))
+
+
 @query("cutoff key step:i date y_pred:2")
 def gbt_backtest(spark, sf):
-    return L.backtest(K.complete(spark, sf), "liq_tpd", K.CUTOFFS)
+    return L.backtest(K.complete(spark, sf), "liq_tpd", _trees(spark, sf))
 
 
 @query("feature share:4")
 def gbt_importance(spark, sf):
-    return spark.createDataFrame(L.importance(K.complete(spark, sf), "liq_tpd", K.CUTOFFS[-1]), "feature string, share double")
+    return spark.createDataFrame(L.importance(_trees(spark, sf)[K.CUTOFFS[-1]]), "feature string, share double")
 
 
 @query("cutoff key step:i date y_true:4 y_pred:2")

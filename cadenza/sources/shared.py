@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The frames that each application holds, by name.
-_HELD: dict[tuple[str, str], DataFrame] = {}
+#: The frames and models that each application holds, by name.
+_HELD: dict[tuple[str, str], Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,16 +38,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` made from the tables in ``source``: stored at its first use, and the same table from then on.
+def once(spark: SparkSession, name: str, source: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives at its first use for the tables in ``source``, and the same from then on: for models of a fixed size.
 
     An application that changes its source calls :func:`forget`."""
     key = (spark.sparkContext.applicationId, f"{name} of {source}")
     if key not in _HELD:
-        _HELD[key] = stored(make(), name)
+        _HELD[key] = make()
     return _HELD[key]
 
 
+def held(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` made from the tables in ``source``: stored at its first use, and the same table from then on."""
+    return once(spark, name, source, lambda: stored(make(), name))
+
+
 def forget() -> None:
     """Drops what is held, so that it is made anew from the sources."""
     _HELD.clear()
