@@ -66,7 +66,8 @@ class WordEncoder(dict):
 
     The tokenizer drops white space and no pre-token crosses a blank, so a text's ids are those of its
     blank-separated parts one after the other. Arrow splits the texts and finds the distinct words of a
-    slice; words seen before come from this cache, which a worker keeps from task to task.
+    slice; words seen before come from this cache, which a worker keeps from task to task. When half of it is
+    full its words become the older half, of which those that are met again stay: frequent words aren't lost.
 
     Where the tokenizer lowers letters and ends a pre-token where letters end, the mark after a word is
     split off and words of ASCII are lowered first, so that a word has one entry; a new word of Latin
@@ -77,6 +78,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -89,14 +91,19 @@ class WordEncoder(dict):
         self.alphabet = {b: b if b in shown else next(hidden) for b in range(256)}
 
     def __missing__(self, word: str) -> bytes:
+        if word in self.older:
+            return self.kept(word, self.older.pop(word))
         if self.even and word.isalpha() and max(word) < LATIN_END and word == word.lower():
             mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
             ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
-        found = np.array(ids, "<u4").tobytes()
+        return self.kept(word, np.array(ids, "<u4").tobytes())
+
+    def kept(self, word: str, found: bytes) -> bytes:
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= CACHE_WORDS // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
