@@ -740,7 +740,27 @@ def ens_nnls_step(spark, sf):
     return E.weights_nnls(matrix(spark, sf), MODELS, ("step",))
 
 
-@query("cutoff key step:i date y_true:4 y_pred:4")
+def _bag_sql() -> str:
+    """Bags of the three models: each round takes the one that lowers the sum of absolute errors most, 30 at most."""
+    tried = [", ".join(f"c{i} + {int(i == j)}" for i in range(3)).split(", ") for j in range(3)]
+    errors = ", ".join(f"list_sum(list_transform(rows, lambda r: abs((({a}) * r.e + ({b}) * r.m + ({c}) * r.n) / (size + 1) - r.y))) AS e{j}" for j, (a, b, c) in enumerate(tried))
+    common = ", ".join(f"max(weight) FILTER (model = '{m}') AS w{i}" for i, m in enumerate(MODELS))
+    w = [f"coalesce(b.c{i} / b.size, k.w{i})" for i in range(3)]
+    return f"""WITH RECURSIVE grouped AS (
+        SELECT x.cutoff, key, list({{'y': y_true, 'e': exp24, 'm': mean3, 'n': naive}} ORDER BY y_true, exp24, mean3, naive) AS rows
+        FROM ext x JOIN matrix m ON m.cutoff <> x.cutoff GROUP BY 1, 2 HAVING count(*) >= 12
+      ), bag AS (
+        SELECT cutoff, key, 0 AS size, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2, 'inf'::DOUBLE AS error FROM grouped
+        UNION ALL SELECT cutoff, key, size + 1, c0 + (j = 0)::INT, c1 + (j = 1)::INT, c2 + (j = 2)::INT, best
+        FROM (SELECT *, least(e0, e1, e2) AS best, CASE least(e0, e1, e2) WHEN e0 THEN 0 WHEN e1 THEN 1 ELSE 2 END AS j FROM (SELECT bag.*, {errors} FROM bag JOIN grouped USING (cutoff, key) WHERE size < 30))
+        WHERE error - best > 1e-12
+      ), filled AS (SELECT cutoff, key, unnest(max_by({{'size': size, 'c0': c0, 'c1': c1, 'c2': c2}}, size)) FROM bag GROUP BY 1, 2),
+      common AS (SELECT cutoff, {common} FROM ({_nnls_sql()}) GROUP BY 1)
+      SELECT m.cutoff, m.key, step, date, y_true, greatest({w[0]} * exp24 + {w[1]} * mean3 + {w[2]} * naive, 0) AS y_pred
+      FROM matrix m JOIN common k ON m.cutoff = k.cutoff LEFT JOIN filled b ON m.cutoff = b.cutoff AND m.key = b.key"""
+
+
+@query("cutoff key step:i date y_true:4 y_pred:4", _bag_sql(), "matrix ext")
 def ens_greedy_well(spark, sf):
     m = matrix(spark, sf)
     return E.blend(m, MODELS, E.weights_greedy(m, MODELS, EXTENDED), on=("cutoff", "key"))
