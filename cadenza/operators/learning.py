@@ -22,6 +22,8 @@ from .panel import lags
 
 LAGS, MEANS = (1, 2, 3, 4, 5, 6, 12), (3, 6)
 FEATURES = [*(f"lag{k}" for k in LAGS), *(f"mean{k}" for k in MEANS)]
+#: What a known column holds where it is null: less than all its values, so that a split can set it apart.
+MISSING = -1.0
 
 
 def _vector(df: DataFrame, features: list[str]) -> DataFrame:
@@ -52,29 +54,45 @@ def fits(spark: SparkSession, cutoffs: list[date], fit: Callable[[date], GBTRegr
         return dict(zip(cutoffs, pool.map(inheritable_thread_target(spark)(fit), cutoffs), strict=True))
 
 
-def train(panel: DataFrame, value: str, cutoffs: list[date], extra: list[str] = (), key: str = "key") -> dict[date, GBTRegressionModel]:
-    """Trees over the lags of all series up to each date: one model for the field. The lags are made once."""
-    rows = lags(panel, value, LAGS, MEANS, key).withColumn("y", F.col(value)).na.drop(subset=["y", *FEATURES, *extra])
-    made = stored(rows.select("date", "y", *FEATURES, *extra), "gbt-lags")
-    vectors = _vector(made, [*FEATURES, *extra])
+def _known(names: list[str]) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in names]
+
+
+def train(panel: DataFrame, value: str, cutoffs: list[date], known: list[str] = (), key: str = "key") -> dict[date, GBTRegressionModel]:
+    """Trees over the lags of all series up to each date, and over columns ``known`` ahead: one model for the field.
+
+    The lags are made once. A known column that is null is MISSING, so it must not be negative otherwise."""
+    rows = lags(panel, value, LAGS, MEANS, key).withColumn("y", F.col(value)).na.drop(subset=["y", *FEATURES])
+    made = stored(rows.select("date", "y", *FEATURES, *_known(known)), "gbt-lags")
+    vectors = _vector(made, [*FEATURES, *known])
     return fits(panel.sparkSession, cutoffs, lambda c: forecaster().fit(vectors.where(F.col("date") <= F.lit(c)).select("features", "y")))
 
 
-def backtest(panel: DataFrame, value: str, models: dict[date, GBTRegressionModel], horizon: int = HORIZON, key: str = "key") -> DataFrame:
-    """(cutoff, key, step, date, y_pred): a model of :func:`train` for each cutoff, each step fed with the ones before."""
+def backtest(panel: DataFrame, value: str, models: dict[date, GBTRegressionModel], known: list[str] = (), horizon: int = HORIZON, key: str = "key") -> DataFrame:
+    """(cutoff, key, step, date, y_pred): a model of :func:`train` for each cutoff, each step fed with the ones before.
+
+    Of the months after a cutoff only the ``known`` columns are read."""
     parts = []
     for c, model in models.items():
         values = F.transform(F.sort_array(F.collect_list(F.struct("date", value))), lambda x: x[value])
         state = panel.where((F.col("date") <= F.lit(c)) & (F.col("date") > F.add_months(F.lit(c), -max(LAGS))) & F.col(value).isNotNull()).groupBy(key).agg(values.alias("h")).where(F.size("h") == max(LAGS))
+        preds = state.withColumn("out", F.expr("cast(array() as array<double>)"))
+        if known:
+            ahead = panel.where((F.col("date") > F.lit(c)) & (F.col("date") <= F.add_months(F.lit(c), horizon)))
+            month = F.date_format("date", "yyyy-MM-dd")
+            preds = preds.join(ahead.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(month, F.struct(*known)))).alias("ahead")), key, "left")
+        else:
+            preds = preds.withColumn("ahead", F.lit(None))
 
         def mean(k: int) -> Column:
             return F.aggregate(F.slice("h", -k, k), F.lit(0.0), lambda s, x: s + x) / k
 
-        preds = state.withColumn("out", F.expr("cast(array() as array<double>)"))
-        for _ in range(horizon):
-            made = preds.select(key, "h", "out", *(F.element_at("h", -k).alias(f"lag{k}") for k in LAGS), *(mean(k).alias(f"mean{k}") for k in MEANS))
+        for i in range(1, horizon + 1):
+            month = F.date_format(F.add_months(F.lit(c), i), "yyyy-MM-dd")
+            then = [F.coalesce(F.try_element_at("ahead", month)[n].cast("double"), F.lit(MISSING)).alias(n) for n in known]
+            made = preds.select(key, "h", "out", "ahead", *(F.element_at("h", -k).alias(f"lag{k}") for k in LAGS), *(mean(k).alias(f"mean{k}") for k in MEANS), *then)
             p = F.greatest(F.col("prediction"), F.lit(0.0))
-            preds = model.transform(_vector(made, FEATURES)).select(key, F.concat(F.slice("h", 2, max(LAGS)), F.array(p)).alias("h"), F.concat("out", F.array(p)).alias("out"))
+            preds = model.transform(_vector(made, [*FEATURES, *known])).select(key, "ahead", F.concat(F.slice("h", 2, max(LAGS)), F.array(p)).alias("h"), F.concat("out", F.array(p)).alias("out"))
         parts.append(preds.select(F.lit(c).alias("cutoff"), key, F.posexplode("out").alias("i", "y_pred")).select("cutoff", key, (F.col("i") + 1).alias("step"), F.add_months("cutoff", F.col("i") + 1).alias("date"), "y_pred"))
     out = parts[0]
     for p in parts[1:]:

@@ -8,10 +8,11 @@ from ..operators import allocation as A
 from ..operators import backtest as B
 from ..operators import decline
 from ..operators import learning as L
+from ..operators import panel as P
 from ..operators import response as R
 from ..operators import signals as N
 from ..sources import tables as S
-from ..sources.shared import once
+from ..sources.shared import held, once
 from . import catalogue as K
 from .registry import query
 
@@ -41,19 +42,34 @@ def crm_recursion_fixed(spark, sf):
 # Learned models.
 
 
+#: What the forecasters know ahead of a month beside the series' past, and of a series at any time.
+KNOWN = ["inj_alloc", "inj_block", "crm", "pres_lag6", "perm", "block_code"]
+
+
+def _learning(spark, sf):
+    """The learning frame with the series' own properties, made once in an application."""
+
+    def make():
+        sites = P.category_codes(S.sites(spark, sf), "block").select("key", "perm", F.col("code").alias("block_code"))
+        frame = K._frame(spark, sf).select(F.col("unique_id").alias("key"), F.col("ds").alias("date"), F.col("y").alias("liq_tpd"), *KNOWN[:4])
+        return frame.join(sites, "key", "left")
+
+    return held(spark, "learning", sf, make)
+
+
 def _trees(spark, sf):
     """The field's forecasters, one for each cutoff, trained once in an application."""
-    return once(spark, "gbt", sf, lambda: L.train(K.complete(spark, sf), "liq_tpd", K.CUTOFFS))
+    return once(spark, "gbt", sf, lambda: L.train(_learning(spark, sf), "liq_tpd", K.CUTOFFS, KNOWN))
 
 
 @query("cutoff key step:i date y_pred:2")
 def gbt_backtest(spark, sf):
-    return L.backtest(K.complete(spark, sf), "liq_tpd", _trees(spark, sf))
+    return L.backtest(_learning(spark, sf), "liq_tpd", _trees(spark, sf), KNOWN)
 
 
 @query("feature share:4")
 def gbt_importance(spark, sf):
-    return spark.createDataFrame(L.importance(_trees(spark, sf)[K.CUTOFFS[-1]]), "feature string, share double")
+    return spark.createDataFrame(L.importance(_trees(spark, sf)[K.CUTOFFS[-1]], [*L.FEATURES, *KNOWN]), "feature string, share double")
 
 
 @query("cutoff key step:i date y_true:4 y_pred:2")

@@ -1,5 +1,6 @@
 from datetime import date
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -39,6 +40,22 @@ def test_a_model_knows_nothing_after_its_cutoff(spark, few):
     assert (a.loc[~first, "y_pred"] - b.loc[~first, "y_pred"]).abs().max() > 1.0
 
 
+def test_columns_known_ahead_reach_the_horizon(spark, few):
+    """A series that is ten times its driver: the forecast follows the driver's months after the cutoff, and knows a missing one."""
+    months = pd.date_range("2000-01-01", periods=48, freq="MS")
+    level = {k: np.random.default_rng(i).integers(0, 4, 48).astype(float) for i, k in enumerate("abcdefgh")}
+    rows = [(k, m.date(), 10 * float(x), float(x) if m != months[40] else None) for k in level for m, x in zip(months, level[k], strict=True)]
+    p = spark.createDataFrame(rows, "key string, date date, y0 double, driver double")
+    models = learning.train(p, "y0", CUTOFFS, ["driver"])
+    found = learning.backtest(p, "y0", models, ["driver"]).toPandas()
+    at = found[found["cutoff"] == CUTOFFS[0]].sort_values(["key", "step"])
+    truth = [10 * level[k][29 + s] for k, s in zip(at["key"], at["step"], strict=True)]
+    assert len(at) == 8 * HORIZON and (at["y_pred"] - truth).abs().max() < 8
+    share = dict(learning.importance(models[CUTOFFS[0]], [*learning.FEATURES, "driver"]))
+    assert share["driver"] > 0.5
+    assert len(found) == 2 * 8 * HORIZON and found["y_pred"].notna().all()
+
+
 def test_importances_are_shares_by_size(spark, few):
     shares = [s for _, s in learning.importance(learning.train(panel(spark), "y0", CUTOFFS[-1:])[CUTOFFS[-1]])]
     assert abs(sum(shares) - 1) < 1e-9 and shares == sorted(shares, reverse=True)
