@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -302,3 +303,17 @@ def test_packing_is_deficit_round_robin_for_any_number_of_sources(spark, monkeyp
         by_id = {r[0]: t for r, t in zip(rows, tokens, strict=True)}
         assert all(zlib.crc32(np.array(by_id[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in got)
     assert packing.pack(df.limit(0), path).count() == 0
+
+
+def test_a_full_word_cache_keeps_frequent_words_and_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 8)
+    encoder = packing.WordEncoder(queries.tokenizer_path("word_bpe_49k.json"))
+    end = np.array([2], "<u4").tobytes()
+    asked = 0
+    for i in range(40):
+        text = f"the word{i} The, other{i * 7} x{i}"
+        found = np.frombuffer(encoder.encode(pa.array([text]), end)[0].as_py(), "<u4").tolist()
+        assert found == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert len(encoder) <= 4 and len(encoder.older) <= 4
+        asked += "the" in encoder or "the" in encoder.older
+    assert asked == 40
