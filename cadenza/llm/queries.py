@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
     chat_format,
     embedding_dedup,
+    fill_in_middle,
+    importance_resampling,
     license_scan,
     line_dedup,
     lm_scoring,
     packing,
+    quality_classifier,
     quality_rules,
     sentencepiece_codec,
     simhash,
@@ -254,6 +257,81 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), targets)
 
 
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS lots FROM d
+), c AS (
+  SELECT *, list_sort([lots[1] % (len(units) + 1), lots[2] % (len(units) + 1)]) AS cuts,
+    text = '' OR regexp_matches(text, '<[PSM]>') OR lots[3] % 100 >= 90 AS plain, lots[4] % 100 < 20 AS spm FROM u
+), p AS (
+  SELECT *, coalesce(list_sum(list_transform(units[1:cuts[1]], lambda x: length(x))), 0)::BIGINT AS a,
+    coalesce(list_sum(list_transform(units[1:cuts[2]], lambda x: length(x))), 0)::BIGINT AS b FROM c
+)
+SELECT doc_id, len(units)::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN a END AS prefix_chars, CASE WHEN NOT plain THEN b - a END AS middle_chars,
+  sha256(CASE WHEN plain THEN text
+    WHEN spm THEN '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a)
+    ELSE '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a) END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target corpus is the benchmark's texts."""
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 is folded over the bytes of each distinct feature, by the table of its polynomial.
+OP12_SQL = r"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS crc
+), texts AS (
+  SELECT true AS target, item_id AS id, text FROM benchmark UNION ALL SELECT false, doc_id, text FROM documents
+), w AS (
+  SELECT target, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM texts
+), f AS (
+  SELECT target, id, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM w
+), c AS (SELECT target, id, feature, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT feature, hex(encode(feature)) AS raw FROM (SELECT DISTINCT feature FROM c)),
+b AS (
+  SELECT feature, xor(list_reduce(list_transform(range(len(raw) // 2), lambda i: ('0x' || substr(raw, 2 * i + 1, 2))::BIGINT),
+    lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM h, steps
+), k AS (SELECT target, id, bucket, sum(n)::BIGINT AS n FROM c JOIN b USING (feature) GROUP BY ALL),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target), 0)::DOUBLE AS t FROM k GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * ((SELECT sum(t) FROM s) + 10000))))::BIGINT AS gain FROM s),
+m AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS gain FROM k JOIN g USING (bucket) WHERE NOT target GROUP BY 1),
+r AS (
+  SELECT w.id AS doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+    coalesce((gain - ((gain % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS noise
+  FROM w LEFT JOIN m USING (id) WHERE NOT target
+), o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS able FROM r)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, (weight + noise)::BIGINT AS score,
+  CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END::BIGINT AS rank FROM o
+"""
+
+
+def held_out(doc_id: Column) -> Column:
+    """Documents whose labels the classifier doesn't see; a null id's hash is that of an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_classifier.learn(docs, labels, learnable=~held_out(F.col("doc_id")))
+    return quality_classifier.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 #: The others compare vectors or fingerprints by blocks, run tokenizers or train models: the tests hold them against brute force.
 SQL = {
     "op1_chat_formatting": OP1_SQL,
@@ -261,6 +339,8 @@ SQL = {
     "op5_license_scan": OP5_SQL,
     "op8_url_filters": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
 QUERIES = {
     f.__name__: f
@@ -275,5 +355,8 @@ QUERIES = {
         op8_url_filters,
         op9_line_dedup,
         op10_lm_scoring,
+        op11_fill_in_middle,
+        op12_importance_resampling,
+        op13_quality_classifier,
     )
 }
