@@ -190,7 +190,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document of the same number: bad where its quality is 0."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
     found = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, labels)
-    return found.select("page_id", "host", "path", "rule", "verdict")
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 
 def _rule_sql() -> tuple[str, str]:
@@ -203,35 +203,38 @@ def _rule_sql() -> tuple[str, str]:
 
 
 OP8_SQL = r"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), s AS (
   SELECT *, array_to_string(list_transform(string_split(path, '/'), lambda x: CASE WHEN regexp_matches(x, '^[0-9a-fA-F-]{16,}$') OR length(x) >= 48
-    THEN '*' ELSE regexp_replace(x, '[0-9]+', '*', 'g') END), '/') AS template FROM u
+    THEN '*' ELSE regexp_replace(x, '[0-9]+', '*', 'g') END), '/') AS raw FROM u
 ), b AS (SELECT doc_id AS page_id, max((quality = 0)::INT) AS bad FROM labels GROUP BY 1),
-c AS (SELECT host, template, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM s LEFT JOIN b USING (page_id) GROUP BY 1, 2),
-x AS (
-  SELECT host, template, i, segs[i] AS segment, array_to_string(segs[1:i - 1], '/') AS prefix
-  FROM (SELECT host, template, string_split(template, '/') AS segs, unnest(range(1, len(string_split(template, '/')) + 1)) AS i FROM c)
-), wide AS (SELECT host, prefix FROM x GROUP BY 1, 2 HAVING count(DISTINCT segment) > 20),
+c AS (SELECT host, raw, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM s LEFT JOIN b USING (page_id) GROUP BY 1, 2),
 g AS (
-  SELECT x.host, template, string_agg(CASE WHEN w.host IS NULL OR segment = '' THEN segment ELSE '*' || regexp_extract(segment, '(\.[A-Za-z]+)?$') END, '/' ORDER BY i) AS merged
-  FROM x LEFT JOIN wide w ON x.host = w.host AND x.prefix = w.prefix GROUP BY 1, 2
-), r AS (
-  SELECT host, merged, regexp_replace(merged, '[^/]*/?$', '') AS parent, sum(n) AS n, sum(bad) AS bad FROM c JOIN g USING (host, template) GROUP BY 1, 2
-), q AS (SELECT *, sum(n) OVER p AS pn, sum(bad) OVER p AS pbad FROM r WINDOW p AS (PARTITION BY host, parent)),
-prior AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS prior FROM c),
+  SELECT host, raw, string_split(raw, '/') AS segs, 1 AS i, '' AS template FROM c
+  UNION ALL
+  SELECT host, raw, segs, i + 1, template || '/' || CASE WHEN seg = '' OR count(DISTINCT seg) OVER (PARTITION BY host, template) <= 20 THEN seg ELSE '*' || regexp_extract(seg, '(\.[A-Za-z]+)?$') END
+  FROM (SELECT *, segs[i + 1] AS seg FROM g WHERE i < len(segs))
+), m AS (SELECT host, raw, template FROM g WHERE i = len(segs)),
+l AS (SELECT host, template, sum(n) AS n, sum(bad) AS bad FROM c JOIN m USING (host, raw) GROUP BY 1, 2),
+x AS (
+  SELECT host, template, n, bad, depth, array_to_string(segs[1:depth], '/') AS node, CASE WHEN depth > 1 THEN array_to_string(segs[1:depth - 1], '/') END AS parent
+  FROM (SELECT *, string_split(template, '/') AS segs, unnest(range(1, len(string_split(template, '/')) + 1)) AS depth FROM l)
+), t AS (SELECT host, node, parent, depth, sum(n) AS n, sum(bad) AS bad FROM x GROUP BY ALL),
 z AS (
-  SELECT *, coalesce(abs(bad / nullif(n, 0) - (pbad - bad) / nullif(pn - n, 0))
-    / nullif(sqrt(pbad / nullif(pn, 0) * (1 - pbad / nullif(pn, 0)) * (1 / nullif(n, 0) + 1 / nullif(pn - n, 0))), 0) > 1.96, false) AS alone FROM q, prior
-), t AS (
-  SELECT host, merged, (CASE WHEN alone THEN bad ELSE pbad END + 10 * prior) / (CASE WHEN alone THEN n ELSE pn END + 10) AS purity FROM z
+  SELECT t.*, t.parent IS NULL OR coalesce(abs(t.bad / nullif(t.n, 0) - (p.bad - t.bad) / nullif(p.n - t.n, 0))
+    / nullif(sqrt(p.bad / nullif(p.n, 0) * (1 - p.bad / nullif(p.n, 0)) * (1 / nullif(t.n, 0) + 1 / nullif(p.n - t.n, 0))), 0) > 1.96, false) AS alone
+  FROM t LEFT JOIN t AS p ON t.host = p.host AND t.parent = p.node AND t.depth = p.depth + 1
+), prior AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS prior FROM c),
+q AS (
+  SELECT x.host, template, (arg_max(z.bad, z.depth) + 10 * max(prior)) / (arg_max(z.n, z.depth) + 10) AS purity
+  FROM prior, x JOIN z ON x.host = z.host AND x.node = z.node AND x.depth = z.depth WHERE alone GROUP BY 1, 2
 )
 SELECT page_id, host, path, @NAME@ AS rule,
-  coalesce(@VERDICT@, CASE WHEN host <> '' AND purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM s JOIN g USING (host, template) JOIN t USING (host, merged)
-""".replace("\\\\", "\\").replace("@NAME@", _rule_sql()[0]).replace("@VERDICT@", _rule_sql()[1])
+  coalesce(@VERDICT@, CASE WHEN host <> '' AND purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
+FROM s JOIN m USING (host, raw) JOIN q USING (host, template)
+""".replace("@NAME@", _rule_sql()[0]).replace("@VERDICT@", _rule_sql()[1])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
