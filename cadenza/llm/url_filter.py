@@ -16,7 +16,7 @@
    share of bad labels overall; templates above ``threshold`` are rejected.
 
 Two of n nodes have the same 64-bit number with odds of n * n / 2**65. The tables between the steps, of a row per template or node,
-are stored. The rows of a large host or node are dealt over many tasks wherever they meet it.
+are stored. Where many rows meet one host or node, they do in an equi-join with a row a key, which Spark may broadcast or split.
 
 Rules come first: a rule names a host with its subdomains and a path prefix, and the longest that fits
 decides. They are a parameter of bounded length, compiled into one expression.
@@ -39,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import met, stored
+from .common import stored
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_CHILDREN = 20
@@ -89,7 +89,7 @@ def generalised(counts: DataFrame, max_children: int) -> DataFrame:
         to = F.when(F.col("wide") & (F.col("child") != ""), star).otherwise(F.array_join(F.slice("rest", F.lit(1), steps), "/"))
         at = F.slice("rest", steps + 1, F.greatest(F.size("rest"), F.lit(1)))
         own = counts.columns
-        made = met(rest, ["host", "merged"], "template", nodes).select(*own, F.concat("merged", F.lit("/"), to).alias("merged"), at.alias("rest"), "full")
+        made = rest.join(nodes, ["host", "merged"]).select(*own, F.concat("merged", F.lit("/"), to).alias("merged"), at.alias("rest"), "full")
         made = stored(made, "url-level")
         done.append(made.where(~F.col("full")))
         rest = made.where("full").drop("full")
@@ -102,7 +102,7 @@ def tree(pages: DataFrame, max_children: int = MAX_CHILDREN, merge_z: float = ME
     counts = pages.groupBy("host", "template").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
     counts = stored(counts, "url-templates")
     prior = counts.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))).first()[0]
-    general = stored(generalised(counts, max_children), "url-general")
+    general = generalised(counts, max_children)
 
     # Each template's way from the host down; the first node is the host.
     def onward(way: Column, segment: Column) -> Column:
@@ -120,12 +120,12 @@ def tree(pages: DataFrame, max_children: int = MAX_CHILDREN, merge_z: float = ME
     n, bad, pn, pbad = (F.col(c).cast("double") for c in ("n", "bad", "pn", "pbad"))
     rest, pool = pn - n, pbad / F.nullif(pn, F.lit(0.0))
     z = F.abs(bad / F.nullif(n, F.lit(0.0)) - (pbad - bad) / F.nullif(rest, F.lit(0.0))) / F.nullif(F.sqrt(pool * (1 - pool) * (1 / F.nullif(n, F.lit(0.0)) + 1 / F.nullif(rest, F.lit(0.0)))), F.lit(0.0))
-    alone = met(nodes.where("parent is not null"), "parent", "node", above).where(z > merge_z).select("node", "n", "bad")
+    alone = nodes.join(above, "parent").where(z > merge_z).select("node", "n", "bad")
     alone = alone.union(nodes.where("parent is null").select("node", "n", "bad"))
-    nearest = met(ways.select("leaf", "depth", "node"), "node", "leaf", alone).groupBy("leaf").agg(F.max_by(F.struct("n", "bad"), "depth").alias("pool"))
+    nearest = ways.select("leaf", "depth", "node").join(alone, "node").groupBy("leaf").agg(F.max_by(F.struct("n", "bad"), "depth").alias("pool"))
     purity = (F.col("pool.bad") + prior_weight * prior) / (F.col("pool.n") + prior_weight)
     judged = leaves.select("leaf", "host", "merged").join(nearest, "leaf").select("host", "merged", purity.alias("purity"))
-    return met(general.select("host", "template", "merged"), ["host", "merged"], "template", judged)
+    return general.select("host", "template", "merged").join(judged, ["host", "merged"])
 
 
 def judge(pages: DataFrame, rules: dict[str, str], labels: DataFrame | None = None, threshold: float = 0.5, page_id: str = "page_id", url: str = "url") -> DataFrame:
