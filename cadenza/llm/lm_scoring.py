@@ -10,10 +10,11 @@ Words are the ASCII white-space separated parts of the text, with A-Z lower-case
 and every bigram is counted, without a cap, and nothing of it passes through the driver:
 
 1. documents are dealt by their id into groups of some ``GROUP_BYTES`` of text. A group counts its distinct
-   words and bigrams once, and sends each block of keys one message of sorted, delta-coded keys and packed
-   counts: some six bytes a key. There are as many blocks as groups, so a task's work stays the same size.
+   words and bigrams once, and sends each block in which it has keys one message of sorted, delta-coded keys and packed
+   counts: some six bytes a key. There are as many blocks as groups, so a task's work stays the same size. A block
+   without a key of the group hears nothing from it, so there are never more messages than keys.
 2. a block sums its messages and answers each with what the other groups counted for the same keys, in the
-   same order, and with the block's share of the totals;
+   same order. The blocks' totals, five numbers each, are summed from the same shuffle, and one row of them is broadcast;
 3. a group meets its answers and scores its rows. Its texts are shuffled once for both steps.
 
 Keys are 64-bit hashes (XXH64) of words, and of pairs of them; two of n keys are alike with odds of n * n / 2**65.
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a group of documents, about.
 GROUP_BYTES = 8 << 20
+TOTALS = ["size", "tokens", "target_tokens", "texts", "target_texts"]
 #: Weights of the bigram, the unigram and the uniform part.
 MIX = (0.6, 0.3, 0.1)
 #: The key of the start of a text as the word before, and the factors that mix the keys of two words.
@@ -155,13 +157,20 @@ class Group(NamedTuple):
         return np.where(every > 0, -np.log(a * two + b * uniform + c / size), np.log(size))
 
 
-def summed(messages: pa.Table, keys: str, counts: str, kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each message what all others count for its keys; and the sums of the distinct keys' counts, after their number."""
+def summed(messages: pa.Table, keys: str, counts: str, kinds: int) -> list[np.ndarray]:
+    """For each message what all others count for its keys."""
     sent = [unpacked_keys(raw) for raw in messages.column(keys).to_pylist()]
     own = np.concatenate([unpacked(raw).reshape(kinds, -1) for raw in messages.column(counts).to_pylist()], axis=1)
     distinct, at = np.unique(np.concatenate(sent), return_inverse=True)
     every = np.array([np.bincount(at, x, len(distinct)) for x in own]).astype(np.int64)
-    return np.split(every[:, at] - own, np.cumsum([len(x) for x in sent])[:-1], axis=1), np.append(len(distinct), every.sum(axis=1))
+    return np.split(every[:, at] - own, np.cumsum([len(x) for x in sent])[:-1], axis=1)
+
+
+def total(messages: pa.Table) -> pa.Table:
+    """A block's share of the totals: words, tokens, target tokens, texts, target texts."""
+    distinct = len(np.unique(np.concatenate([unpacked_keys(raw) for raw in messages.column("words").to_pylist()])))
+    sums = np.sum([unpacked(raw).reshape(4, -1).sum(axis=1) for raw in messages.column("word_counts").to_pylist()], axis=0)
+    return pa.table([pa.array([int(x)]) for x in (distinct, *sums)], TOTALS)
 
 
 def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -178,31 +187,31 @@ def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str
 
     def count(table: pa.Table) -> pa.Table:
         g = Group.of(table)
-        columns = []
-        for keys, counts in ((g.words, g.word_counts), (g.pairs, g.pair_counts)):
-            at = bounds(keys, groups)
-            cuts = [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
+        columns, ends = [], [bounds(keys, groups) for keys in (g.words, g.pairs)]
+        blocks = np.flatnonzero((np.diff(ends[0]) > 0) | (np.diff(ends[1]) > 0))
+        for at, keys, counts in zip(ends, (g.words, g.pairs), (g.word_counts, g.pair_counts), strict=True):
+            cuts = [slice(at[k], at[k + 1]) for k in blocks]
             columns += [pa.array([packed_keys(keys[x]) for x in cuts], pa.binary()), pa.array([packed(counts[:, x]) for x in cuts], pa.binary())]
-        own = np.full(groups, table.column("_group")[0].as_py(), np.int32)
-        return pa.table([pa.array(np.arange(groups, dtype=np.int32)), pa.array(own), *columns], ["block", "group", "words", "word_counts", "pairs", "pair_counts"])
+        own = np.full(len(blocks), table.column("_group")[0].as_py(), np.int32)
+        return pa.table([pa.array(blocks.astype(np.int32)), pa.array(own), *columns], ["block", "group", "words", "word_counts", "pairs", "pair_counts"])
 
     sent = grouped.groupBy("_group").applyInArrow(count, "block int, group int, words binary, word_counts binary, pairs binary, pair_counts binary")
 
     def answer(messages: pa.Table) -> pa.Table:
-        words, totals = summed(messages, "words", "word_counts", 4)
-        pairs, _ = summed(messages, "pairs", "pair_counts", 2)
-        columns = [pa.array([packed(x) for x in some], pa.binary()) for some in (words, pairs)]
-        return pa.table([messages.column("block"), messages.column("group"), *columns, pa.array([totals.tolist()] * len(words), pa.list_(pa.int64()))], ["block", "group", "words", "pairs", "totals"])
+        columns = [pa.array([packed(x) for x in summed(messages, *some)], pa.binary()) for some in (("words", "word_counts", 4), ("pairs", "pair_counts", 2))]
+        return pa.table([messages.column("block"), messages.column("group"), *columns], ["block", "group", "words", "pairs"])
 
-    back = sent.groupBy("block").applyInArrow(answer, "block int, group int, words binary, pairs binary, totals array<bigint>")
+    back = sent.groupBy("block").applyInArrow(answer, "block int, group int, words binary, pairs binary")
+    totals = sent.groupBy("block").applyInArrow(total, ", ".join(f"{c} bigint" for c in TOTALS)).agg(*(F.sum(c).alias(c) for c in TOTALS))
+    back = back.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").drop("one")
 
     def losses(table: pa.Table, answers: pa.Table) -> pa.Table:
         g = Group.of(table)
         answers = answers.sort_by("block")
-        words, pairs = (np.concatenate([unpacked(raw).reshape(kinds, -1) for raw in answers.column(c).to_pylist()], axis=1) for c, kinds in (("words", 4), ("pairs", 2)))
+        words, pairs = (np.concatenate([np.zeros((kinds, 0), np.int64), *(unpacked(raw).reshape(kinds, -1) for raw in answers.column(c).to_pylist())], axis=1) for c, kinds in (("words", 4), ("pairs", 2)))
         words, pairs = words + g.word_counts, pairs + g.pair_counts
-        # Each block answers with its part of: words, tokens, target tokens, texts, target texts.
-        size, *totals = np.sum(answers.column("totals").to_pylist(), axis=0)
+        # A group without tokens hears no totals, and needs none.
+        size, *totals = ((answers.column(c)[0].as_py() if len(answers) else 0) for c in TOTALS)
         tokens = np.bincount(g.row, minlength=len(g.targeted))
         # As in the models, the start and an unknown word have their share of the uniform part.
         means = [
