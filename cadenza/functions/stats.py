@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 
 #: Rows of a group whose order statistic is looked for among all of them; of more, only among those near the quantile.
 SMALL_GROUP = 10_000
 #: Half the width of that neighbourhood, and the accuracy of the approximate quantiles that bound it.
 MARGIN, ACCURACY = 0.01, 10_000
+#: Parts into which an interval is cut to look for an order statistic.
+CUTS = 32
 #: Ranges into which values are dealt for a rank over all rows.
 RANGES = 64
 
@@ -39,6 +42,47 @@ def order_statistic(rows: DataFrame, by: list[str], value: str, rank: Callable[[
     return counted.withColumn("_at", (rank(F.col("n")) - F.col("_below")).cast("int")).join(found, [*by, "_at"], "left").select(*by, "n", F.col("_v").alias(out))
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], out: str = "q", small: int = SMALL_GROUP) -> DataFrame:
+    """(by..., n, out): the values at ``shares`` of each group as an array, linear between neighbours; nulls and NaN don't count.
+
+    Groups of up to ``small`` rows are sorted. In larger ones the two neighbours of each share are looked for by refinement: approximate
+    quantiles cut the interval that holds one, the rows of each part are counted, and the part that holds it is cut
+    again, until it has ``small`` rows or one value. What is sent is a count for each part, so one group may hold all
+    rows; each round leaves about a thirtieth, so three rounds take 10**9 rows to fewer than 10**5."""
+    keys = [*by, "_one"]
+    rows = rows.select(*by, F.lit(1).alias("_one"), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    sizes = stored(rows.groupBy(*keys).agg(F.count("*").alias("n")), "quantile-sizes")
+    large = sizes.where(F.col("n") > small)
+    if not by:
+        sizes, large = F.broadcast(sizes), F.broadcast(large)  # one row
+    whole = rows.join(sizes.where(F.col("n") <= small), keys).groupBy(*keys).agg(F.first("n").alias("n"), F.percentile("_v", shares).alias(out))
+    if large.isEmpty():
+        return whole.select(*by, "n", out)
+    at = [F.lit(q) * (F.col("n") - 1) for q in shares]
+    ends = F.array(*(F.struct(F.lit(2 * k + up).alias("_k"), f(x).cast("long").alias("_place")) for k, x in enumerate(at) for up, f in ((0, F.floor), (1, F.ceil))))
+    # What is looked for: the value at a place among the ``held`` rows between low and high.
+    sought = large.select(*keys, F.col("n").alias("_held"), F.inline(ends)).withColumns({"_low": F.lit(float("-inf")), "_high": F.lit(float("inf"))})
+    sought = stored(sought, "quantile-places")
+    while not sought.where((F.col("_held") > small) & (F.col("_low") < F.col("_high"))).isEmpty():
+        open_ = sought.where((F.col("_held") > small) & (F.col("_low") < F.col("_high")))
+        inside = rows.join(open_, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        cuts = inside.groupBy(*keys, "_k").agg(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], ACCURACY).alias("_cuts"))
+        # A value that is a cut has a part of its own, so ties can't hold a part together.
+        part = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
+        counted = inside.join(cuts, [*keys, "_k"]).groupBy(*keys, "_k", part.alias("_part")).agg(F.first("_place").alias("_place"), F.count("*").alias("_held"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = F.sum("_held").over(Window.partitionBy(*keys, "_k").orderBy("_part"))
+        found = counted.withColumn("_upto", upto).where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_held")))
+        found = found.withColumn("_place", F.col("_place") - F.col("_upto") + F.col("_held")).select(*keys, "_held", "_k", "_place", "_low", "_high")
+        sought = stored(sought.join(open_.select(*keys, "_k"), [*keys, "_k"], "left_anti").select(*found.columns).unionByName(found), "quantile-places")
+    few = rows.join(sought.where("_low < _high"), keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+    few = few.groupBy(*keys, "_k").agg(F.element_at(F.sort_array(F.collect_list("_v")), (F.first("_place") + 1).cast("int")).alias("v"))
+    values = few.unionByName(sought.where("_low = _high").select(*keys, "_k", F.col("_low").alias("v")))
+    pairs = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_k", "v"))).alias("_v")).join(large, keys)
+    low, high = ([F.element_at("_v", F.lit(2 * k + up)) for k in range(len(shares))] for up in (0, 1))
+    between = F.array(*(a + (b - a) * (x - F.floor(x)) for a, b, x in zip(low, high, at, strict=True)))
+    return whole.unionByName(pairs.select(*keys, "n", between.alias(out))).select(*by, "n", out)
+
+
 def running_ranks(rows: DataFrame, value: str, *more: Column) -> DataFrame:
     """(value, t, rank, more...): of each distinct value its rows, its rank over all rows with ties averaged, and more sums.
 
@@ -61,6 +105,21 @@ def averaged_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
     return rows.join(ranks, value, "left")
 
 
+def places(rows: DataFrame, *order: str, out: str) -> DataFrame:
+    """``rows`` with their place in the given order, 0 for the first, by a sort in ranges.
+
+    Rows are sorted within partitions that are ranges of the order; those of the partitions before are added from a table of a
+    row a partition. The sorted rows are stored. Rows alike in all of the order have some place of theirs each."""
+    by = [F.col(c) for c in order]
+    sorted_rows = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "places")
+    # The id is the partition's number above 33 bits of the place in it.
+    dealt = sorted_rows.withColumn("_part", F.shiftright("_at", 33))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_rows"))  # a row for each partition of the sort
+    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")
+    starts = F.broadcast(sizes.select("_part", before.alias("_before")))
+    return dealt.join(starts, "_part").withColumn(out, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
+
+
 def average_rank(by: str, *keys: str) -> Column:
     """Rank among the rows of the keys, with ties averaged."""
     w = Window.partitionBy(*keys)

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, averaged_rank, normal_cdf, probit, running_ranks
+from ..functions.stats import average_rank, averaged_rank, normal_cdf, probit, quantiles, running_ranks
 
 
 def relative_error(y: str = "y_true", p: str = "y_pred") -> Column:
     return (F.col(y) - F.col(p)) / F.greatest(F.abs(p), F.lit(1e-9))
 
 
+def ends(df: DataFrame, columns: tuple[str, ...], low: float, high: float) -> DataFrame:
+    """One row with an array of the two quantiles of each column, by its name after an underscore."""
+    each = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_x")) for c in columns))))
+    found = quantiles(each, ["_of"], "_x", [low, high])
+    return found.agg(*(F.max(F.when(F.col("_of") == c, F.col("q"))).alias(f"_{c}") for c in columns))
+
+
 def winsorised(df: DataFrame, *columns: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    ends = df.agg(*(F.percentile(c, [low, high]).alias(f"_{c}") for c in columns))  # one row
-    return df.crossJoin(F.broadcast(ends)).withColumns({c: F.least(F.greatest(F.col(c), F.col(f"_{c}")[0]), F.col(f"_{c}")[1]) for c in columns}).drop(*(f"_{c}" for c in columns))
+    both = df.crossJoin(F.broadcast(ends(df, columns, low, high)))  # one row
+    return both.withColumns({c: F.least(F.greatest(F.col(c), F.col(f"_{c}")[0]), F.col(f"_{c}")[1]) for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
 def spearman(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
@@ -46,9 +53,8 @@ def mann_whitney(df: DataFrame, value: str, flag: str) -> DataFrame:
 
 def joint_coverage(df: DataFrame, a: str, b: str) -> DataFrame:
     """Share of rows within the marginal 10..90 % ranges: of each, of both, and the product of the two."""
-    ends = df.agg(F.percentile(a, [0.1, 0.9]).alias("_a"), F.percentile(b, [0.1, 0.9]).alias("_b"))  # one row
-    both = df.crossJoin(F.broadcast(ends))
-    ia, ib = (F.when(F.col(c).between(F.col(q)[0], F.col(q)[1]), 1.0).otherwise(0.0) for c, q in ((a, "_a"), (b, "_b")))
+    both = df.crossJoin(F.broadcast(ends(df, (a, b), 0.1, 0.9)))  # one row
+    ia, ib = (F.when(F.col(c).between(F.col(f"_{c}")[0], F.col(f"_{c}")[1]), 1.0).otherwise(0.0) for c in (a, b))
     return both.agg(F.avg(ia).alias("cov_a"), F.avg(ib).alias("cov_b"), F.avg(ia * ib).alias("cov_joint"), (F.avg(ia) * F.avg(ib)).alias("cov_independent"))
 
 

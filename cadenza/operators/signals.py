@@ -1,7 +1,6 @@
-"""Signals between and within series: wavelet coherence of pairs, causal change points, exchangeability.
+"""Signals between and within series: wavelet coherence of pairs, causal change points.
 
-Each is a grouped function over one pair, one series or one model's residuals by chunk; Spark joins the
-series and deals the groups."""
+Each is a grouped function over one pair or one series; Spark joins the series and deals the groups."""
 
 from __future__ import annotations
 
@@ -139,34 +138,3 @@ def frozen(points: DataFrame, cutoff, horizon: int, key: str = "key") -> DataFra
     at = points.where(F.col("date") == F.lit(cutoff))
     steps = at.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     return steps.select(key, "step", F.add_months("date", F.col("step")).alias("date"), (F.col("cp_months") + F.col("step")).alias("cp_months"), "cp_jump")
-
-
-# Exchangeability.
-
-JUMPS = (-1.0, 0.0, 1.0)
-
-
-def exchangeability(residuals: DataFrame, group: str, rate: float = 0.01, value: str = "resid") -> DataFrame:
-    """(group, n, log10_max, log10_last): a martingale against exchangeable residuals, cutoffs in order.
-
-    A residual's p-value is its rank among those up to it, ties broken by a seeded draw; within a cutoff
-    the order is that of a hash. A group is one model's residuals, a fold that needs them in order."""
-
-    def run(names: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["cutoff", "h"])
-        a, draw = part["a"].to_numpy(), np.random.default_rng(0).random(len(part))
-        seen: list[float] = []
-        capital, logs, scale = np.full(3, 1 / 3), [], 0.0
-        for v, u in zip(a, draw, strict=True):
-            lo, hi = np.searchsorted(seen, v, "left"), np.searchsorted(seen, v, "right")
-            p = (len(seen) - hi + u * (hi - lo + 1)) / (len(seen) + 1)
-            seen.insert(int(hi), float(v))
-            capital = (1 - rate) * capital + rate * capital.sum() / 3
-            capital = capital * (1 + np.array(JUMPS) * (p - 0.5))
-            scale += np.log10(capital.sum())
-            capital = capital / capital.sum()
-            logs.append(scale)
-        return pd.DataFrame([(names[0], len(part), max(logs), logs[-1])], columns=[group, "n", "log10_max", "log10_last"])
-
-    rows = residuals.select(group, "cutoff", F.hash("key", "step").alias("h"), F.abs(value).alias("a")).where("a is not null")
-    return rows.groupBy(group).applyInPandas(run, f"`{group}` string, n int, log10_max double, log10_last double")

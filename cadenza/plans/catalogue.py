@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import metrics as M
-from ..functions.stats import PROBIT, PROBIT_TAIL, averaged_rank, order_statistic, upper_rank
+from ..functions.stats import PROBIT, PROBIT_TAIL, averaged_rank, order_statistic, quantiles, upper_rank
 from ..operators import allocation as A
 from ..operators import backtest as B
 from ..operators import calibrate as K
 from ..operators import diagnostics as D
 from ..operators import ensemble as E
 from ..operators import fractional as G
+from ..operators import pairs as Q
 from ..operators import panel as P
 from ..sources import tables as S
 from ..sources.shared import held
@@ -585,10 +586,10 @@ def keep_current_series(spark, sf):
 @query("a b same_block n:i r:6", "SELECT a.key AS a, b.key AS b, any_value(a.block = b.block) AS same_block, count(*) AS n, corr(a.liq_tpd, b.liq_tpd) AS r FROM rates a JOIN rates b ON a.date = b.date AND a.key < b.key GROUP BY 1, 2", "rates")
 def self_pairs(spark, sf):
     """Pairs of series over their common months: the pairs of keys are the result."""
-    df = rates(spark, sf).select("date", "key", "block", "liq_tpd")
-    b = df.toDF("date", "b", "block_b", "v_b")
-    both = df.join(b, "date").where(F.col("key") < F.col("b"))
-    return both.groupBy(F.col("key").alias("a"), "b").agg(F.first(F.col("block") == F.col("block_b")).alias("same_block"), F.count("*").alias("n"), F.corr("liq_tpd", "v_b").alias("r"))
+    df = rates(spark, sf)
+    blocks = df.groupBy("key").agg(F.first("block").alias("block"))
+    both = Q.pair_correlations(df, "liq_tpd").join(blocks.toDF("a", "block_a"), "a").join(blocks.toDF("b", "block_b"), "b")
+    return both.withColumn("same_block", F.col("block_a") == F.col("block_b"))
 
 
 @query("key cutoff step:i a:8 b:8", "SELECT * FROM errors2", "errors2")
@@ -693,8 +694,8 @@ def ens_forward_blend(spark, sf):
     m = matrix(spark, sf)
     weights = spark.createDataFrame(list(_FORWARD.items()), "model string, weight double")
     now = E.blend(m.where(F.col("cutoff") == F.lit(CUTOFFS[-1])), MODELS, weights, on=())
-    ratio = F.percentile(F.col("y_true") / F.col("naive"), [0.1, 0.9])
-    spread = m.where("naive > 0").groupBy("step").agg(ratio.alias("r"))
+    ratio = m.where("naive > 0").select("step", (F.col("y_true") / F.col("naive")).alias("ratio"))
+    spread = quantiles(ratio, ["step"], "ratio", [0.1, 0.9], out="r")
     return now.join(spread, "step").select("key", "step", "date", F.col("y_pred").alias("y"), (F.col("y_pred") * F.col("r")[0]).alias("q10"), (F.col("y_pred") * F.col("r")[1]).alias("q90"))
 
 
@@ -791,7 +792,8 @@ def ratio_quantiles(spark, sf):
     r = F.col("y_true") / F.col("y_pred")
     rows = intervals(spark, sf).where("y_pred > 0").select("step", r.alias("r"))
     upper = order_statistic(rows, ["step"], "r", upper_rank(8, 10), 0.8, out="upper").drop("n")
-    return rows.groupBy("step").agg(F.count("*").alias("n"), F.percentile("r", 0.1).alias("lo"), F.percentile("r", 0.9).alias("hi")).join(upper, "step")
+    ends = quantiles(rows, ["step"], "r", [0.1, 0.9])
+    return ends.select("step", "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")).join(upper, "step")
 
 
 def _conformal_sql(method: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import allocation as A
 from ..operators import backtest as B
 from ..operators import decline
+from ..operators import exchange as X
 from ..operators import learning as L
 from ..operators import panel as P
 from ..operators import response as R
@@ -108,9 +109,23 @@ def changepoint_frozen(spark, sf):
     return N.frozen(_points(spark, sf), K.CUTOFFS[-1], K.C.HORIZON)
 
 
-@query("model n:i log10_max:6 log10_last:6")
+@query(
+    "model n:i log10_max:6 log10_last:6",
+    """WITH RECURSIVE r AS (SELECT model, cutoff, key, step, round(abs(y_true - y_pred), 6) AS a, md5(key || '|' || step || '|' || CAST(cutoff AS VARCHAR)) AS h FROM scored),
+      t AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cutoff, h, key, step) AS t FROM r),
+      p AS (SELECT x.model, x.t, (count(*) FILTER (y.a > x.a) + ('0x' || substr(any_value(x.h), 1, 8))::BIGINT / 4294967296.0 * (count(*) FILTER (y.a = x.a) + 1)) / x.t AS p
+        FROM t x LEFT JOIN t y ON x.model = y.model AND y.t < x.t GROUP BY 1, 2),
+      m AS (
+        SELECT DISTINCT model, 0::BIGINT AS t, 1 / 3.0::DOUBLE AS a, 1 / 3.0::DOUBLE AS b, 1 / 3.0::DOUBLE AS c, 0::DOUBLE AS scale, NULL::DOUBLE AS best FROM p
+        UNION ALL
+        SELECT model, t, a / s, b / s, c / s, scale + log10(s), greatest(coalesce(best, -1e9), scale + log10(s)) FROM (SELECT *, a + b + c AS s FROM (
+          SELECT m.model, m.t + 1 AS t, (0.99 * a + 0.01 / 3 * (a + b + c)) * (1.5 - p) AS a, 0.99 * b + 0.01 / 3 * (a + b + c) AS b, (0.99 * c + 0.01 / 3 * (a + b + c)) * (0.5 + p) AS c, scale, best
+          FROM m JOIN p ON m.model = p.model AND p.t = m.t + 1))
+      ) SELECT model, max(t) AS n, max(best) AS log10_max, max_by(scale, t) AS log10_last FROM m GROUP BY 1""",
+    "scored",
+)
 def exchangeability(spark, sf):
-    return N.exchangeability(K.scored(spark, sf).withColumn("resid", F.col("y_true") - F.col("y_pred")), "model")
+    return X.exchangeability(K.scored(spark, sf).withColumn("resid", F.col("y_true") - F.col("y_pred")), "model")
 
 
 # Streams.

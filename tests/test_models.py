@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cadenza.functions import solvers, stats
-from cadenza.operators import backtest, decline, ensemble, panel, selection, signals
+from cadenza.operators import backtest, decline, ensemble, exchange, panel, selection, signals
 from cadenza.sources import files, shared, tables
 from cadenza.streaming import events
 
@@ -60,7 +60,7 @@ def test_martingale_grows_with_drift_only(spark):
     rng = np.random.default_rng(4)
     rows = [(m, date(2000, 1 + c, 1), f"k{i}", s, float(rng.normal() * (1 + (m == "drift") * 3 * c))) for m in ("same", "drift") for c in range(8) for i in range(20) for s in range(3)]
     df = spark.createDataFrame(rows, "model string, cutoff date, key string, step int, resid double")
-    got = {r.model: r.log10_max for r in signals.exchangeability(df, "model").collect()}
+    got = {r.model: r.log10_max for r in exchange.exchangeability(df, "model").collect()}
     assert got["drift"] > 2 > got["same"]
 
 
