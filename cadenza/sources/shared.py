@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,8 +10,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The frames and models that each application holds, by name.
-_HELD: dict[tuple[str, str], Any] = {}
+#: The frames and models that each application holds, by name, source and the source's stamp.
+_HELD: dict[tuple[str, str, str], Any] = {}
+#: The folders of stored tables that :func:`forget` removes, with the session that made them.
+_FOLDERS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder, and read back; removed as the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -38,21 +41,58 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def once(spark: SparkSession, name: str, source: str, make: Callable[[], Any]) -> Any:
-    """What ``make`` gives at its first use for the tables in ``source``, and the same from then on: for models of a fixed size.
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Has :func:`forget` remove the folder."""
+    if (spark, path) not in _FOLDERS:
+        _FOLDERS.append((spark, path))
+
 
-    An application that changes its source calls :func:`forget`."""
-    key = (spark.sparkContext.applicationId, f"{name} of {source}")
+def stamp(spark: SparkSession, source: str) -> str:
+    """What a source folder holds now: names, sizes and times of its files and of the folders in it.
+
+    A folder's time changes as files come into it or leave it, so one listing of the source tells, however many files its
+    tables have. A file in a table's folder that is written over in place goes unseen."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(source)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    entries = system.listStatus(at) if system.exists(at) else []
+    seen = sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries)
+    return hashlib.sha256(repr(seen).encode()).hexdigest()
+
+
+def once(spark: SparkSession, name: str, source: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives at its first use for the tables in ``source``, and the same until one of them changes."""
+    key = (spark.sparkContext.applicationId, f"{name} of {source}", stamp(spark, source))
     if key not in _HELD:
         _HELD[key] = make()
     return _HELD[key]
 
 
 def held(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` made from the tables in ``source``: stored at its first use, and the same table from then on."""
-    return once(spark, name, source, lambda: stored(make(), name))
+    """The table ``name`` made from the tables in ``source``: stored at its first use, and the same table until one of them changes."""
+
+    def kept() -> DataFrame:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _FOLDERS.append((spark, path))
+        return stored(make(), name, path)
+
+    return once(spark, name, source, kept)
 
 
 def forget() -> None:
-    """Drops what is held, so that it is made anew from the sources."""
+    """Drops what is held and removes its tables, so that it is made anew from the sources; frames that read them no longer work."""
     _HELD.clear()
+    while _FOLDERS:
+        spark, path = _FOLDERS.pop()
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month
-from .shared import held
+from . import refresh
+from .shared import exists, held
 
 #: The last whole month of the star schema's shipments; the next one is cut off.
 LAST_VALID = date(2001, 10, 1)
@@ -49,12 +50,6 @@ def read_results(spark: SparkSession, path: str, deny: tuple[str, ...] = ()) ->
     return rows.where(~F.col("model").rlike("^(" + "|".join(deny) + ")")) if deny else rows
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in any store Spark reads; absent models are skipped by the caller."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def first_existing(spark: SparkSession, *paths: str) -> str | None:
     return next((p for p in paths if exists(spark, p)), None)
 
@@ -77,12 +72,12 @@ def producers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The monthly panel, a row per key and month: made from the shipments once in an application, then read."""
-    return held(spark, "panel", sf_dir, lambda: monthly(spark, sf_dir))
+    """The monthly panel, a row per key and month: made once from the shipments, then read until their files change; then from the changed ones."""
+    return held(spark, "panel", sf_dir, lambda: refresh.refresh(spark, sf_dir, refresh.folder(spark, sf_dir))[0])
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, block, date, liq_t, oil_t, p_res, hours): the supplier nations' shipments by month."""
+    """(key, block, date, liq_t, oil_t, p_res, hours): the supplier nations' shipments by month, from all of them at once."""
     line, supplier, nation, region = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
     rows = (
         line.where(F.col("l_shipdate") < F.lit("2001-11-01").cast("timestamp_ntz"))
