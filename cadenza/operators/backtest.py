@@ -16,15 +16,27 @@ from ..functions.calendar import HORIZON, expand_horizon
 MIN_HISTORY, EPS = 12, 1e-6
 
 
-def contexts(df: DataFrame, cutoffs: list[date]) -> DataFrame:
-    """Each row once for every cutoff that it is known at."""
-    dates = F.array(*(F.lit(c) for c in cutoffs))
-    return df.withColumn("cutoff", F.explode(F.filter(dates, lambda c: c >= F.col("date"))))
+def own_cutoffs(df: DataFrame, windows: int, step: int, horizon: int = HORIZON, key: str = "key") -> DataFrame:
+    """(key, cutoffs): the origins of each series' own windows, counted back from its last month, the latest first.
 
+    The latest leaves the last ``horizon`` months to be forecast, each other one begins ``step`` months earlier; series may
+    end in different months. An array a key, so nothing grows with the number of different origins."""
+    back = F.sequence(F.lit(0), F.lit(windows - 1))
+    return df.groupBy(key).agg(F.max("date").alias("_last")).select(key, F.transform(back, lambda w: F.add_months("_last", -(horizon + step * w))).alias("cutoffs"))
 
-def context_tail(df: DataFrame, cutoffs: list[date], k: int, value: str, min_history: int = MIN_HISTORY, key: str = "key") -> DataFrame:
+
+def contexts(df: DataFrame, cutoffs: list[date] | DataFrame, key: str = "key") -> DataFrame:
+    """Each row once for every cutoff that it is known at: of a common list, or of its series' own (key, cutoffs)."""
+    if isinstance(cutoffs, DataFrame):
+        met, dates = df.join(cutoffs.withColumnRenamed("cutoffs", "_cutoffs"), key), F.col("_cutoffs")
+    else:
+        met, dates = df, F.array(*(F.lit(c) for c in cutoffs))
+    return met.withColumn("cutoff", F.explode(F.filter(dates, lambda c: c >= F.col("date")))).drop("_cutoffs")
+
+
+def context_tail(df: DataFrame, cutoffs: list[date] | DataFrame, k: int, value: str, min_history: int = MIN_HISTORY, key: str = "key") -> DataFrame:
     """The last k known values at each cutoff, numbered t = 0 .. n - 1, of keys with enough history."""
-    rows = contexts(df.where(F.col(value).isNotNull()), cutoffs)
+    rows = contexts(df.where(F.col(value).isNotNull()), cutoffs, key)
     w = Window.partitionBy("cutoff", key)
     ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(F.desc("date")))).withColumn("_all", F.count(F.lit(1)).over(w))
     n = F.least(F.col("_all"), F.lit(k))
@@ -39,7 +51,7 @@ def naive(df: DataFrame, cutoffs: list[date], value: str, horizon: int = HORIZON
     return expand_horizon(at, horizon)
 
 
-def exponential(df: DataFrame, cutoffs: list[date], value: str, k: int = 24, horizon: int = HORIZON, key: str = "key") -> DataFrame:
+def exponential(df: DataFrame, cutoffs: list[date] | DataFrame, value: str, k: int = 24, horizon: int = HORIZON, key: str = "key") -> DataFrame:
     """A straight line through the logarithms of the last k values, carried on."""
     rows = context_tail(df, cutoffs, k, value, key=key).withColumn("ly", F.log(F.greatest(F.col(value), F.lit(EPS))))
     fit = rows.groupBy("cutoff", key).agg(F.regr_slope("ly", "t").alias("b1"), F.regr_intercept("ly", "t").alias("b0"), F.max("n").alias("n"))
@@ -47,7 +59,7 @@ def exponential(df: DataFrame, cutoffs: list[date], value: str, k: int = 24, hor
     return out.select("cutoff", key, "step", "date", F.exp(F.col("b0") + F.col("b1") * (F.col("n") - 1 + F.col("step"))).alias("y_pred"))
 
 
-def pointwise(df: DataFrame, cutoffs: list[date], value: str, forecaster: Callable, k: int = 10_000, horizon: int = HORIZON, key: str = "key") -> DataFrame:
+def pointwise(df: DataFrame, cutoffs: list[date] | DataFrame, value: str, forecaster: Callable, k: int = 10_000, horizon: int = HORIZON, key: str = "key") -> DataFrame:
     """Any ``forecaster(values, horizon) -> values``, run per (cutoff, key) on its last k values.
 
     A group is one key's months up to a cutoff, k rows at most."""

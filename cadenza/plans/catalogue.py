@@ -263,20 +263,24 @@ def panel_block_start(spark, sf):
 # Calendar.
 
 
-@query("cutoff", "SELECT * FROM ext", "ext")
+@query("cutoff n:i", "SELECT cutoff, count(*) AS n FROM ext JOIN rates ON date <= cutoff GROUP BY 1", "ext rates")
 def cutoffs_extended(spark, sf):
-    return C.every(spark, EXTENDED[0], EXTENDED[-1], 2)
+    """The cutoffs that the panel has months at, every second month, with the rows that each knows."""
+    df = rates(spark, sf)
+    return B.contexts(df, EXTENDED).groupBy("cutoff").agg(F.count("*").alias("n"))
 
 
-@query("cutoff step:i date", "SELECT cutoff, step, CAST(cutoff + to_months(CAST(step AS INT)) AS DATE) AS date FROM canon CROSS JOIN horizon", "canon horizon")
+@query("key cutoff step:i date", "SELECT key, cutoff, step, CAST(cutoff + to_months(CAST(step AS INT)) AS DATE) AS date FROM (SELECT key, max(date) AS cutoff FROM rates GROUP BY 1) CROSS JOIN horizon", "rates horizon")
 def horizon_expand(spark, sf):
-    return C.expand_horizon(C.cutoff_table(spark, CUTOFFS))
+    """The months after each series' last one."""
+    return C.expand_horizon(rates(spark, sf).groupBy("key").agg(F.max("date").alias("cutoff")))
 
 
-@query("cutoff cutoff_b d:i", "SELECT a.cutoff AS cutoff, b.cutoff AS cutoff_b, abs(year(a.cutoff) * 12 + month(a.cutoff) - year(b.cutoff) * 12 - month(b.cutoff)) AS d FROM ext a CROSS JOIN ext b", "ext")
+@query("key date cutoff d:i", "SELECT key, date, cutoff, abs(year(date) * 12 + month(date) - year(cutoff) * 12 - month(cutoff)) AS d FROM rates CROSS JOIN ext", "ext rates")
 def month_distance(spark, sf):
-    a = C.cutoff_table(spark, EXTENDED)
-    return a.crossJoin(a.withColumnRenamed("cutoff", "cutoff_b")).withColumn("d", C.month_distance("cutoff", "cutoff_b"))
+    """How many months each row is from each cutoff."""
+    each = rates(spark, sf).withColumn("cutoff", F.explode(F.array(*(F.lit(c) for c in EXTENDED))))
+    return each.withColumn("d", C.month_distance("date", "cutoff"))
 
 
 @query("key date t_days:i", "SELECT key, date, date - min(date) OVER w + day(last_day(min(date) OVER w)) AS t_days FROM rates WINDOW w AS (PARTITION BY key)", "rates")
@@ -570,10 +574,20 @@ def semi_keep_series(spark, sf):
     return rates(spark, sf).join(_busy(spark, sf), "key", "left_semi")
 
 
-@query("key date", "SELECT key, date FROM grid g WHERE NOT EXISTS (SELECT 1 FROM rates r WHERE r.key = g.key AND r.date = g.date)", "grid rates")
-def anti_missing_series(spark, sf):
+_ABOVE = "SELECT key, date FROM rates WHERE liq_tpd > (SELECT avg(liq_tpd) FROM rates)"
+
+
+def _above(spark, sf):
+    """The months of a rate above the field's mean."""
     df = rates(spark, sf)
-    return P.complete(df).select("key", "date").join(df, ["key", "date"], "left_anti")
+    mean = df.agg(F.avg("liq_tpd").alias("_mean"))  # one row
+    return df.crossJoin(F.broadcast(mean)).where(F.col("liq_tpd") > F.col("_mean")).select("key", "date")
+
+
+@query("key date", f"SELECT key, date FROM grid g WHERE NOT EXISTS (SELECT 1 FROM ({_ABOVE}) r WHERE r.key = g.key AND r.date = g.date)", "grid rates")
+def anti_missing_series(spark, sf):
+    """The months of the grid that have no rate above the field's mean."""
+    return P.complete(rates(spark, sf)).select("key", "date").join(_above(spark, sf), ["key", "date"], "left_anti")
 
 
 @query("key n:i", "SELECT key, count(*) AS n FROM rates r WHERE (SELECT max(date) FROM rates) = (SELECT max(date) FROM rates x WHERE x.key = r.key) GROUP BY 1 HAVING count(*) >= 24", "rates")
@@ -628,9 +642,16 @@ def set_intersect(spark, sf):
     return df.where("key = 'NATION_6'").select("date").intersect(df.where("key = 'NATION_12' and liq_tpd > 1000").select("date"))
 
 
-@query("key", f"SELECT DISTINCT key FROM rates EXCEPT SELECT key FROM ({_BUSY})", "rates")
+_LEADING = f"SELECT key FROM ({_ABOVE}) GROUP BY key HAVING 2 * count(*) > (SELECT count(DISTINCT date) FROM rates)"
+
+
+@query("key", f"SELECT DISTINCT key FROM rates EXCEPT SELECT key FROM ({_LEADING})", "rates")
 def set_except(spark, sf):
-    return rates(spark, sf).select("key").subtract(_busy(spark, sf))
+    """Series that aren't above the field's mean in most months."""
+    df = rates(spark, sf)
+    months = df.agg(F.count_distinct("date").alias("months"))  # one row
+    leading = _above(spark, sf).groupBy("key").count().crossJoin(F.broadcast(months)).where("2 * count > months").select("key")
+    return df.select("key").subtract(leading)
 
 
 @query("key date", "SELECT key, date FROM rates EXCEPT SELECT key, date FROM rates WHERE liq_tpd > 2000", "rates")
@@ -644,12 +665,11 @@ def category_codes(spark, sf):
     return P.category_codes(S.sites(spark, sf), "block")
 
 
-_NAMES = ["ext_stack_greedy_oil_tpd", "crm_liq_tpd", "naive_oil_tpd"]
-
-
-@query("name model target", "SELECT name, regexp_extract(name, '^(.*)_([^_]*_[^_]*)$', 1) AS model, regexp_extract(name, '^(.*)_([^_]*_[^_]*)$', 2) AS target FROM (SELECT unnest(['ext_stack_greedy_oil_tpd', 'crm_liq_tpd', 'naive_oil_tpd']) AS name)")
+@query("name model target", "SELECT name, regexp_extract(name, '^(.*)_([^_]*_[^_]*)$', 1) AS model, regexp_extract(name, '^(.*)_([^_]*_[^_]*)$', 2) AS target FROM (SELECT DISTINCT model || '_by_' || lower(block) || '_liq_tpd' AS name FROM scored)", "scored")
 def parse_result_name(spark, sf):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", *S.parse_result_name())
+    """Names as result files have, of each model and block that there are forecasts of."""
+    names = scored(spark, sf).select(F.concat("model", F.lit("_by_"), F.lower("block"), F.lit("_liq_tpd")).alias("name")).distinct()
+    return names.select("name", *S.parse_result_name())
 
 
 @query("quoted id:i", "SELECT quoted, CAST(trim(quoted, '''') AS INT) AS id FROM (SELECT '''' || s_suppkey || '''' AS quoted FROM supplier)")
@@ -658,6 +678,34 @@ def strip_quoted_id(spark, sf):
     return q.withColumn("id", F.btrim("quoted", F.lit("'")).cast("int"))
 
 
+# Windows of each series' own.
+
+
+_TO_PEAK = "SELECT r.key, r.date, r.liq_tpd, p.peak FROM rates r JOIN (SELECT key, max_by(date, liq_tpd) AS peak FROM rates GROUP BY 1) p ON r.key = p.key AND r.date <= p.peak"
+
+
+def _to_peak(spark, sf):
+    """Each series up to the month of its highest rate: series that end in different months."""
+    df = rates(spark, sf)
+    peak = df.groupBy("key").agg(F.max_by("date", "liq_tpd").alias("peak"))
+    return df.join(peak, "key").where(F.col("date") <= F.col("peak")).select("key", "date", "liq_tpd")
+
+
+@query(
+    "cutoff key step:i date y_true:4 y_pred:4",
+    f"""WITH s AS ({_TO_PEAK}), o AS (SELECT DISTINCT key, CAST(peak - to_months(CAST(6 + 2 * w AS INT)) AS DATE) AS cutoff FROM s CROSS JOIN (SELECT unnest(range(0, 4)) AS w)),
+      t AS (SELECT o.cutoff, s.key, ln(greatest(s.liq_tpd, 1e-6)) AS ly, row_number() OVER (PARTITION BY o.cutoff, s.key ORDER BY s.date DESC) AS r, count(*) OVER (PARTITION BY o.cutoff, s.key) AS n FROM s JOIN o ON s.key = o.key AND s.date <= o.cutoff),
+      f AS (SELECT cutoff, key, regr_slope(ly, least(n, 24) - r) AS b1, regr_intercept(ly, least(n, 24) - r) AS b0, max(least(n, 24)) AS n FROM t WHERE r <= 24 AND n >= 12 GROUP BY 1, 2),
+      p AS (SELECT cutoff, key, step, CAST(cutoff + to_months(CAST(step AS INT)) AS DATE) AS date, exp(b0 + b1 * (n - 1 + step)) AS y_pred FROM f CROSS JOIN horizon)
+      SELECT p.*, s.liq_tpd AS y_true FROM p JOIN s ON p.key = s.key AND p.date = s.date""",
+    "rates horizon",
+)
+def cv_own_windows(spark, sf):
+    df = _to_peak(spark, sf)
+    made = B.exponential(df, B.own_cutoffs(df, windows=4, step=2), "liq_tpd")
+    return made.join(df.select("key", "date", F.col("liq_tpd").alias("y_true")), ["key", "date"])
+
+
 # Ensembles.
 
 
@@ -993,6 +1041,17 @@ def events_tumbling(spark, sf):
     return daily(S.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("day", F.to_date("window.start"))
 
 
+@query(
+    "event_type day n:i value:4 low:4 high:4",
+    """SELECT event_type, CAST(day - to_days(CAST(i AS INT)) AS DATE) AS day, sum(n) AS n, sum(value) AS value, min(low) AS low, max(high) AS high
+      FROM (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS value, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2) CROSS JOIN (SELECT unnest(range(0, 7)) AS i) GROUP BY 1, 2""",
+)
+def events_sliding(spark, sf):
+    from ..streaming.events import sliding
+
+    return sliding(S.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("day", F.to_date("window.start"))
+
+
 @query("user_id:i sessions:i events:i", "SELECT user_id, sum(new_) AS sessions, count(*) AS events FROM (SELECT user_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new_ FROM events) GROUP BY 1")
 def events_session(spark, sf):
     from ..streaming.events import sessions

@@ -24,9 +24,37 @@ TAU = 90.0
 # Decline and response.
 
 
-@query("cutoff key step:i date y_pred:2")
+_ARPS = """WITH RECURSIVE v AS (
+      SELECT cutoff, key, list(greatest(v, 1e-6) ORDER BY date) AS vs FROM (
+        SELECT cutoff, key, date, liq_tpd AS v, row_number() OVER (PARTITION BY cutoff, key ORDER BY date DESC) AS r, count(*) OVER (PARTITION BY cutoff, key) AS n_all
+        FROM rates JOIN canon ON date <= cutoff WHERE liq_tpd IS NOT NULL) WHERE r <= 36 AND n_all >= 12 GROUP BY 1, 2),
+    y AS (SELECT *, list_sum(list_transform(vs, lambda x: x * x)) AS top, list_max(vs) AS most FROM v),
+    s AS (
+      SELECT cutoff, key, 0 AS round, ln(0.02) AS log_d, 0.5::DOUBLE AS b, ln(0.02) AS old_d, 0.5::DOUBLE AS old_b, 1e-3::DOUBLE AS damping, {'loss': NULL::DOUBLE, 'q': NULL::DOUBLE, 'aa': NULL::DOUBLE, 'ab': NULL::DOUBLE, 'bb': NULL::DOUBLE, 'ga': NULL::DOUBLE, 'gb': NULL::DOUBLE} AS n FROM y
+      UNION ALL
+      SELECT cutoff, key, round + 1, least(greatest(kept_d + greatest(least(CASE WHEN det > 0 THEN (ga * bb - gb * ab) / det ELSE 0 END, 1), -1), -11.512925464970229), 0),
+        least(greatest(kept_b + greatest(least(CASE WHEN det > 0 THEN (gb * aa - ga * ab) / det ELSE 0 END, 0.5), -0.5), 0.01), 2), kept_d, kept_b, damping, m
+      FROM (SELECT *, aa * bb - ab * ab AS det FROM (
+        SELECT *, CASE WHEN free_d THEN m.aa * (1 + damping) ELSE 1 END AS aa, CASE WHEN free_b THEN m.bb * (1 + damping) ELSE 1 END AS bb, CASE WHEN free_d AND free_b THEN m.ab ELSE 0 END AS ab,
+          CASE WHEN free_d THEN m.ga ELSE 0 END AS ga, CASE WHEN free_b THEN m.gb ELSE 0 END AS gb FROM (
+          SELECT *, NOT ((kept_d <= -11.512925464970229 AND m.ga < 0) OR (kept_d >= 0 AND m.ga > 0)) AS free_d, NOT ((kept_b <= 0.01 AND m.gb < 0) OR (kept_b >= 2 AND m.gb > 0)) AS free_b FROM (
+            SELECT cutoff, key, round, CASE WHEN better THEN log_d ELSE old_d END AS kept_d, CASE WHEN better THEN b ELSE old_b END AS kept_b,
+              CASE WHEN n.loss IS NULL THEN damping WHEN better THEN damping / 3.0 ELSE damping * 4.0 END AS damping, CASE WHEN better THEN made ELSE n END AS m FROM (
+              SELECT *, n.loss IS NULL OR made.loss < n.loss - 1e-12 AS better FROM (
+                SELECT *, {'loss': (top - 2 * q * vf + q * q * ff) / top, 'q': q, 'aa': q * q * (dd - fd * fd / ff), 'ab': q * q * (db - fd * fb / ff), 'bb': q * q * (b2 - fb * fb / ff), 'ga': q * (vd - vf * fd / ff), 'gb': q * (vb - vf * fb / ff)} AS made FROM (
+                  SELECT *, least(greatest(vf / ff, 1e-6), 10 * most) AS q FROM (
+                    SELECT s.*, any_value(top) AS top, any_value(most) AS most, sum(v * f) AS vf, sum(f * f) AS ff, sum(f * p) AS fd, sum(f * r) AS fb, sum(p * p) AS dd, sum(p * r) AS db, sum(r * r) AS b2, sum(v * p) AS vd, sum(v * r) AS vb FROM (
+                      SELECT s, top, most, v, f, -f * dt / (1 + s.b * dt) AS p, f * (ln(1 + s.b * dt) / s.b - dt / (1 + s.b * dt)) / s.b AS r FROM (
+                        SELECT *, exp(-ln(1 + s.b * dt) / s.b) AS f FROM (
+                          SELECT s, top, most, unnest(vs) AS v, exp(s.log_d) * unnest(range(0, len(vs))) AS dt FROM s JOIN y ON s.cutoff = y.cutoff AND s.key = y.key WHERE s.round < 26))) GROUP BY s))))))))
+    )
+    SELECT s.cutoff, s.key, step, CAST(s.cutoff + to_months(CAST(step AS INT)) AS DATE) AS date, n.q * exp(-ln(1 + old_b * exp(old_d) * (len(vs) - 1 + step)) / old_b) AS y_pred
+    FROM s JOIN y ON s.cutoff = y.cutoff AND s.key = y.key CROSS JOIN horizon WHERE round = 26"""
+
+
+@query("cutoff key step:i date y_pred:2", _ARPS, "rates canon horizon")
 def fc_arps(spark, sf):
-    return B.pointwise(K.rates(spark, sf), K.CUTOFFS, "liq_tpd", decline.arps, k=decline.TAIL)
+    return decline.arps(K.rates(spark, sf), K.CUTOFFS, "liq_tpd")
 
 
 @query(

@@ -24,6 +24,17 @@ def daily(events: DataFrame, late: str | None = None) -> DataFrame:
     return events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
+def sliding(events: DataFrame, size: str = "7 days", slide: str = "1 day", late: str | None = None) -> DataFrame:
+    """Counts and sums per event type of overlapping windows, which begin a ``slide`` apart; ``size`` is a multiple of it.
+
+    An event is counted once, in its pane, a tumbling window as long as the slide; only panes, a row for each type and slide, are copied
+    into the windows that hold them. As a stream both steps run in append mode: a window comes out when the watermark has passed its end."""
+    events = events.withWatermark("ts", late) if late else events
+    panes = events.groupBy(F.window("ts", slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"), F.min("value").alias("low"), F.max("value").alias("high"))
+    merged = panes.groupBy(F.window(F.window_time("window"), size, slide), "event_type")
+    return merged.agg(F.sum("n").alias("n"), F.sum("value").alias("value"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def sessions(events: DataFrame, gap: str = "6 hours", late: str | None = None) -> DataFrame:
     """Sessions of each user: events no more than ``gap`` apart."""
     events = events.withWatermark("ts", late) if late else events

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cadenza.functions import solvers, stats
-from cadenza.operators import backtest, decline, ensemble, exchange, panel, selection, signals
+from cadenza.operators import backtest, ensemble, exchange, panel, selection, signals
 from cadenza.sources import files, shared, tables
 from cadenza.streaming import events
 
@@ -27,13 +27,6 @@ def test_nnls_and_bounds():
     assert np.allclose(solvers.unit_sum(np.zeros(4)), 0.25)
 
 
-def test_hyperbolic_decline_is_recovered():
-    t = np.arange(42)
-    y = 900 / (1 + 0.7 * 0.05 * t) ** (1 / 0.7)
-    assert np.allclose(decline.arps(y[:36], 6), y[36:], rtol=2e-3)
-    assert np.isfinite(decline.arps(np.zeros(12), 6)).all()
-
-
 def test_coherence_tells_driven_pairs_from_others():
     rng = np.random.default_rng(3)
     x = np.convolve(rng.normal(size=90), [0.5, 1, 0.5], "same")
