@@ -5,9 +5,10 @@ evened out), and the SHA-256 of the whole form is looked up among the digests of
 hash join. The canonical lines of a text are looked up in the same way among known one-line notices.
 
 A text that isn't known as it stands is looked up once more without its head, which is the titles and
-copyright lines, with a year or not, that its first ``HEAD_LINES`` canonical lines begin with. The full
-texts of more licences are in the folder ``licenses``, by their name; they are known without their head,
-and Apache's and the GNU licences also without what follows the terms.
+copyright lines, with a year or not, that its canonical lines begin with, however many; and in that form a holder named in a
+BSD licence's clauses is any holder. The full texts of more licences are in the folder ``licenses``, by their name; they are known
+without their head, and Apache's and the GNU licences also without what follows the terms. They come from Debian's common licences,
+the npm packages path-scurry (Blue Oak) and tslib (0BSD) and the crates globset (Unlicense) and xxhash-rust (BSL).
 
 The known table is made from the texts given, so its size is that of a parameter, a few dozen rows. A
 caller's own table is broadcast up to ``FEW`` rows, and joined by Spark's choice beyond. Texts are read and
@@ -47,12 +48,19 @@ PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”–—
 #: A canonical line that only says who holds the rights.
 COPYRIGHT_LINE = r"^(copyright\b.*[0-9]{4}.*|all rights reserved)$"
 
-#: Canonical lines that may stand before a licence's text.
-HEAD_LINES = 12
+#: Canonical lines that may stand before a licence's text; so many are looked at first, then all.
+FIRST_LINES = 12
 HEAD = (
     r"^(copyright\b.*|all rights reserved|creative commons legal code|cc0 1 0 universal|version [0-9]( [0-9])?( [0-9]* ?[a-z]+ [0-9]{4})?|www apache org licenses"
     r"|(the |a )?(mit|expat|x11|isc|zlib|libpng|([a-z0-9]+ ){0,4}bsd|apache|artistic|mozilla public|gnu (lesser general|library general|general) public|gnu free documentation)"
-    r"( [a-z0-9]+){0,4} license( [a-z0-9]+){0,6})$"
+    r"( [a-z0-9]+){0,4} license( [a-z0-9]+){0,6}"
+    r"|boost software license version 1 0.*|blue oak model license)$"
+)
+#: Where a text without its head names a holder, as (pattern, replacement).
+HOLDERS = (
+    (r"neither the names? of [a-z0-9 ]{1,300}? nor the names of (its|their|any|other) contributors", "neither the name of the owner nor the names of its contributors"),
+    (r"this software is provided by [a-z0-9 ]{1,300}? as is", "this software is provided by the owner as is"),
+    (r"in no event shall [a-z0-9 ]{1,300}? be liable for any direct", "in no event shall the owner be liable for any direct"),
 )
 FOLDER = Path(__file__).parent / "licenses"
 #: Where the terms end, and the line of Apache's appendix that users fill in.
@@ -95,8 +103,24 @@ def canonical_lines(text: Column) -> Column:
 
 def without_head(lines: Column) -> Column:
     """The lines from the first one that is neither a title nor a copyright line; all of them if there is none."""
-    body = F.array_position(F.transform(F.slice(lines, 1, HEAD_LINES), lambda x: ~x.rlike(HEAD)), F.lit(True)).cast("int")
-    return F.when(body > 1, F.slice(lines, body, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
+
+    def first(some: Column) -> Column:
+        return F.array_position(F.transform(some, lambda x: ~x.rlike(HEAD)), F.lit(True)).cast("int")
+
+    def from_body(at: Column) -> Column:
+        # Only a text of nothing but head in its first lines is searched whole.
+        found = F.when((at == 0) & (F.size(lines) > FIRST_LINES), first(lines)).otherwise(at)
+        return let(found, lambda k: F.when(k > 1, F.slice(lines, k, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines))
+
+    return let(first(F.slice(lines, 1, FIRST_LINES)), from_body)
+
+
+def body_text(lines: Column) -> Column:
+    """The text of the lines without their head, and with any holder."""
+    text = F.array_join(without_head(lines), " ")
+    for pattern, to in HOLDERS:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -118,9 +142,8 @@ def known(spark, licenses: dict[str, str] | None = None, notices: dict[str, tupl
     rows += [("body", k, t) for k, t in full_texts()] if licenses is None else []
     rows += [("notice", k, t) for k, ts in (NOTICES if notices is None else notices).items() for t in ts]
     texts = spark.createDataFrame(rows, "kind string, license string, text string")
-    lines = canonical_lines(F.col("text"))
-    lines = let(lines, lambda x: F.when(F.col("kind") == "body", without_head(x)).otherwise(x))
-    made = texts.select("kind", "license", F.sha2(F.array_join(lines, " "), 256).alias("digest"))
+    form = let(canonical_lines(F.col("text")), lambda x: F.when(F.col("kind") == "body", body_text(x)).otherwise(F.array_join(x, " ")))
+    made = texts.select("kind", "license", F.sha2(form, 256).alias("digest"))
     return made.groupBy("kind", "digest").agg(F.min("license").alias("license"))
 
 
@@ -139,7 +162,7 @@ def scan(docs: DataFrame, table: DataFrame | None = None, doc_id: str = "doc_id"
         notices = F.filter(F.transform(each, lambda x: F.element_at(names, x)), lambda x: x.isNotNull())
         return F.struct(
             F.sha2(F.array_join(lines, " "), 256).alias("whole"),
-            F.sha2(F.array_join(without_head(lines), " "), 256).alias("body"),
+            F.sha2(body_text(lines), 256).alias("body"),
             F.array_distinct(notices if within else each).alias("lines"),
         )
 

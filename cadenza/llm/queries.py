@@ -150,19 +150,29 @@ def _canonical_sql(text: str) -> str:
     return f"list_filter({lines}, lambda x: x <> '' AND NOT regexp_matches(x, {_quoted(license_scan.COPYRIGHT_LINE)}))"
 
 
+def _body_sql(lines: str) -> str:
+    at = f"list_position(list_transform({lines}, lambda x: NOT regexp_matches(x, {_quoted(license_scan.HEAD)})), true)"
+    made = f"array_to_string(CASE WHEN {at} > 1 THEN {lines}[{at}:] ELSE {lines} END, ' ')"
+    for pattern, to in license_scan.HOLDERS:
+        made = f"regexp_replace({made}, {_quoted(pattern)}, '{to}', 'g')"
+    return made
+
+
 OP5_SQL = f"""
 WITH k(kind, license, text) AS (VALUES {", ".join(
-    [f"('text', '{k}', {_quoted(t)})" for k, t in license_scan.LICENSES.items()]
+    [f"('{kind}', '{k}', {_quoted(t)})" for k, t in license_scan.LICENSES.items() for kind in ("text", "body")]
+    + [f"('body', '{k}', {_quoted(t)})" for k, t in license_scan.full_texts()]
     + [f"('notice', '{k}', {_quoted(t)})" for k, ts in license_scan.NOTICES.items() for t in ts]
-)}), known AS (
-  SELECT kind, min(license) AS license, sha256(array_to_string({_canonical_sql("text")}, ' ')) AS digest FROM k GROUP BY kind, 3
+)}), kl AS (SELECT kind, license, {_canonical_sql("text")} AS lines FROM k),
+known AS (
+  SELECT kind, min(license) AS license, sha256(CASE WHEN kind = 'body' THEN {_body_sql("lines")} ELSE array_to_string(lines, ' ') END) AS digest FROM kl GROUP BY kind, 3
 ), d AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS lines FROM documents),
 n AS (
   SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
   FROM (SELECT doc_id, sha256(unnest(lines)) AS digest FROM d) JOIN known USING (digest) WHERE kind = 'notice' GROUP BY doc_id
-), w AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest FROM d)
-SELECT doc_id, w.digest, license, coalesce(notices, '') AS notices
-FROM w LEFT JOIN (SELECT * FROM known WHERE kind = 'text') AS t USING (digest) LEFT JOIN n USING (doc_id)
+), w AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest, sha256({_body_sql("lines")}) AS body FROM d)
+SELECT w.doc_id, w.digest, coalesce(t.license, b.license) AS license, coalesce(notices, '') AS notices
+FROM w LEFT JOIN (SELECT * FROM known WHERE kind = 'text') AS t USING (digest) LEFT JOIN (SELECT * FROM known WHERE kind = 'body') AS b ON w.body = b.digest LEFT JOIN n USING (doc_id)
 """
 
 
