@@ -10,7 +10,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,23 +95,46 @@ def read_npy(spark: SparkSession, path: str, steps: int, columns: int) -> DataFr
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(each, "name string, step int, series int, value double")
 
 
+def cells(line: Column) -> Column:
+    """The cells of a line of CSV as an array; an empty one is null, a quoted one may hold commas and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+
+    def plain(x: Column) -> Column:
+        quoted = x.startswith('"') & (F.length(x) > 1)
+        return F.when(quoted, F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).when(x != "", x)
+
+    return F.transform(raw, plain)
+
+
 def read_result_files(spark: SparkSession, pattern: str, deny: tuple[str, ...] = (), targets: tuple[str, ...] = ("oil_tpd", "liq_tpd")) -> DataFrame | None:
     """All result CSVs of a pattern as one frame with their model and target, which their names give.
 
-    Files of a denied prefix or another target, and such without y_true or y_pred, are left out; columns that only some
-    have are null in the others. None if no file is left. The files are as many as models, so their headers are read
-    one by one."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
-    kept = None
-    for file in sorted(str(f.getPath().toString()) for f in found):
-        name = file.rsplit("/", 1)[-1].removesuffix(".csv")
-        if name.startswith(deny) or not name.endswith(tuple(f"_{t}" for t in targets)):
-            continue
-        rows = spark.read.option("header", True).csv(file)
-        if {"y_true", "y_pred"} <= set(rows.columns):
-            numbers = {c: F.col(c).cast("double") for c in ("y_true", "y_pred", "q10", "q50", "q90") if c in rows.columns}
-            model, target = parse_result_name("_name")
-            rows = rows.withColumns(numbers).withColumn("_name", F.lit(name)).select("*", model, target).drop("_name")
-            kept = rows if kept is None else kept.unionByName(rows, allowMissingColumns=True)
-    return kept
+    Files of a denied prefix or another target, and such without y_true or y_pred, are left out, the former two before they are read;
+    columns that only some have are null in the others. None if no file is left. All files are one scan, in which a file is a
+    row of text and its first line says what its cells are; the headers that there are come from a Spark job over the
+    first lines, a row for each different one. A line is a row: cells may be quoted, but hold no line end."""
+    if not spark._jvm.org.apache.hadoop.fs.Path(pattern).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern)):
+        return None
+    name = F.col("_metadata.file_name")
+    kept = F.lit(False)
+    for t in targets:
+        kept = kept | name.endswith(f"_{t}.csv")
+    for d in deny:
+        kept = kept & ~name.startswith(d)
+    texts = spark.read.text(pattern, wholetext=True).where(kept).select(F.regexp_replace(name, r"\.csv$", "").alias("_name"), F.split(F.rtrim("value", F.lit("\r\n")), r"\r?\n").alias("_lines"))
+    headers = texts.select(F.element_at("_lines", 1).alias("_head")).distinct().select(cells(F.col("_head")).alias("_head")).collect()
+    found = [[c for c in r["_head"] if c] for r in headers]
+    columns = list(dict.fromkeys(c for h in sorted(found) if {"y_true", "y_pred"} <= set(h) for c in h))
+    if not columns:
+        return None
+    rows = texts.select("_name", F.element_at("_lines", 1).alias("_head"), F.explode(F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1)))).alias("_line"))
+    rows = rows.where("_line <> ''").select("_name", cells(F.col("_head")).alias("_head"), cells(F.col("_line")).alias("_cells"))
+    at = {c: F.array_position("_head", c).cast("int") for c in columns}
+    rows = rows.where((at["y_true"] > 0) & (at["y_pred"] > 0))
+    numbers = {"y_true", "y_pred", "q10", "q50", "q90"}
+
+    def cell(c: str) -> Column:
+        text = F.get("_cells", at[c] - 1)  # null where the file hasn't the column
+        return (text.cast("double") if c in numbers else text).alias(c)
+
+    return rows.select(*(cell(c) for c in columns), *parse_result_name("_name"))
