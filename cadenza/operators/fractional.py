@@ -46,7 +46,8 @@ def hierarchical(df: DataFrame, cutoffs: list[date], k: int = K, min_keys: int =
     inverse variances; an infinite lam gives mu. The sums are taken once per key; the grid only repeats a
     2 x 2 solution in closed form."""
     rows = backtest.context_tail(valid(df), cutoffs, k, "lwor", min_history=MIN_POINTS, key=key)
-    centred = rows.withColumn("centre", F.avg("lw").over(Window.partitionBy("cutoff"))).withColumn("x", F.col("lw") - F.col("centre"))
+    centres = rows.groupBy("cutoff").agg(F.avg("lw").alias("centre"))  # a row for each cutoff, which are a parameter
+    centred = rows.join(F.broadcast(centres), "cutoff").withColumn("x", F.col("lw") - F.col("centre"))
     sums = centred.groupBy("cutoff", "block", key).agg(
         F.count("*").cast("double").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum("lwor").alias("sy"), F.sum(F.col("x") * F.col("lwor")).alias("sxy"), F.first("centre").alias("centre"),
         F.regr_intercept("lwor", "x").alias("a0"), F.regr_slope("lwor", "x").alias("b0"),

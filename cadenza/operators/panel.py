@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import days_in_month
+from ..functions.stats import places
 
 MIN_HOURS = 24
 
@@ -140,6 +141,7 @@ def impute_group_mean(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def category_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """0-based codes in sorted order of the distinct values, joined back: no window over all rows."""
-    codes = df.select(column).distinct().agg(F.sort_array(F.collect_set(column)).alias("_all"))  # the categories are few
-    return df.crossJoin(F.broadcast(codes)).withColumn(out, F.array_position("_all", F.col(column)) - 1).drop("_all")
+    """0-based codes in sorted order of the distinct values, joined back, however many there are; null has none."""
+    codes = places(df.select(column).where(F.col(column).isNotNull()).distinct(), column, out=out)
+    kept = df.drop(out)
+    return kept.join(codes, column, "left").select(*kept.columns, out)
