@@ -14,6 +14,7 @@ from ..operators import response as R
 from ..operators import signals as N
 from ..sources import tables as S
 from ..sources.shared import held, once
+from ..streaming import prefix as T
 from . import catalogue as K
 from .registry import query
 
@@ -137,6 +138,36 @@ def changepoint_frozen(spark, sf):
     return N.frozen(_points(spark, sf), K.CUTOFFS[-1], K.C.HORIZON)
 
 
+def _prefix_sql(rows: str) -> str:
+    """The prefix features (key, t, n, mean, since, jump) of rows (key, t, x)."""
+    return f"""SELECT key, t, n, mean, n - coalesce(last_value(hit IGNORE NULLS) OVER w, 0) AS since, coalesce(last_value(size IGNORE NULLS) OVER w, 0) AS jump FROM (
+        SELECT key, t, n, (coalesce(total, 0) + x) / n AS mean, CASE WHEN deviates THEN n END AS hit, CASE WHEN deviates THEN 100 * (x - m) / greatest(abs(m), 1e-9) END AS size FROM (
+          SELECT *, n > {T.LEAST} AND abs(x - m) > {T.WIDTH} * sqrt(greatest(squares / (n - 1) - m * m, 0)) + {T.SLACK} * abs(m) AS deviates FROM (
+            SELECT *, total / (n - 1) AS m FROM (
+              SELECT key, t, x, row_number() OVER (PARTITION BY key ORDER BY t) AS n, sum(x) OVER b AS total, sum(x * x) OVER b AS squares FROM ({rows}) WHERE x IS NOT NULL
+              WINDOW b AS (PARTITION BY key ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))))
+      WINDOW w AS (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING)"""
+
+
+_RATE_PREFIX = _prefix_sql("SELECT key, date AS t, liq_tpd AS x FROM rates")
+
+
+@query("key date n:i mean:4 since:i jump:4", f"SELECT key, t AS date, n, mean, since, jump FROM ({_RATE_PREFIX})", "rates")
+def prefix_features(spark, sf):
+    return T.features(K.rates(spark, sf), "key", "date", "liq_tpd")
+
+
+@query(
+    "key step:i date cp_months:i cp_jump:4",
+    f"""SELECT key, step, CAST(t + to_months(CAST(step AS INT)) AS DATE) AS date, since + step AS cp_months, jump AS cp_jump
+      FROM ({_RATE_PREFIX}) CROSS JOIN horizon WHERE t = (SELECT max(cutoff) FROM canon)""",
+    "rates horizon canon",
+)
+def prefix_frozen(spark, sf):
+    made = T.features(K.rates(spark, sf), "key", "date", "liq_tpd")
+    return N.frozen(made.select("key", "date", F.col("since").alias("cp_months"), F.col("jump").alias("cp_jump")), K.CUTOFFS[-1], K.C.HORIZON)
+
+
 @query(
     "model n:i log10_max:6 log10_last:6",
     """WITH RECURSIVE r AS (SELECT model, cutoff, key, step, round(abs(y_true - y_pred), 6) AS a, md5(key || '|' || step || '|' || CAST(cutoff AS VARCHAR)) AS h FROM scored),
@@ -168,3 +199,22 @@ def events_watermark_late(spark, sf):
     out = run_available(stream(spark, f"{sf}/events.parquet*", schema), late="2 days")  # a pattern may name one file, too
     return out.withColumn("day", F.to_date("start"))
 
+
+#: How late an event may come, and the days of silence after which a user's features are frozen.
+LATE, HOLD = 2, 2
+
+
+@query(
+    "user_id:i day n:i mean:4 since:i jump:4 frozen",
+    f"""WITH days AS (SELECT user_id AS key, CAST(ts AS DATE) AS t, sum(value) AS x FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL {LATE} DAY AS DATE) FROM events) GROUP BY 1, 2),
+      made AS ({_prefix_sql("SELECT * FROM days")}),
+      quiet AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY key ORDER BY t), (SELECT CAST(max(ts) - INTERVAL {LATE} DAY AS DATE) FROM events)) - t > {HOLD} AS quiet FROM made)
+      SELECT key AS user_id, t AS day, n, mean, since, jump, false AS frozen FROM quiet
+      UNION ALL SELECT key, CAST(t + {HOLD} AS DATE), n, mean, since + {HOLD}, jump, true FROM quiet WHERE quiet""",
+)
+def events_prefix_state(spark, sf):
+    """Each user's prefix features as a stream with state and timers, run over the files there are."""
+    from ..streaming.events import stream
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return T.run_prefix(stream(spark, f"{sf}/events.parquet*", schema), f"{LATE} days", HOLD, "user_id")

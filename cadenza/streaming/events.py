@@ -18,10 +18,10 @@ def stream(spark: SparkSession, path: str, schema, files_per_batch: int | None =
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def daily(events: DataFrame, late: str | None = None) -> DataFrame:
-    """Counts and sums per event type and day; ``late`` is how long a day stays open for late events."""
+def daily(events: DataFrame, late: str | None = None, key: str = "event_type") -> DataFrame:
+    """Counts and sums per event type, or another key, and day; ``late`` is how long a day stays open for late events."""
     events = events.withWatermark("ts", late) if late else events
-    return events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return events.groupBy(F.window("ts", "1 day"), key).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
 def sliding(events: DataFrame, size: str = "7 days", slide: str = "1 day", late: str | None = None) -> DataFrame:
