@@ -747,16 +747,28 @@ def ens_forward_blend(spark, sf):
     return now.join(spread, "step").select("key", "step", "date", F.col("y_pred").alias("y"), (F.col("y_pred") * F.col("r")[0]).alias("q10"), (F.col("y_pred") * F.col("r")[1]).alias("q90"))
 
 
+#: The three models in SQL, the pairs of their Gram sums, and the columns of these sums.
+_E, _PAIRS = ["e", "m", "n"], ["ee", "em", "en", "mm", "mn", "nn"]
+_VALUES = dict(zip(_E, MODELS, strict=True)) | {"y": "y_true"}
+_SUMS = [*_PAIRS, *(a + "y" for a in _E)]
+
+
+def _grams_sql(by: str) -> str:
+    return f"SELECT {by}, " + ", ".join(f"sum({_VALUES[k[0]]} * {_VALUES[k[1]]}) AS {k}" for k in _SUMS) + f" FROM matrix GROUP BY {by}"
+
+
 def _nnls_sql(step: str = "") -> str:
-    """Non-negative weights of the three models by their active sets: of all subsets' least squares the best one without a negative weight."""
-    names = ["e", "m", "n"]  # exp24, mean3, naive
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    values = dict(zip(names, MODELS, strict=True)) | {"y": "y_true"}
-    sums = [(a + b, f"sum({values[a]} * {values[b]})") for a, b in [*pairs, *((a, "y") for a in names)]]
-    own = f"SELECT cutoff{step}, " + ", ".join(f"{v} AS {k}" for k, v in sums) + f" FROM matrix GROUP BY cutoff{step}"
+    """Weights for a cutoff from the Gram sums of the others."""
     over = f"OVER (PARTITION BY {step.strip(', ')})" if step else "OVER ()"
-    rest = f"SELECT cutoff{step}, " + ", ".join(f"sum({k}) {over} - {k} AS {k}" for k, _ in sums) + f" FROM ({own})"
-    g = lambda a, b: a + b if (a, b) in pairs else b + a
+    rest = f"SELECT cutoff{step}, " + ", ".join(f"sum({k}) {over} - {k} AS {k}" for k in _SUMS) + f" FROM ({_grams_sql('cutoff' + step)})"
+    shown = " UNION ALL ".join(f"SELECT cutoff{step}, '{m}' AS model, w{k} AS weight FROM solved" for k, m in enumerate(MODELS))
+    return f"WITH solved AS ({_solved_sql(rest, 'cutoff' + step)}) {shown}"
+
+
+def _solved_sql(rest: str, by: str) -> str:
+    """Non-negative weights of the three models by their active sets: of all subsets' least squares the best one without a negative weight."""
+    names = _E
+    g = lambda a, b: min(a, b) + max(a, b)
     sets = [("0", "0", "0")]
     for i, a in enumerate(names):
         sets.append(tuple(f"{a}y / {g(a, a)}" if k == i else "0" for k in range(3)))
@@ -774,9 +786,9 @@ def _nnls_sql(step: str = "") -> str:
     sets.append(tuple(f"{det3([[f'{names[i]}y' if j == k else gram[i][j] for j in range(3)] for i in range(3)])} / {det3(gram)}" for k in range(3)))
     every = " UNION ALL ".join(f"SELECT *, {x} AS w0, {y} AS w1, {z} AS w2 FROM rest" for x, y, z in sets)
     gain = "2 * (w0 * ey + w1 * my + w2 * ny) - (w0 * w0 * ee + w1 * w1 * mm + w2 * w2 * nn + 2 * (w0 * w1 * em + w0 * w2 * en + w1 * w2 * mn))"
-    best = f"SELECT *, row_number() OVER (PARTITION BY cutoff{step} ORDER BY {gain} DESC) AS r FROM ({every}) WHERE w0 >= 0 AND w1 >= 0 AND w2 >= 0"
-    shown = " UNION ALL ".join(f"SELECT cutoff{step}, '{m}' AS model, CASE WHEN w0 + w1 + w2 > 0 THEN w{k} / (w0 + w1 + w2) ELSE 1 / 3.0 END AS weight FROM best WHERE r = 1" for k, m in enumerate(MODELS))
-    return f"WITH rest AS ({rest}), best AS ({best}) {shown}"
+    best = f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {gain} DESC) AS r FROM ({every}) WHERE w0 >= 0 AND w1 >= 0 AND w2 >= 0"
+    shown = ", ".join(f"CASE WHEN w0 + w1 + w2 > 0 THEN w{k} / (w0 + w1 + w2) ELSE 1 / 3.0 END AS w{k}" for k in range(3))
+    return f"WITH rest AS ({rest}), best AS ({best}) SELECT {by}, {shown} FROM best WHERE r = 1"
 
 
 @query("cutoff model weight:6", _nnls_sql(), "matrix")
@@ -789,26 +801,50 @@ def ens_nnls_step(spark, sf):
     return E.weights_nnls(matrix(spark, sf), MODELS, ("step",))
 
 
+def _filled_sql(k: int) -> str:
+    """Tables ``bag`` and ``filled`` from ``grouped`` (cutoff, key, rows of y and p0, p1...): each round takes the model that lowers the sum of absolute errors most, 30 rounds at most."""
+    every = range(k)
+    total = lambda j: " + ".join(f"(c{i} + {int(i == j)}) * r.p{i}" for i in every)
+    errors = ", ".join(f"list_sum(list_transform(rows, lambda r: abs(({total(j)}) / (size + 1) - r.y))) AS e{j}" for j in every)
+    least = f"least({', '.join(f'e{j}' for j in every)})"
+    first = " ".join(f"WHEN e{j} THEN {j}" for j in every)
+    return f"""bag AS (
+        SELECT cutoff, key, 0 AS size, {", ".join(f"0.0::DOUBLE AS c{i}" for i in every)}, 'inf'::DOUBLE AS error FROM grouped
+        UNION ALL SELECT cutoff, key, size + 1, {", ".join(f"c{i} + (j = {i})::INT" for i in every)}, best
+        FROM (SELECT *, {least} AS best, CASE {least} {first} END AS j FROM (SELECT bag.*, {errors} FROM bag JOIN grouped USING (cutoff, key) WHERE size < 30))
+        WHERE error - best > 1e-12
+      ), filled AS (SELECT cutoff, key, unnest(max_by({{'size': size, {", ".join(f"'c{i}': c{i}" for i in every)}}}, size)) FROM bag GROUP BY 1, 2)"""
+
+
 def _bag_sql() -> str:
-    """Bags of the three models: each round takes the one that lowers the sum of absolute errors most, 30 at most."""
-    tried = [", ".join(f"c{i} + {int(i == j)}" for i in range(3)).split(", ") for j in range(3)]
-    errors = ", ".join(f"list_sum(list_transform(rows, lambda r: abs((({a}) * r.e + ({b}) * r.m + ({c}) * r.n) / (size + 1) - r.y))) AS e{j}" for j, (a, b, c) in enumerate(tried))
+    """Bags of the three models from a key's rows at the other cutoffs."""
     common = ", ".join(f"max(weight) FILTER (model = '{m}') AS w{i}" for i, m in enumerate(MODELS))
     w = [f"coalesce(b.c{i} / b.size, k.w{i})" for i in range(3)]
     return f"""WITH RECURSIVE grouped AS (
-        SELECT x.cutoff, key, list({{'y': y_true, 'e': exp24, 'm': mean3, 'n': naive}} ORDER BY y_true, exp24, mean3, naive) AS rows
+        SELECT x.cutoff, key, list({{'y': y_true, 'p0': exp24, 'p1': mean3, 'p2': naive}} ORDER BY y_true, exp24, mean3, naive) AS rows
         FROM ext x JOIN matrix m ON m.cutoff <> x.cutoff GROUP BY 1, 2 HAVING count(*) >= 12
-      ), bag AS (
-        SELECT cutoff, key, 0 AS size, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2, 'inf'::DOUBLE AS error FROM grouped
-        UNION ALL SELECT cutoff, key, size + 1, c0 + (j = 0)::INT, c1 + (j = 1)::INT, c2 + (j = 2)::INT, best
-        FROM (SELECT *, least(e0, e1, e2) AS best, CASE least(e0, e1, e2) WHEN e0 THEN 0 WHEN e1 THEN 1 ELSE 2 END AS j FROM (SELECT bag.*, {errors} FROM bag JOIN grouped USING (cutoff, key) WHERE size < 30))
-        WHERE error - best > 1e-12
-      ), filled AS (SELECT cutoff, key, unnest(max_by({{'size': size, 'c0': c0, 'c1': c1, 'c2': c2}}, size)) FROM bag GROUP BY 1, 2),
+      ), {_filled_sql(3)},
       common AS (SELECT cutoff, {common} FROM ({_nnls_sql()}) GROUP BY 1)
       SELECT m.cutoff, m.key, step, date, y_true, greatest({w[0]} * exp24 + {w[1]} * mean3 + {w[2]} * naive, 0) AS y_pred
       FROM matrix m JOIN common k ON m.cutoff = k.cutoff LEFT JOIN filled b ON m.cutoff = b.cutoff AND m.key = b.key"""
 
 
+def greedy_step_sql() -> str:
+    """Bags of the models and of their blend per step, whose weights for a row leave out its own cutoff and the test's."""
+    less = ", ".join(f"c.all_{k} - c.{k} - CASE WHEN c.cutoff = t.cutoff THEN 0 ELSE t.{k} END AS {k}" for k in _SUMS)
+    sums = ", ".join(f"sum({k}) OVER (PARTITION BY step) AS all_{k}" for k in _SUMS)
+    rest = f"SELECT t.cutoff AS test, c.cutoff, c.step, {less} FROM sums c JOIN sums t ON c.step = t.step"
+    w = [f"b.c{i} / b.size" for i in range(4)]
+    return f"""WITH RECURSIVE sums AS (SELECT *, {sums} FROM ({_grams_sql("cutoff, step")})),
+      blended AS (SELECT m.*, test, greatest(w0 * exp24 + w1 * mean3 + w2 * naive, 0) AS blend FROM matrix m JOIN ({_solved_sql(rest, "test, cutoff, step")}) s ON m.cutoff = s.cutoff AND m.step = s.step),
+      grouped AS (
+        SELECT test AS cutoff, key, list({{'y': y_true, 'p0': exp24, 'p1': mean3, 'p2': naive, 'p3': blend}} ORDER BY y_true, exp24, mean3, naive, blend) AS rows
+        FROM blended WHERE cutoff <> test GROUP BY 1, 2 HAVING count(*) >= 12
+      ), {_filled_sql(4)}
+      SELECT m.cutoff, m.key, step, date, y_true, greatest(coalesce({w[0]} * exp24 + {w[1]} * mean3 + {w[2]} * naive + {w[3]} * blend, blend), 0) AS y_pred
+      FROM blended m LEFT JOIN filled b ON m.cutoff = b.cutoff AND m.key = b.key WHERE m.cutoff = test"""
+
+
 @query("cutoff key step:i date y_true:4 y_pred:4", _bag_sql(), "matrix ext")
 def ens_greedy_well(spark, sf):
     m = matrix(spark, sf)

@@ -111,7 +111,7 @@ def ens_gbt_meta(spark, sf):
     return L.meta(m, K.MODELS, features, K.CUTOFFS)
 
 
-@query("cutoff key step:i date y_true:4 y_pred:4")
+@query("cutoff key step:i date y_true:4 y_pred:4", K.greedy_step_sql(), "matrix")
 def ens_greedy_step(spark, sf):
     return L.greedy_step(K.matrix(spark, sf), K.MODELS)
 
