@@ -41,7 +41,7 @@ from .common import checkpoint, components, met, min_labels, stored
 
 #: Vectors in a tile at least, unless their label has fewer; components in a tile at most; cells of a product
 #: computed at a time; and pivots at most.
-TILE, CELLS, STRIP, PIVOTS = 4096, 1 << 22, 1 << 21, 64
+TILE, CELLS, STRIP, PIVOTS = 4096, 1 << 22, 1 << 21, 128
 
 
 def unit_rows(v: np.ndarray) -> np.ndarray:
