@@ -11,9 +11,9 @@ its rows in pairs between the bounds, and a second pass over these alone decides
 given: a task asks once for a row, however many such pairs it has. The integer products are exact (codes are multiplied
 as float32, sums stay below 2**24 for up to 1040 components; longer vectors are multiplied in parts).
 
-A label of one tile is one task. The vectors of a larger label are dealt to cells, each to that of its nearest pivot; the pivots
-are ``PIVOTS`` different vectors at most of a length, taken over all labels by hash, whatever the table's size. A vector x of cell a
-can be near one of cell b only if it lies within the threshold's angle of the great sphere between the two pivots:
+Any two tiles of a label are one task. With few tiles that is all; a vector is sent once for each of them. The vectors of a label of
+``CELLS_FROM`` tiles or more are dealt to cells first, each to that of its nearest pivot; the pivots are ``PIVOTS`` different
+vectors at most of a length, taken over all labels by hash, whatever the table's size. A vector x of cell a can be near one of cell b only if it lies within the threshold's angle of the great sphere between the two pivots:
 
     x.(p - q) <= |p - q| sin(arccos(threshold))
 
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, components, met, min_labels, stored
 
 #: Vectors in a tile at least, unless their label has fewer; components in a tile at most; cells of a product
-#: computed at a time; and pivots at most.
-TILE, CELLS, STRIP, PIVOTS = 4096, 1 << 22, 1 << 21, 128
+#: computed at a time; pivots at most; and tiles of a label from which cells send fewer copies than all pairs of tiles.
+TILE, CELLS, STRIP, PIVOTS, CELLS_FROM = 4096, 1 << 22, 1 << 21, 128, 64
 
 
 def unit_rows(v: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def _codes(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return held.astype(np.float32), group.column("scale").to_numpy(), group.column("err").to_numpy()
 
 
-def coded(usable: DataFrame, threshold: float) -> DataFrame:
+def coded(usable: DataFrame, threshold: float, cells_from: int = CELLS_FROM) -> DataFrame:
     """The usable vectors with their codes, scales, errors, cells and cells to visit, as a stored table."""
     seen: dict[int, list] = {}
     for (v,) in usable.select("v").orderBy(F.xxhash64("id", "v")).limit(4 * PIVOTS).collect():  # a bounded sample
@@ -119,8 +119,8 @@ def coded(usable: DataFrame, threshold: float) -> DataFrame:
                     home, also = np.zeros(len(unit), int), np.zeros((len(unit), 1), bool)
                     if dim in pivots:
                         home, also = visits(unit, pivots[dim], threshold)
-                        single = some.column("tiles").to_numpy() == 1
-                        home[single], also[single] = 0, False
+                        few = some.column("tiles").to_numpy() < cells_from
+                        home[few], also[few] = 0, False
                     binary = pa.BinaryArray.from_buffers(pa.binary(), len(unit), [None, pa.py_buffer(np.arange(0, codes.size + 1, dim, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(codes))])
                     ends = np.concatenate([[0], also.sum(axis=1).cumsum()]).astype(np.int32)
                     others = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(also)[1].astype(np.int32)))
@@ -195,7 +195,7 @@ def _compared(key: tuple, group: pa.Table, threshold: float, decide) -> tuple:
     return _links(ids, counts, edges), open_
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cells_from: int = CELLS_FROM) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector; see the module docstring."""
     kind = vectors.schema[embedding].dataType.simpleString()
     v = vectors[embedding] if kind in ("array<float>", "array<double>") else vectors[embedding].cast("array<double>")
@@ -205,7 +205,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     usable = rows.where(F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))).withColumn("dim", F.size("v"))
     per = F.greatest(F.lit(tile), F.least(F.floor(F.count("*") / 8), F.floor(F.lit(CELLS) / F.col("dim")))).cast("long")
     sizes = usable.groupBy("label", "dim").agg(per.alias("per"), F.ceil(F.count("*") / per).cast("int").alias("tiles"))
-    held = coded(usable.join(sizes, ["label", "dim"]), threshold)
+    held = coded(usable.join(sizes, ["label", "dim"]), threshold, cells_from)
     key_shape = f"label {held.schema['label'].dataType.simpleString()}, dim int, cell int, own boolean, i int, j int, side int"
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:

@@ -42,15 +42,15 @@ def test_visits_leave_no_near_pair_out():
         assert not also[np.arange(len(x)), home].any()
 
 
-@pytest.mark.parametrize("tile", [20, 150])
-def test_links_across_cells_and_tiles(spark, tile):
+@pytest.mark.parametrize("tile, cells_from", [(20, 2), (150, 2), (100, 64)])
+def test_links_across_cells_and_tiles(spark, tile, cells_from):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1200, 5))
     labels = np.where(np.arange(1200) < 1000, 1, 2)
     hit = brute(x, labels)
     home, _ = E.visits(E.unit_rows(x), E.unit_rows(x[:64]), 0.98)
     assert (home[np.nonzero(hit)[0]] != home[np.nonzero(hit)[1]]).sum() > 50
-    assert rows(E.near_duplicates(frame(spark, x, labels), tile=tile)) == expected(hit)
+    assert rows(E.near_duplicates(frame(spark, x, labels), tile=tile, cells_from=cells_from)) == expected(hit)
 
 
 def test_a_crowd_around_the_threshold(spark):
@@ -60,7 +60,7 @@ def test_a_crowd_around_the_threshold(spark):
     x[:500] = x[0] + rng.normal(size=(500, 64)) * 0.142
     hit = brute(x, labels := np.ones(1500))
     assert 0.1 < hit[:500, :500].mean() < 0.9
-    assert rows(E.near_duplicates(frame(spark, x, labels), tile=100)) == expected(hit)
+    assert rows(E.near_duplicates(frame(spark, x, labels), tile=100, cells_from=2)) == expected(hit)
 
 
 @pytest.mark.parametrize("spread, most", [(None, 60), (0.5, 20)])
